@@ -19,6 +19,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from strandlake.llm.common import map_pandas
+
 END = "</w>"
 #: One character that no byte-level alphabet has stands for the end of a word.
 MARK = "␂"
@@ -232,4 +234,4 @@ def encoding_digest(docs: DataFrame, vocab_file: str, id_col: str = "doc_id", te
 def _mapped(df: DataFrame, run, columns: str, id_col: str, value_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.selectExpr(f"`{id_col}` AS id", f"`{value_col}` AS text")
-    return rows.mapInPandas(run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)
+    return map_pandas(rows, run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +44,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words_of(text: Column) -> Column:
     """The words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once, so that Python tasks can import it anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strandlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    target = tempfile.mkdtemp(prefix="strandlake-package-")
+    sc.addPyFile(shutil.make_archive(f"{target}/strandlake", "zip", root, "strandlake"))
+    sc._strandlake_shipped = True
+
+
+def map_pandas(df: DataFrame, run, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInPandas(run, schema)

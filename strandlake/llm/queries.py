@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, decision_rules, token_counts
+from strandlake.llm import bpe, decision_rules, importance, packing, token_counts
 from strandlake.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -19,11 +20,20 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, packing.word_length(F.col("text")), buckets=16, budget=65_536)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, tokenizer_file(PIECE_MODEL), limit=4096)
 
 
+def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encoding_digest(docs, tokenizer_file(WORD_VOCAB))
@@ -35,7 +45,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_length_buckets": op1_length_buckets,
     "op4_token_counts": op4_token_counts,
+    "op5_quality_resampling": op5_quality_resampling,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_quality_rules": op8_quality_rules,
 }
