@@ -20,18 +20,21 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from strandlake.llm.common import map_pandas
+
 SPACE = "▁"
 #: Units that a worker remembers before it starts afresh.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 600_000
+#: Marks at the end of a unit that are tried as a cut.
+TAIL = ".,;:!?%&$*#|"
 
 
 class PrefixCounter(dict):
-    """Maps a unit to the exact token counts of all its prefixes.
+    """Maps a unit to its exact token count; ``stored`` has the counts of all its prefixes.
 
     A unit is what follows a space (which it does not contain), or a line
-    feed and what follows it.  ``self[unit][i]`` is the count of the first i
-    characters, with the space's mark before them; index -1 the whole unit.
-    The mark that stays alone is told by ``self.alone``.
+    feed and what follows it.  ``stored[unit][i]`` is the count of the first i
+    characters, with the space's mark before them.
     """
 
     def __init__(self, model_file: str):
@@ -56,7 +59,12 @@ class PrefixCounter(dict):
                 self.matcher.add_word(piece, (i, len(piece)))
         self.matcher.make_automaton()
         self.valid: dict[int, bool] = {}
-        self.alone: set[str] = set()
+        #: Characters that stand side by side in a piece; between others a unit can be cut.
+        self.joined = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
+        if any("\n" in pair for pair in self.joined):
+            raise ValueError("a piece goes across a line end")
+        self.stored: dict[str, bytes | list[int]] = {}
+        self.bare: dict[str, list[int]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a short string; only used to fill the pair table."""
@@ -80,41 +88,59 @@ class PrefixCounter(dict):
         ok = self.valid[left << 20 | right] = self.merge(a + b) == [a, b]
         return ok
 
-    def prefixes(self, unit: str) -> tuple[list[int], list[bool]]:
-        """Counts, and whether the first token is one character, by prefix."""
+    def prefixes(self, unit: str) -> tuple[list[int], list[int]]:
+        """Token count and last token of every prefix (-1: a character that falls back to bytes)."""
         n, valid = len(unit), self.valid
-        # Where nothing ends, a character falls back to its bytes and joins with nothing.
-        count, last, lone = [0] * (n + 1), [-1] * (n + 1), [False] * (n + 1)
-        done = 0
+        count, last, done = [0] * (n + 1), [-1] * (n + 1), 0
         for end, (piece, size) in self.matcher.iter(unit):
-            i = end + 1
-            if i <= done:  # its token is known
+            if end < done:  # its token is known
                 continue
-            for k in range(done + 1, i):
-                count[k], lone[k] = count[k - 1] + len(unit[k - 1].encode()), lone[k - 1] or k == 1
-                done = k
-            before = last[i - size]
+            if end > done:
+                done = self.fall_back(unit, count, done, end)
+            before = last[end + 1 - size]
             if before < 0 or (ok := valid.get(before << 20 | piece)) or (ok is None and self.may_follow(before, piece)):
-                count[i], last[i] = count[i - size] + 1, piece
-                lone[i] = lone[i - size] if i > size else size == 1
-                done = i
-        for k in range(done + 1, n + 1):
-            count[k], lone[k] = count[k - 1] + len(unit[k - 1].encode()), lone[k - 1] or k == 1
-        return count, lone
-
-    def __missing__(self, unit: str) -> list[int]:
+                done = end + 1
+                count[done], last[done] = count[done - size] + 1, piece
+        if done < n:
+            self.fall_back(unit, count, done, n)
+        return count, last
+
+    @staticmethod
+    def fall_back(unit: str, count: list[int], done: int, to: int) -> int:
+        for k in range(done, to):
+            count[k + 1] = count[k] + len(unit[k].encode())
+        return to
+
+    def counts(self, unit: str, mark: str) -> list[int]:
+        """Counts of all prefixes; marks at the end are counted by themselves if no piece joins them on."""
+        k = len(unit.rstrip(TAIL))
+        if 0 < k < len(unit) and unit[k - 1 : k + 1] not in self.joined:
+            if (end := self.bare.get(unit[k:])) is None:
+                end = self.bare[unit[k:]] = self.prefixes(unit[k:])[0]
+            start = self.prefix_counts_of(unit[:k]) if mark else self.prefixes(unit[:k])[0]
+            return [*start, *(start[-1] + c for c in end[1:])]
+        return self.prefixes(mark + unit)[0][len(mark) :]
+
+    def __missing__(self, unit: str) -> int:
         if len(self) >= MEMO_UNITS:
-            self.clear()
-            self.alone.clear()
-        if unit[:1] == "\n":
-            counts = self.prefixes(unit)[0]
+            for known in (self, self.stored, self.bare):
+                known.clear()
+        if unit[0] == "\n":
+            rest = self.counts(unit[1:], "") if len(unit) > 1 else [0]
+            found = [0, *(1 + c for c in rest)]
         else:
-            counts, lone = self.prefixes(SPACE + unit)
-            if lone[-1]:
-                self.alone.add(unit)
-            counts = counts[1:]
-        self[unit] = counts
-        return counts
+            found = self.counts(unit, SPACE)
+        self.stored[unit] = bytes(found) if found[-1] < 256 else found
+        self[unit] = found[-1]
+        return found[-1]
+
+    def alone(self, unit: str) -> bool:
+        """Does the mark before the unit stay a token of its own?"""
+        i = len(unit) + 1
+        text, last = SPACE + unit, self.prefixes(SPACE + unit)[1]
+        while i > 1:
+            i -= len(self.pieces[last[i]]) if last[i] >= 0 else 1
+        return i == 1 or text == SPACE
 
     def run(self, n: int) -> int:
         """Tokens of n space marks in a row: equal ranks, so the leftmost pair goes first."""
@@ -133,9 +159,13 @@ class PrefixCounter(dict):
     def count(self, text: str) -> int:
         units = self.units(text)
         if "" not in units:
-            return sum(c[-1] for c in map(self.__getitem__, units))
+            return sum(map(self.__getitem__, units))
         return self.prefix_table(text)[1][-1]
 
+    def prefix_counts_of(self, unit: str) -> bytes | list[int]:
+        self[unit]
+        return self.stored[unit]
+
     def prefix_table(self, text: str) -> tuple[list[int], list[int]]:
         """Character offset and token count after every unit."""
         ends, totals, at, total, spaces = [], [], -1, 0, 0
@@ -145,9 +175,9 @@ class PrefixCounter(dict):
                 spaces, at = spaces + 1, at + 1
             else:
                 line = unit[0] == "\n"
-                total += self[unit][-1]
+                total += self[unit]
                 if spaces and not line:
-                    lone = unit in self.alone
+                    lone = self.alone(unit)
                     total += self.run(spaces + lone) - lone - self.run(spaces)
                 at, spaces = at + len(unit) + (not line), 0
             ends.append(max(at, 0))
@@ -168,7 +198,7 @@ class PrefixCounter(dict):
                 k += 1
                 if k < len(units) and units[k] and units[k - 1]:
                     line = units[k][0] == "\n"
-                    room, counts = budget - totals[k - 1], self[units[k]]
+                    room, counts = budget - totals[k - 1], self.prefix_counts_of(units[k])
                     more = max((i for i, c in enumerate(counts) if c <= room), default=-1)
                     best += max(0, more + (not line))
                 break
@@ -205,5 +235,5 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
-    out = rows.mapInPandas(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
+    out = map_pandas(rows, run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
     return out.withColumnRenamed("id", id_col)
