@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, decision_rules, importance, packing, token_counts
+from strandlake.llm import bpe, decision_rules, importance, packing, simhash, token_counts
 from strandlake.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -39,6 +39,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(docs, tokenizer_file(WORD_VOCAB))
 
 
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, seed=42, radius=4)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return decision_rules.judge(docs, decision_rules.learn(docs, table(spark, sf_dir, "labels")))
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_quality_resampling": op5_quality_resampling,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_simhash_components": op7_simhash_components,
     "op8_quality_rules": op8_quality_rules,
 }
 
