@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, decision_rules, importance, packing, simhash, token_counts
+from strandlake.llm import bpe, decision_rules, importance, packing, simhash, token_counts, warc
 from strandlake.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -25,6 +25,11 @@ def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.word_length(F.col("text")), buckets=16, budget=65_536)
 
 
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, tokenizer_file(PIECE_MODEL), limit=4096)
@@ -50,6 +55,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_length_buckets": op1_length_buckets,
+    "op2_warc_bundles": op2_warc_bundles,
     "op4_token_counts": op4_token_counts,
     "op5_quality_resampling": op5_quality_resampling,
     "op6_bpe_round_trip": op6_bpe_round_trip,
