@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, decision_rules, importance, packing, simhash, token_counts, warc
+from strandlake.llm import bpe, decision_rules, importance, link_trust, packing, rabitq, simhash, token_counts, warc
 from strandlake.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -30,6 +30,10 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, tokenizer_file(PIECE_MODEL), limit=4096)
@@ -53,14 +57,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_rules.judge(docs, decision_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = link_trust.judge(table(spark, sf_dir, "pages"), link_trust.RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_length_buckets": op1_length_buckets,
     "op2_warc_bundles": op2_warc_bundles,
+    "op3_one_bit_neighbours": op3_one_bit_neighbours,
     "op4_token_counts": op4_token_counts,
     "op5_quality_resampling": op5_quality_resampling,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_simhash_components": op7_simhash_components,
     "op8_quality_rules": op8_quality_rules,
+    "op10_url_trust": op10_url_trust,
 }
 
 ORACLE_SQL: dict[str, str] = {}
