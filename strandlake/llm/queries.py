@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, decision_rules, importance, link_trust, packing, rabitq, simhash, token_counts, warc
+from strandlake.llm import bpe, decision_rules, importance, line_dedup, link_trust, packing, rabitq, simhash, token_counts, warc
 from strandlake.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -57,6 +57,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_rules.judge(docs, decision_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = link_trust.judge(table(spark, sf_dir, "pages"), link_trust.RULES)
     return found.select("page_id", "host", "path", "rule", "verdict")
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_simhash_components": op7_simhash_components,
     "op8_quality_rules": op8_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
     "op10_url_trust": op10_url_trust,
 }
 
