@@ -125,14 +125,16 @@ def threshold(docs: DataFrame, labels: DataFrame, max_labels: int, lose: float,
     """The weighing UDF, and the key of the last document that the top k keep.
 
     k is the number of documents whose weight reaches the ``lose`` quantile of
-    good labelled ones (no cap: it grows with the input).
+    the good labelled ones that were held back, a third (no cap: it grows with
+    the input).
     """
     good = written(labelled(docs, labels, max_labels, id_col=id_col), "good-labels")
-    model = fit(docs, good, id_col=id_col, text_col=text_col)
+    held = F.pmod(F.xxhash64(F.lit(31), F.col(id_col)), F.lit(3)) == 0
+    model = fit(docs, good.where(~held), id_col=id_col, text_col=text_col)
     weigh = weigher(docs, model)
     scored = docs.select(F.col(id_col).alias("id"), weigh(F.col(text_col)).alias("weight"))
     scored = written(scored.withColumn("key", gumbel_key(F.col("weight"), F.col("id"), seed)), "weights")
-    least = scored.join(F.broadcast(good.select(F.col(id_col).alias("id"))), "id", "left_semi").agg(F.percentile_approx("weight", lose, 100_000)).first()[0]
+    least = scored.join(F.broadcast(good.where(held).select(F.col(id_col).alias("id"))), "id", "left_semi").agg(F.percentile_approx("weight", lose, 100_000)).first()[0]
     k = scored.where(F.col("weight") >= least).count() if least is not None else scored.count()
     return weigh, scored, kth_largest(scored, "key", k) if k else None
 
