@@ -1,6 +1,7 @@
 """All registered queries; importing a module of queries adds them."""
 
 from strandlake.plans import queries as _pileup  # noqa: F401
+from strandlake.plans import variant_queries as _variants  # noqa: F401
 from strandlake.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
