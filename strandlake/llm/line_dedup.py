@@ -2,8 +2,8 @@
 
 The words of a line are a set.  Words are ordered by rarity (rarest first); two
 sets of Jaccard 0.8 or more share one of their first n - ceil(0.8 n) + 1 words,
-so lines meet on those prefix words.  Length and position filters drop pairs
-that cannot reach the bound, and what is left is verified on the words.  A line
+so lines meet on those prefix words.  Length, position and parity filters drop
+pairs that cannot reach the bound, and what is left is verified on the words.  A line
 is removed if a line before it (by document id, then line number) is similar.
 
 Rarity is counted over all documents in a table of 2**16 word classes, of fixed
@@ -20,8 +20,17 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import words_of, written
 
 CLASSES = 1 << 16
-#: Lines to verify up to which their (id, line) table is broadcast; beyond it is joined by shuffle.
-BROADCAST_LINES = 100_000
+#: Hash bits of an ordered word, and two points to which the nearest is looked for.
+HASH = (1 << 57) - 1
+POINTS = (0x0F3A5C7E91B2D4, 0x1A2B3C4D5E6F70)
+#: Rows up to which a table of (id, line) is broadcast (some 100 MB); beyond it is joined by shuffle.
+BROADCAST_LINES = 1_000_000
+
+
+PAIR = ("id_a", "line_no_a", "id_b", "line_no_b")
+#: The first line comes before the second; lengths are within 4/5; similar sets differ in at most a ninth of their words together.
+CLOSE = """(id_a < id_b OR (id_a = id_b AND line_no_a < line_no_b)) AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)
+    AND 9 * bit_count(sig_a ^ sig_b) <= n_a + n_b"""
 
 
 def word_class(h: Column) -> Column:
@@ -40,10 +49,22 @@ def rarity(rows: DataFrame) -> Column:
 
 def ordered_words(line: Column, logs: Column) -> Column:
     """Distinct words as longs: 6 bits of rarity, 57 of hash; rarest first."""
-    key = lambda h: F.shiftleft(F.get(logs, word_class(h)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+    rare = lambda h: F.coalesce(F.get(logs, word_class(h)), F.lit(0)).cast("long")  # noqa: E731  never null: arrays of plain longs sort faster
+    key = lambda h: F.shiftleft(rare(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
     return F.sort_array(F.array_distinct(F.transform(F.transform(words_of(line), lambda w: F.xxhash64(w)), key)))
 
 
+def parity(words: Column) -> Column:
+    """One bit for each of 64 hash values, flipped by every word: two sets differ in at least as many words as parities in bits."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+
+
+def smallest(words: Column, mask: int) -> Column:
+    """The word whose hash is nearest to ``mask`` by XOR: sets that share most words mostly share it."""
+    return F.array_min(F.transform(words, lambda x: x.bitwiseAND(HASH).bitwiseXOR(mask)))
+
+
 def split_lines(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
@@ -55,31 +76,61 @@ def similar_lines(rows: DataFrame) -> DataFrame:
     n = F.size("w")
     prefix = F.slice("w", F.lit(1), n - F.ceil(n * 4 / F.lit(5)).cast("int") + 1)
     # Two hashes of the whole set tell sets apart (128 bits).
-    lines = lines.where(n > 0).select("id", "line_no", n.alias("n"), prefix.alias("prefix"), F.xxhash64("w").alias("s1"), F.xxhash64(F.lit(1), "w").alias("s2"))
+    lines = lines.where(n > 0).select("id", "line_no", n.alias("n"), prefix.alias("prefix"), parity(F.col("w")).alias("sig"), F.array(*(smallest(F.col("w"), p) for p in POINTS)).alias("near"), F.xxhash64("w").alias("s1"), F.xxhash64(F.lit(1), "w").alias("s2"))
     lines = written(lines, "line-sets")
-    firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct("id", "line_no", "n", "prefix")).alias("f"))
-    later = lines.select("id", "line_no", "s1", "s2").join(firsts.select("s1", "s2", F.struct("f.id", "f.line_no").alias("first")), ["s1", "s2"]).where(F.struct("id", "line_no") > F.col("first")).select("id", "line_no")
+    place = F.struct("id", "line_no")
+    repeated = lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    later = lines.select("id", "line_no", "s1", "s2").join(repeated, ["s1", "s2"]).where(place > F.col("first")).select("id", "line_no")
     later = written(later, "repeated-lines")
-    entry = firsts.select(F.col("f.id").alias("id"), F.col("f.line_no").alias("line_no"), F.col("f.n").alias("n"), F.posexplode("f.prefix").alias("at", "w"))
-    a, b = (entry.select("w", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "line_no", "n", "at"))) for side in "ab")
-    earlier = F.expr("id_a < id_b OR (id_a = id_b AND line_no_a < line_no_b)")
-    lengths = F.expr("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    # The first line of every set; later ones are a narrow table, so the wide rows do not move.
+    few = later.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    firsts = lines.join(F.broadcast(later) if few else later, ["id", "line_no"], "left_anti")
+
+    # Most members of a large group of alike lines are similar to its first one: these need no other partner.
+    keyed = firsts.select("id", "line_no", "n", "sig", F.explode("near").alias("k"))
+    heads = keyed.groupBy("k").agg(F.min(F.struct("id", "line_no", "n", "sig")).alias("h"), F.count("*").alias("times")).where("times > 1")
+    heads = heads.select("k", *(F.col(f"h.{c}").alias(f"{c}_a") for c in ("id", "line_no", "n", "sig")))
+    to_head = heads.join(keyed.select("k", *(F.col(c).alias(f"{c}_b") for c in ("id", "line_no", "n", "sig"))), "k").where(CLOSE)
+    like_head = written(verified(rows, written(to_head.select(*PAIR).distinct(), "head-pairs")), "lines-like-heads")
+
+    # All others are held against every line before them that shares a prefix word.
+    done = like_head.select(F.col("id_b").alias("id"), F.col("line_no_b").alias("line_no"), F.lit(True).alias("done"))
+    few = done.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    entry = firsts.join(F.broadcast(done) if few else done, ["id", "line_no"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    entry = entry.select("id", "line_no", "n", "sig", "done", F.posexplode("prefix").alias("at", "w"))
+    a, b = (entry.select("w", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "line_no", "n", "sig", "done", "at"))) for side in "ab")
     # What can still be shared from here on, against 4/9 of both lengths.
     places = F.expr("9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)")
-    pairs = a.join(b, "w").where(earlier & lengths & places).select("id_a", "line_no_a", "id_b", "line_no_b").distinct()
-    pairs = written(pairs, "line-pairs")
-    return later.unionByName(verified(rows, pairs).withColumnsRenamed({"id_b": "id", "line_no_b": "line_no"})).distinct()
+    pairs = a.join(b, "w").where(F.expr(CLOSE) & places & ~F.col("done_b")).select(*PAIR).distinct()
+    near = verified(rows, written(pairs, "line-pairs")).unionByName(like_head)
+    return later.unionByName(near.withColumnsRenamed({"id_b": "id", "line_no_b": "line_no"})).distinct()
 
 
 def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id_b, line_no_b) of the pairs whose word sets have a Jaccard similarity of 0.8 or more."""
+    """(id_b, line_no_b) of the pairs whose word sets have a Jaccard similarity of 0.8 or more.
+
+    The words of the lines in question are fetched once; parities of 256 bits
+    come first, so that few pairs meet their words.
+    """
     needed = pairs.select(F.col("id_a").alias("id"), F.col("line_no_a").alias("line_no")).unionByName(pairs.select(F.col("id_b").alias("id"), F.col("line_no_b").alias("line_no"))).distinct()
     needed = written(needed, "lines-to-verify")
     few = needed.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     lines = split_lines(rows).join(F.broadcast(needed) if few else needed, ["id", "line_no"], "left_semi")
-    words = written(lines.select("id", "line_no", F.array_distinct(words_of(F.col("line"))).alias("words")), "words-to-verify")
-    a, b = (words.select(*(F.col(c).alias(f"{c}_{side}") for c in words.columns)) for side in "ab")
-    both = pairs.join(a, ["id_a", "line_no_a"]).join(b, ["id_b", "line_no_b"])
+    words = lines.select("id", "line_no", F.array_distinct(words_of(F.col("line"))).alias("words"))
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    # Four parities of 64 bits, each of a quarter of the words.
+    quarter = lambda k: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(3) == k)
+    wide = F.array(*(parity(quarter(k)) for k in range(4)))
+    words = written(words.select("id", "line_no", F.size("words").alias("n"), wide.alias("sig"), "words"), "words-to-verify")
+
+    def sides(columns: list[str]) -> list[DataFrame]:
+        return [words.select(*(F.col(c).alias(f"{c}_{side}") for c in ["id", "line_no", *columns])) for side in "ab"]
+
+    a, b = sides(["n", "sig"])
+    differ = " + ".join(f"bit_count(sig_a[{k}] ^ sig_b[{k}])" for k in range(4))
+    near = pairs.join(a, ["id_a", "line_no_a"]).join(b, ["id_b", "line_no_b"]).where(f"9 * ({differ}) <= n_a + n_b").select(*pairs.columns)
+    a, b = sides(["words"])
+    both = near.join(a, ["id_a", "line_no_a"]).join(b, ["id_b", "line_no_b"])
     shared = F.size(F.array_intersect("words_a", "words_b"))
     return both.where(9 * shared >= 4 * (F.size("words_a") + F.size("words_b"))).select("id_b", "line_no_b").distinct()
 
