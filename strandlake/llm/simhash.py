@@ -224,9 +224,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, seed: int = 42, radius: int = 4,
     """One row of each group, with all its columns: the one with the smallest id.
 
     The kept ids are written and joined with the rows; of rows that repeat an
-    id one stays, and rows without an id stay only if their group has none.
+    id one stays.  Rows without an id cannot be told apart and all stay.
     """
-    found = near_duplicates(docs, shingle, seed, radius, id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    named = docs.where(F.col(id_col).isNotNull())
+    found = near_duplicates(named, shingle, seed, radius, id_col, text_col)
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
+    rows = named.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))

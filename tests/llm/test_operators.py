@@ -158,7 +158,7 @@ def test_simhash(docs, odd):
     assert simhash.near_duplicates(odd).count() == len(ODD_DOCS)
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
     kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns and kept.where("doc_id = 3").count() == 1
+    assert kept.columns == odd.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id IS NULL").count() == 1
 
 
 def test_ball_links_of_crowds(spark, monkeypatch):
