@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: i
 def keep_one(docs: DataFrame, shingle: int = 5, seed: int = 42, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, with all its columns: the one with the smallest id.
 
-    The kept ids are written and joined with the rows; of rows that repeat an
+    The kept ids are joined with the rows; of rows that repeat an
     id one stays.  Rows without an id cannot be told apart and all stay.
     """
     named = docs.where(F.col(id_col).isNotNull())
