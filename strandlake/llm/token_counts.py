@@ -130,7 +130,7 @@ class PrefixCounter(dict):
             found = [0, *(1 + c for c in rest)]
         else:
             found = self.counts(unit, SPACE)
-        self.stored[unit] = bytes(found) if found[-1] < 256 else found
+        self.stored[unit] = bytes(found) if max(found) < 256 else found  # a prefix may count more than the whole
         self[unit] = found[-1]
         return found[-1]
 

@@ -40,6 +40,23 @@ def test_every_prefix_and_budget():
             assert len(library.encode(text[: table.fit(text, budget)])) <= budget
 
 
+def test_units_whose_count_falls_back():
+    """A spaceless unit may end at 255 tokens with 256 at a prefix before."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table, library = token_counts.counter(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng, met = random.Random(4), 0
+    for _ in range(40):
+        unit = "".join(rng.choice(["tion", "the", "ing", "straße", "qu", "x", "ver", "ation", "er", "z"]) for _ in range(600))
+        counts = table.prefixes("▁" + unit)[0][1:]
+        for n in [n for n in range(1, len(unit) + 1) if counts[n] < 256 <= max(counts[: n + 1])][:3]:
+            met += 1
+            assert table.count(unit[:n]) == len(library.encode(unit[:n])) and table.fit(unit[:n], 10_000) == n
+            assert list(table.prefix_counts_of(unit[:n])) == counts[: n + 1]
+    assert met
+
+
 def test_ids_and_decoding_are_the_library_s(texts):
     from tokenizers import Tokenizer
 
