@@ -1,8 +1,9 @@
 """Haplotype labelling: enumerate truth and candidate haplotypes of a region, match, and label alleles.
 
 A region row has ``region``, ``seg_start``, ``segment`` and an array ``sites``
-of (pos, ref, alts, gt) in order.  Regions with more than ten sites, or with
-too many combinations, are told apart before anything is enumerated.
+of (pos, ref, alts, gt) in order.  Regions with more than ten sites are told
+apart before anything is enumerated; the combinations of the others are rows,
+site by site, so that no row holds them all.
 """
 
 from __future__ import annotations
@@ -10,41 +11,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_SITES, MAX_PAIRS = 10, 100_000
+MAX_SITES = 10
 
 _GAP = "substring(segment, cast(a.at - seg_start AS int) + 1, cast(x.pos - a.at AS int))"
 _TAIL = "substring(segment, cast(a.at - seg_start AS int) + 1)"
 
 
-def feasible(regions: DataFrame, candidate: bool) -> DataFrame:
-    """Adds ``reject``: too many sites or combinations, or a site outside of the segment."""
-    per = "power(1 + size(x.alts), 2)" if candidate else "6"
-    total = F.expr(f"aggregate(sites, 1D, (t, x) -> t * {per})")
+def feasible(regions: DataFrame) -> DataFrame:
+    """Adds ``reject``: too many sites, or a site outside of the segment."""
     over = F.expr("exists(sites, x -> x.pos < seg_start OR x.pos + length(x.ref) > seg_start + length(segment))")
-    return regions.withColumn("reject", (F.size("sites") > MAX_SITES) | (total > MAX_PAIRS) | over)
+    return regions.withColumn("reject", (F.size("sites") > MAX_SITES) | over)
+
+
+def _walked(regions: DataFrame, start: str, choices: str, step: str) -> DataFrame:
+    """(region, segment, seg_start, a): ``a`` after all sites, a row for each way to choose ``g`` at every site ``x``."""
+    rows = feasible(regions).where("NOT reject").select("region", "seg_start", "segment", "sites", F.expr(start).alias("a"))
+    for k in range(MAX_SITES):
+        rows = rows.withColumn("x", F.get("sites", F.lit(k)))
+        rows = rows.select("*", F.posexplode_outer(F.expr(f"if(x IS NULL, NULL, {choices})")).alias("o", "g"))
+        rows = rows.withColumn("a", F.expr(f"if(x IS NULL, a, {step})")).drop("x", "o", "g")
+    return rows
 
 
 def truth_haplotypes(regions: DataFrame) -> DataFrame:
     """(region, ordinal, h0, h1, missed, extra), swapped and repeated pairs left out (the first stays)."""
     every = "concat(array(x.ref), x.alts)"
     gts = "array_distinct(array(named_struct('u', 0, 'v', 0), named_struct('u', x.gt[0], 'v', 0), named_struct('u', 0, 'v', x.gt[0]), named_struct('u', x.gt[1], 'v', 0), named_struct('u', 0, 'v', x.gt[1]), named_struct('u', x.gt[0], 'v', x.gt[1])))"
-    true = f"array_distinct(transform(x.gt, g -> {every}[g]))"
-    step = f"""flatten(transform(acc, a -> transform({gts}, g -> named_struct('at', x.pos + length(x.ref),
+    true = f"array_distinct(transform(x.gt, t -> {every}[t]))"
+    step = f"""named_struct('at', cast(x.pos + length(x.ref) AS bigint), 'ordinal', a.ordinal * 6 + o,
         'h0', concat(a.h0, {_GAP}, {every}[g.u]), 'h1', concat(a.h1, {_GAP}, {every}[g.v]),
         'missed', a.missed + size(array_except({true}, array({every}[g.u], {every}[g.v]))),
-        'extra', a.extra + size(array_except(array({every}[g.u], {every}[g.v]), {true}))))))"""
-    rows = feasible(regions, False).where("NOT reject")
-    fold = f"aggregate(sites, array(named_struct('at', seg_start, 'h0', '', 'h1', '', 'missed', 0, 'extra', 0)), (acc, x) -> {step}, acc -> transform(acc, a -> named_struct('h0', concat(a.h0, {_TAIL}), 'h1', concat(a.h1, {_TAIL}), 'missed', a.missed, 'extra', a.extra)))"
-    out = rows.select("region", F.posexplode(F.expr(fold)).alias("ordinal", "h")).select("region", "ordinal", "h.*")
+        'extra', a.extra + size(array_except(array({every}[g.u], {every}[g.v]), {true})))"""
+    rows = _walked(regions, "named_struct('at', cast(seg_start AS bigint), 'ordinal', 0L, 'h0', '', 'h1', '', 'missed', 0, 'extra', 0)", gts, step)
+    out = rows.select("region", "a.ordinal", F.expr(f"concat(a.h0, {_TAIL})").alias("h0"), F.expr(f"concat(a.h1, {_TAIL})").alias("h1"), "a.missed", "a.extra")
     return out.groupBy("region", F.least("h0", "h1").alias("lo"), F.greatest("h0", "h1").alias("hi")).agg(F.min(F.struct("ordinal", "h0", "h1", "missed", "extra")).alias("h")).select("region", "h.*")
 
 
 def candidate_haplotypes(regions: DataFrame) -> DataFrame:
     """(region, haplotype, picks): every choice of one allele at each site; equal texts keep the first choice."""
-    step = f"""flatten(transform(acc, a -> transform(concat(array(x.ref), x.alts), y -> named_struct('at', x.pos + length(x.ref), 'h', concat(a.h, {_GAP}, y), 'picks', concat(a.picks, array(y))))))"""
-    rows = feasible(regions, True).where("NOT reject")
-    fold = f"aggregate(sites, array(named_struct('at', seg_start, 'h', '', 'picks', cast(array() AS array<string>))), (acc, x) -> {step}, acc -> transform(acc, a -> named_struct('h', concat(a.h, {_TAIL}), 'picks', a.picks)))"
-    out = rows.select("region", F.posexplode(F.expr(fold)).alias("ordinal", "c")).select("region", "ordinal", F.col("c.h").alias("haplotype"), "c.picks")
+    step = f"named_struct('at', cast(x.pos + length(x.ref) AS bigint), 'ordinal', concat(a.ordinal, array(o)), 'h', concat(a.h, {_GAP}, g), 'picks', concat(a.picks, array(g)))"
+    rows = _walked(regions, "named_struct('at', cast(seg_start AS bigint), 'ordinal', cast(array() AS array<int>), 'h', '', 'picks', cast(array() AS array<string>))", "concat(array(x.ref), x.alts)", step)
+    out = rows.select("region", "a.ordinal", F.expr(f"concat(a.h, {_TAIL})").alias("haplotype"), "a.picks")
     return out.groupBy("region", "haplotype").agg(F.min_by("picks", "ordinal").alias("picks"))
 
 

@@ -86,8 +86,7 @@ def dump_training(reads: DataFrame, reference: DataFrame, truth: DataFrame, conf
     support = site_support(reads, reference)
     inside = I.points_in(support.withColumn("pos", F.col("site_start")), confident)
     near = I.points_in(truth, confident)
-    seen = near.join(inside.select("chrom", F.col("site_start").alias("pos")).distinct(), ["chrom", "pos"], "left_semi")
-    known, found = label_regions(seen, inside.drop("pos"), reference, width=200)
+    known, found = label_regions(near, inside.drop("pos"), reference, width=200)
     labelled = H.label_sites(known, found)
     keyed = inside.select(F.concat_ws("_", "chrom", F.floor(F.col("site_start") / 200)).alias("region"), F.col("site_start").alias("pos"), "allele", "support")
     return H.label_alleles(labelled, keyed)

@@ -11,6 +11,7 @@ from strandlake.operators import pileup as P
 from strandlake.operators import reads as R
 from strandlake.operators import sites as T
 from strandlake.operators import variants as V
+from strandlake.plans import jobs
 
 REF = "ACGATACCGTACGGATCGGATCGT"
 READ_SCHEMA = "chrom string, read_name string, start long, end long, seq string, qual array<smallint>, cigar array<struct<op:int,len:int>>, mapq int, is_reverse boolean, flag int, tags map<string,int>, tech string"
@@ -162,6 +163,29 @@ def test_labels(spark):
     assert H.label_sites(truth, region(["C"], [0, 0])).first().status == "MISSED"
 
 
+def test_labels_of_ten_sites(spark):
+    """Seven and more truth sites, nine and more candidate sites are labelled; eleven are not."""
+    schema = "region string, seg_start long, segment string, sites array<struct<pos:long,ref:string,alts:array<string>,gt:array<int>>>"
+    rows = [(f"r{n}", 100, "ACGT" * 30, [(103 + 8 * k, "T", ["G"], [0, 1]) for k in range(n)]) for n in (2, 7, 10, 11)]
+    regions = spark.createDataFrame(rows, schema)
+    found = H.label_sites(regions, regions).collect()
+    assert {(r.region, r.status) for r in found} == {("r2", "LABELLED"), ("r7", "LABELLED"), ("r10", "LABELLED"), ("r11", "MISSED")}
+    assert all({r.picks0_allele, r.picks1_allele} == {"T", "G"} for r in found if r.region != "r11")
+
+
+def test_truth_inside_a_run(spark, monkeypatch):
+    """A true variant at a later position of a candidate site labels its allele."""
+    genome = "ACGT" * 100
+    rows = [("c", 100, 103, a, n, "ACG") for a, n in (("ACG", 9), ("ATG", 8))]
+    support = spark.createDataFrame(rows, "chrom string, site_start long, site_stop long, allele string, support long, ref string")
+    monkeypatch.setattr(jobs, "site_support", lambda reads, reference: support)
+    chunk = spark.createDataFrame([("c", 0, 0, genome)], "chrom string, chunk_id long, chunk_start long, seq string")
+    truth = spark.createDataFrame([("c", 101, "C", ["T"], [1, 1])], "chrom string, pos long, ref string, alts array<string>, gt array<int>")
+    confident = spark.createDataFrame([("c", 0, 400)], "chrom string, start long, stop long")
+    found = jobs.dump_training(None, chunk, truth, confident).collect()
+    assert {(r.allele, r.label, r.site_label) for r in found} == {("ACG", 0, 0), ("ATG", 1, 0)}
+
+
 def test_clip_lengths(spark, three):
     rows = three.withColumn("region_start", F.lit(11)).withColumn("region_stop", F.lit(14))
     for r in R.clipped(rows, rows, 0).collect():
