@@ -4,12 +4,13 @@ The counts are those of a SentencePiece BPE model.  A prefix of length i of a
 unit ends in exactly one token t for which the prefix without t is encoded with
 a last token that may stand before t; ``count[i] = count[i - len(t)] + 1``.
 Candidates for t come from Aho-Corasick matches, and whether t may stand after
-another token from a table of pairs.  So one pass over a unit stores the exact count at *every* prefix, and questions
-such as "how much of the text fits into 4096 tokens" need no re-encoding.
+another token from a table of pairs.  So one pass over a unit stores the exact count at *every* prefix.  The counts of
+all prefixes of a text follow from those of its units (``prefix_counts``), and questions such as "how many tokens has
+this prefix" or "how much of the text fits into 4096 tokens" are answered from them without encoding anything again.
 
 No piece of such a model has a space mark after another character, so a text
-falls into units that begin at spaces, and counts of units add up.  Units are
-counted once and remembered in a bounded table of each Python worker.
+falls into units that begin at spaces, and counts of units add up.  Short units
+are counted once and remembered in a bounded table of each Python worker.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from strandlake.llm.common import map_pandas
 
 SPACE = "▁"
-#: Units that a worker remembers before it starts afresh.
-MEMO_UNITS = 600_000
+#: Units that a worker remembers before it starts afresh, and the characters up to which one is remembered: together they bound the bytes.
+MEMO_UNITS, MEMO_CHARS = 600_000, 64
 #: Marks at the end of a unit that are tried as a cut.
 TAIL = ".,;:!?%&$*#|"
 
@@ -116,31 +119,37 @@ class PrefixCounter(dict):
         k = len(unit.rstrip(TAIL))
         if 0 < k < len(unit) and unit[k - 1 : k + 1] not in self.joined:
             if (end := self.bare.get(unit[k:])) is None:
-                end = self.bare[unit[k:]] = self.prefixes(unit[k:])[0]
+                end = self.prefixes(unit[k:])[0]
+                if len(unit) - k <= MEMO_CHARS:
+                    self.bare[unit[k:]] = end
             start = self.prefix_counts_of(unit[:k]) if mark else self.prefixes(unit[:k])[0]
             return [*start, *(start[-1] + c for c in end[1:])]
         return self.prefixes(mark + unit)[0][len(mark) :]
 
     def __missing__(self, unit: str) -> int:
-        if len(self) >= MEMO_UNITS:
-            for known in (self, self.stored, self.bare):
-                known.clear()
-        if unit[0] == "\n":
-            rest = self.counts(unit[1:], "") if len(unit) > 1 else [0]
-            found = [0, *(1 + c for c in rest)]
-        else:
-            found = self.counts(unit, SPACE)
-        self.stored[unit] = bytes(found) if max(found) < 256 else found  # a prefix may count more than the whole
-        self[unit] = found[-1]
+        found = self.unit_counts(unit)
+        if len(unit) <= MEMO_CHARS:
+            if len(self) >= MEMO_UNITS:
+                for known in (self, self.stored, self.bare):
+                    known.clear()
+            self.stored[unit] = bytes(found) if max(found) < 256 else found  # a prefix may count more than the whole
+            self[unit] = found[-1]
         return found[-1]
 
-    def alone(self, unit: str) -> bool:
-        """Does the mark before the unit stay a token of its own?"""
-        i = len(unit) + 1
-        text, last = SPACE + unit, self.prefixes(SPACE + unit)[1]
-        while i > 1:
-            i -= len(self.pieces[last[i]]) if last[i] >= 0 else 1
-        return i == 1 or text == SPACE
+    def unit_counts(self, unit: str) -> list[int]:
+        if unit[0] != "\n":
+            return self.counts(unit, SPACE)
+        rest = self.counts(unit[1:], "") if len(unit) > 1 else [0]
+        return [0, *(1 + c for c in rest)]
+
+    def alone(self, unit: str) -> list[bool]:
+        """For every prefix of the unit: does the mark before it stay a token of its own?"""
+        last = self.prefixes(SPACE + unit)[1]
+        out = [True]  # the bare mark
+        for i in range(2, len(last)):
+            before = i - (len(self.pieces[last[i]]) if last[i] >= 0 else 1)
+            out.append(before > 0 and out[before - 1])
+        return out
 
     def run(self, n: int) -> int:
         """Tokens of n space marks in a row: equal ranks, so the leftmost pair goes first."""
@@ -160,49 +169,51 @@ class PrefixCounter(dict):
         units = self.units(text)
         if "" not in units:
             return sum(map(self.__getitem__, units))
-        return self.prefix_table(text)[1][-1]
+        total = spaces = 0
+        for unit in units:
+            if unit == "":
+                total += self.run(spaces + 1) - self.run(spaces)
+                spaces += 1
+            else:
+                total += self[unit]
+                if spaces and unit[0] != "\n":
+                    total += self.after_spaces(spaces, self.alone(unit)[-1])
+                spaces = 0
+        return total
 
-    def prefix_counts_of(self, unit: str) -> bytes | list[int]:
-        self[unit]
-        return self.stored[unit]
+    def after_spaces(self, spaces: int, alone: bool) -> int:
+        """What a unit counts more after a run of spaces, whose marks may merge with its own."""
+        return self.run(spaces + alone) - alone - self.run(spaces)
 
-    def prefix_table(self, text: str) -> tuple[list[int], list[int]]:
-        """Character offset and token count after every unit."""
-        ends, totals, at, total, spaces = [], [], -1, 0, 0
-        for unit in self.units(text):
+    def prefix_counts_of(self, unit: str) -> bytes | list[int]:
+        if (found := self.stored.get(unit)) is None:
+            found = self.unit_counts(unit)
+        return found
+
+    def prefix_counts(self, text: str) -> list[int]:
+        """Tokens of text[:n] for every n from 0 to the length of the text."""
+        out, total, spaces = [0], 0, 0
+        for k, unit in enumerate(self.units(text)):
             if unit == "":
-                total += self.run(spaces + 1) - (self.run(spaces) if spaces else 0)
-                spaces, at = spaces + 1, at + 1
+                total += self.run(spaces + 1) - self.run(spaces)
+                spaces += 1
+                if k:  # the first mark stands before the text
+                    out.append(total)
+                continue
+            counts, line = self.prefix_counts_of(unit), unit[0] == "\n"
+            if k and not line:  # the space itself
+                out.append(total + self.run(spaces + 1) - self.run(spaces))
+            if spaces and not line:
+                more = [self.after_spaces(spaces, x) for x in self.alone(unit)]
+                out += [total + c + m for c, m in zip(counts[1:], more[1:], strict=True)]
             else:
-                line = unit[0] == "\n"
-                total += self[unit]
-                if spaces and not line:
-                    lone = self.alone(unit)
-                    total += self.run(spaces + lone) - lone - self.run(spaces)
-                at, spaces = at + len(unit) + (not line), 0
-            ends.append(max(at, 0))
-            totals.append(total)
-        return ends, totals
-
-    def prefix_count(self, text: str, n_chars: int) -> int:
-        """Tokens of text[:n_chars], from the stored counts."""
-        return self.count(text[:n_chars]) if n_chars < len(text) else self.count(text)
+                out += [total + c for c in counts[1:]]
+            total, spaces = out[-1], 0
+        return out
 
     def fit(self, text: str, budget: int) -> int:
-        """Characters of the longest run of whole units from the start within the budget, carried on into the next unit."""
-        ends, totals = self.prefix_table(text)
-        best, units = 0, self.units(text)
-        for k in range(len(ends) - 1, -1, -1):
-            if totals[k] <= budget:
-                best = ends[k]
-                k += 1
-                if k < len(units) and units[k] and units[k - 1]:
-                    line = units[k][0] == "\n"
-                    room, counts = budget - totals[k - 1], self.prefix_counts_of(units[k])
-                    more = max((i for i, c in enumerate(counts) if c <= room), default=-1)
-                    best += max(0, more + (not line))
-                break
-        return best
+        """Characters of the longest prefix of at most ``budget`` tokens (a longer prefix may have fewer tokens than a shorter one)."""
+        return int(np.flatnonzero(np.array(self.prefix_counts(text)) <= budget)[-1])
 
 
 @lru_cache(maxsize=2)
@@ -237,3 +248,30 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     out = map_pandas(rows, run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
     return out.withColumnRenamed("id", id_col)
+
+
+def prefix_tables(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, counts): the exact token count of every prefix of every whole text, from 0 to all its characters.
+
+    Null texts are empty (one count, 0); ids may be null or repeated (a row each); other columns are not looked at.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = counter(model_file)
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "counts": [np.array(table.prefix_counts(t), np.int32) for t in pdf["text"].fillna("")]})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
+    return map_pandas(rows, run, f"id {kind}, counts array<int>").withColumnRenamed("id", id_col)
+
+
+def tokens_of_prefix(counts: Column, chars: Column) -> Column:
+    """Tokens of the first ``chars`` characters, from a prefix table (beyond the text: those of all of it)."""
+    return F.get(counts, F.least(F.greatest(chars, F.lit(0)), F.size(counts) - 1))
+
+
+def chars_within(counts: Column, budget: Column) -> Column:
+    """Characters of the longest prefix within a token budget, from a prefix table (0 at least)."""
+    last = F.size(counts) - F.array_position(F.transform(F.reverse(counts), lambda c: (c <= budget).cast("int")), 1)
+    return F.greatest(last, F.lit(0)).cast("int")

@@ -4,11 +4,12 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import bpe, token_counts
 
 ODD = [
-    "", " ", "  a", "a  b", "a\nb", "a \n b", "<s> x </s>", "é é ﬁ", "　x", "\u0000a", "a▁b", "\t\tx", "hello   ", "\n", "\n\n a", "  \n  ", "it's I'll 'S DON'T", "ΑΣ Σ ΣΑΣ", "İstanbul", "<|endoftext|>",
+    "", " ", "  a", "a  b", "a\nb", "a \n b", "<s> x </s>", "é é ﬁ", "　x", "\u0000a", "a▁b", "\t\tx", "salve   ", "\n", "\n\n a", "  \n  ", "it's I'll 'S DON'T", "ΑΣ Σ ΣΑΣ", "İstanbul", "<|endoftext|>",
     "a<|startoftext|> b <|endoftext|><|ENDOFTEXT|>", "x\x85y\x1cz\xa0q", "日本語のテキスト 漢字", "😀 😀😀 👨‍👩‍👧", "Ⅷ ½ ²3 ٣", "ǅ ẞ ß", "á̀", "가각 가", "....!!!???", "a" * 500, " " * 333 + "b" + " " * 77, "▁▁▁",
 ]
 
@@ -29,15 +30,31 @@ def test_counts_are_the_library_s(texts):
     assert [table.count(t) for t in texts] == [len(library.encode(t)) for t in texts]
 
 
-def test_every_prefix_and_budget():
+def test_every_prefix_and_budget(texts):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     table, library = token_counts.counter(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    for text in ODD:
-        assert [table.prefix_count(text, n) for n in range(len(text) + 1)] == [len(library.encode(text[:n])) for n in range(len(text) + 1)]
-        for budget in (1, 3, 9):
-            assert len(library.encode(text[: table.fit(text, budget)])) <= budget
+    for text in [*texts[: len(ODD) + 1500], "aa   bbbbbb cc", "ab" * 400]:
+        slow = [len(library.encode(text[:n])) for n in range(len(text) + 1)]
+        assert table.prefix_counts(text) == slow
+        for budget in (0, 1, 2, 3, 9, 200):
+            assert table.fit(text, budget) == max(n for n, c in enumerate(slow) if c <= budget)
+
+
+def test_prefix_tables(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(1, None), (2, ""), (3, "a  b c"), (None, "xyz" * 30), (3, "a  b c")]
+    table = token_counts.prefix_tables(spark.createDataFrame(rows, "doc_id long, text string").withColumn("counts", F.lit(1)), path)
+    asked = table.select("doc_id", "counts", token_counts.tokens_of_prefix(F.col("counts"), F.lit(2)).alias("two"), token_counts.chars_within(F.col("counts"), F.lit(3)).alias("fits")).collect()
+    assert len(asked) == 5
+    for r in asked:
+        text = {1: "", 2: "", 3: "a  b c", None: "xyz" * 30}[r.doc_id]
+        slow = [len(library.encode(text[:n])) for n in range(len(text) + 1)]
+        assert r.counts == slow and r.two == slow[min(2, len(text))] and r.fits == max(n for n, c in enumerate(slow) if c <= 3)
 
 
 def test_units_whose_count_falls_back():
