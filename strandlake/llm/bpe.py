@@ -24,8 +24,8 @@ from strandlake.llm.common import map_pandas
 END = "</w>"
 #: One character that no byte-level alphabet has stands for the end of a word.
 MARK = "␂"
-#: Chunks, and pre-tokens, that a worker remembers before it starts afresh.
-MEMO_WORDS = 250_000
+#: Chunks, and pre-tokens, that a worker remembers before it starts afresh, and the characters up to which one is remembered: together they bound the bytes.
+MEMO_WORDS, MEMO_CHARS = 250_000, 256
 #: The split pattern of the vocabulary file (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -141,9 +141,11 @@ class Encoder:
         for word in self.words.findall(chunk.replace("Σ", "σ").lower()):
             known = self.known.get(word)
             if known is None:
-                if len(self.known) >= MEMO_WORDS:
-                    self.known.clear()
-                known = self.known[word] = self.encode_word(word)
+                known = self.encode_word(word)
+                if len(word) <= MEMO_CHARS:
+                    if len(self.known) >= MEMO_WORDS:
+                        self.known.clear()
+                    self.known[word] = known
             ids += known
         return ids
 
@@ -156,7 +158,7 @@ class Encoder:
         ids = " ".join(map(self.as_ids.__getitem__, words))
         try:
             decoded = " ".join(map(self.as_text.__getitem__, words))
-        except KeyError:  # the memo was cleared on the way
+        except KeyError:  # a long chunk, or the memo was cleared on the way
             decoded = self.decode(int(i) for i in ids.split())
         return ids, decoded
 
@@ -173,12 +175,13 @@ class Memo(dict):
 
     def __missing__(self, chunk: str) -> str:
         e = self.encoder
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-            e.as_text.clear()
         ids = e.encode_chunk(chunk)
-        out = self[chunk] = " ".join(map(str, ids))
-        e.as_text[chunk] = e.decode(ids)
+        out = " ".join(map(str, ids))
+        if len(chunk) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+                e.as_text.clear()
+            self[chunk], e.as_text[chunk] = out, e.decode(ids)
         return out
 
 
