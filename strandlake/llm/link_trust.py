@@ -74,27 +74,36 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return rows.select("src", dst.alias("dst")).where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank: (host, score) with score = (1 - d) seed + d * sum of what links bring.
 
     Seeds keep their own size (they aren't normalised), so a score can be held
     against a fixed threshold; what reaches a host without links is lost.  A
-    host that many link to is summed before the shuffle.  Every third round is
-    written, so that the lineage stays short.
+    host that many link to is summed before the shuffle.  Rounds go on, three
+    at a time, until the scores together change by no more than ``tolerance``
+    of the seeds (each round brings the change down to ``damping`` of it at
+    least); they are written each time, so that the lineage stays short.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     shares = written(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "link-shares")
     base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
-    scores = base
-    for k in range(rounds):
-        brought = shares.join(scores, shares["src"] == scores["host"]).select(F.col("dst").alias("host"), (F.col("share") * F.col("score") * damping).alias("score"))
-        scores = base.unionByName(brought).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 3 == 2 or k == rounds - 1:
-            scores = written(scores, "host-scores")
-    return scores
-
-
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 12, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    if shares.isEmpty():
+        return base
+    allowed = tolerance * (base.agg(F.sum("score")).first()[0] or 0.0)
+    scores = written(base, "host-scores")
+    while True:
+        before = scores
+        for _ in range(3):
+            brought = shares.join(scores, shares["src"] == scores["host"]).select(F.col("dst").alias("host"), (F.col("share") * F.col("score") * damping).alias("score"))
+            scores = base.unionByName(brought).groupBy("host").agg(F.sum("score").alias("score"))
+        scores = written(scores, "host-scores")
+        both = scores.unionByName(before.select("host", (-F.col("score")).alias("score")))
+        moved = both.groupBy("host").agg(F.sum("score").alias("by")).agg(F.sum(F.abs("by"))).first()[0]
+        if (moved or 0.0) <= allowed:
+            return scores
+
+
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, threshold: float = 0.5, damping: float = 0.85, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: host, path, rule, the host's trust and distrust, and the verdict (allow or block).
 
     The seed of a host is the share of its pages that rules allow (trust) or
@@ -107,9 +116,9 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, threshold: float
     seeds = written(rows.where("host <> ''").groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block")), "host-seeds")
     edges = written(host_links(rows), "host-links")
     seed = lambda kind: seeds.where(F.col(kind) > 0).select("host", F.col(kind).alias("seed"))
-    trust = propagate(edges, seed("allow"), damping, rounds)
+    trust = propagate(edges, seed("allow"), damping)
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(against, seed("block"), damping, rounds)
+    distrust = propagate(against, seed("block"), damping)
     scores = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
     scores = scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     bad = (F.col("distrust") > threshold * (1 - damping)) & (F.col("distrust") > F.col("trust"))
