@@ -15,6 +15,7 @@ verified once more.  Components come from alternating large and small stars.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import map_pandas, written
 
 BITS = 64
-#: Leading bits of a variant by which it is sent, and further ones for crowded leads.
+#: Leading bits of a variant by which it is sent, and further ones for crowded leads (together they come to all bits).
 LEAD, MORE = 16, 12
 #: A lead with more messages than this is dealt out by further bits.
 CROWD = 20_000
@@ -154,25 +155,25 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) between distinct fingerprints at most ``radius`` bits apart; they connect all that are.
 
     Crowded leads (many fingerprints alike in their leading bits) are found by
-    counting, at most 2**16 leads, and dealt out by 12 further bits.
+    counting and dealt out by 12 further bits, again and again until a lead is
+    calm or all bits are used; then its group is one variant, with no more
+    fingerprints than lie within half the radius of it.
     """
     half = radius // 2
     if radius % 2:
         raise ValueError("the radius must be even")
-    spark = fps.sparkSession
-    sent = _sent(fps, half, BITS - LEAD, LEAD, F.lit(0).cast("long"), F.lit(half))
-    counts = sent.groupBy("lead").count().where(F.col("count") > CROWD).select("lead")
-    crowded = [r["lead"] for r in counts.collect()]  # at most 2**LEAD
-    calm = sent
-    links = None
-    if crowded:
-        hot = spark.createDataFrame([(x,) for x in crowded], "lead long")
-        calm = sent.join(F.broadcast(hot), "lead", "left_anti")
-        busy = sent.join(F.broadcast(hot), "lead", "left_semi")
-        deeper = _sent(busy, half, BITS - LEAD - MORE, MORE, F.col("lead"), F.col("left"))
-        links = _meet(deeper, BITS - LEAD - MORE, half, radius)
-    found = _meet(calm, BITS - LEAD, half, radius)
-    return (found.unionByName(links) if links is not None else found).distinct()
+    rest = BITS - LEAD
+    sent = _sent(fps, half, rest, LEAD, F.lit(0).cast("long"), F.lit(half))
+    found = []
+    while True:
+        crowded = written(sent.groupBy("lead").count().where(F.col("count") > CROWD).select("lead"), "crowded-leads") if rest else None
+        if crowded is None or crowded.isEmpty():
+            found.append(_meet(sent, rest, half, radius))
+            break
+        found.append(_meet(sent.join(crowded, "lead", "left_anti"), rest, half, radius))
+        rest -= MORE
+        sent = _sent(sent.join(crowded, "lead", "left_semi"), half, rest, MORE, F.col("lead"), F.col("left"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
