@@ -151,3 +151,72 @@ def random_partner(rows: DataFrame, others: DataFrame, seed: int = 13) -> DataFr
 
 def depth_normalise(values: Column, coverage: Column, mean: Column) -> Column:
     return F.transform(values, lambda x: (x - coverage) / mean)
+
+
+def supported(rows: DataFrame, longest: int = 80) -> DataFrame:
+    """Alleles with support that are not too long."""
+    return rows.where((F.col("support") > 0) & (F.length("allele") <= longest))
+
+
+def callable_sites(rows: DataFrame, ref: Column) -> DataFrame:
+    """Sites with an allele other than the reference: (site, n)."""
+    per = rows.groupBy("site").agg(F.count("*").alias("n"), F.bool_or(F.col("allele") != ref).alias("__alt"))
+    return per.where("__alt").drop("__alt")
+
+
+def with_status(rows: DataFrame, longest: int = 80) -> DataFrame:
+    """Adds ``status``: TOO_LONG, MISSED (neither true nor supported) or DATA; writers split by it."""
+    return rows.withColumn("status", F.when(F.length("allele") > longest, "TOO_LONG").when((F.col("label") == 0) & (F.col("support") == 0), "MISSED").otherwise("DATA"))
+
+
+def truth_support_gate(rows: DataFrame, support: DataFrame) -> DataFrame:
+    """Labels only of alleles that the first technology supports (site, allele, support)."""
+    return rows.join(support.where("support > 0").select("site", "allele"), ["site", "allele"], "left_semi")
+
+
+def missing_alleles(rows: DataFrame) -> DataFrame:
+    """(site, missing): true alleles of a site that nothing supports; sites without any are left out."""
+    pick = lambda test, name: F.collect_set(F.when(test, F.col("allele"))).alias(name)
+    lists = rows.groupBy("site").agg(pick(F.col("label") > 0, "truth"), pick(F.col("support") > 0, "found"))
+    return lists.select("site", F.array_sort(F.array_except("truth", "found")).alias("missing")).where("size(missing) > 0")
+
+
+def added_field(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """Stored alleles with a further column from ``values`` (site, allele, ...); null where there is none."""
+    return rows.join(values, ["site", "allele"], "left")
+
+
+def differences(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("site", "allele"), tolerance: float = 1e-8) -> DataFrame:
+    """Rows in which two stores differ: (keys, kind), with kind ``missing`` (only in a), ``extra`` (only in b) or the column that differs."""
+    rest = [c for c in a.columns if c not in keys]
+    left = a.select(*keys, F.struct(*rest).alias("__a"))
+    both = left.join(b.select(*keys, F.struct(*rest).alias("__b")), list(keys), "full")
+    number = {c for c, t in a.dtypes if t in ("float", "double")}
+    apart = lambda c: F.abs(F.col(f"__a.{c}") - F.col(f"__b.{c}")) > tolerance if c in number else ~F.col(f"__a.{c}").eqNullSafe(F.col(f"__b.{c}"))
+    kinds = F.when(F.col("__b").isNull(), F.array(F.lit("missing"))).when(F.col("__a").isNull(), F.array(F.lit("extra")))
+    return both.select(*keys, F.explode(kinds.otherwise(F.array_compact(F.array(*(F.when(F.coalesce(apart(c), F.lit(True)), c) for c in rest))))).alias("kind"))
+
+
+def contig_features(contigs: DataFrame, coverage: DataFrame, top: int = 4) -> DataFrame:
+    """Per site: (score, support, length) of the best contigs, padded with (-100, -1, -1), then mean and deviation of the coverage."""
+    lists = contigs.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("score", "support", F.length("allele").alias("length"), "allele")), False).alias("c"))
+    best = F.flatten(F.transform(F.slice("c", 1, top), lambda x: F.array(x["score"].cast("double"), x["support"].cast("double"), x["length"].cast("double"))))
+    pad = F.flatten(F.array_repeat(F.array(F.lit(-100.0), F.lit(-1.0), F.lit(-1.0)), F.greatest(top - F.size("c"), F.lit(0)).cast("int")))
+    cov = coverage.groupBy("site").agg(F.avg("depth").alias("mean"), F.coalesce(F.stddev_pop("depth"), F.lit(0.0)).alias("deviation"))
+    return lists.join(cov, "site", "left").select("site", F.concat(best, pad, F.array(F.coalesce("mean", F.lit(0.0)), F.coalesce("deviation", F.lit(0.0)))).alias("features"))
+
+
+def examples_as_records(examples: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of labelled examples (site_key, chrom, start, stop, allele, label), and the sites without a true allele.
+
+    ``refs`` has the reference text of each site (site_key, ref).  Alleles are
+    numbered in order, the reference first; a single true allele is doubled.
+    """
+    lists = examples.groupBy("site_key", "chrom", "start", "stop").agg(F.array_sort(F.collect_set("allele")).alias("__all"), F.collect_set(F.when(F.col("label") > 0, F.col("allele"))).alias("__true"))
+    rows = lists.join(refs, "site_key").withColumn("alts", F.array_remove("__all", F.col("ref")))
+    every = F.concat(F.array("ref"), "alts")
+    gt = F.filter(F.transform(every, lambda x, i: F.when(F.array_contains("__true", x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("gt", gt)
+    rows = rows.withColumn("gt", F.when(F.size("gt") == 1, F.concat("gt", "gt")).otherwise(F.col("gt")))
+    none = rows.where("size(gt) = 0").select("chrom", "start", "stop")
+    return rows.where("size(gt) > 0").select("chrom", F.col("start").alias("pos"), "ref", "alts", "gt"), none

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strandlake.operators.intervals import merge_overlaps, overlap_join
+from strandlake.operators.variants import reference_slice
 
 
 def overlap_class(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -47,6 +49,41 @@ def failure_reason(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", F.when(reason.isin("DID_NOT_RUN", "CANNOT_ANALYSE"), reason).otherwise(F.concat_ws("_", reason, kind)))
 
 
+def explained(failures: DataFrame, features: DataFrame, confident: DataFrame, reference: DataFrame) -> DataFrame:
+    """Failed calls inside confident regions with the reason of each: (chrom, start, stop, reason).
+
+    ``failures`` (chrom, start, stop, ref, alts, gt0 of the truth, gt1 of the
+    call) that overlap each other are one chain; ``features`` (chrom, start,
+    stop, allele, p) are the scored alleles of the sites that ran.  A chain
+    without a site did not run; one with several failures can be analysed only
+    if exactly one of them has true alleles.  Alleles of both are grown to the
+    same span and then compared.
+    """
+    inside = overlap_join(failures, confident, how="left_semi", inside=True)
+    w = W.partitionBy("chrom").orderBy("start", "stop")
+    new = F.coalesce((F.col("start") >= F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(0))
+    rows = inside.withColumn("__new", new).withColumn("chain", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    known = F.when(F.col("gt0").isNotNull(), F.struct("start", "ref", "alts", "gt0"))
+    chains = rows.groupBy("chrom", "chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n"), F.count(known).alias("n_true"), F.min(known).alias("true"), F.min(F.struct("start", "ref", "alts", "gt0")).alias("any"))
+    sites = features.groupBy("chrom", "start", "stop").agg(F.sort_array(F.collect_list(F.struct("p", "allele")), False).alias("ranked"))
+    sites = overlap_join(sites, confident, how="left_semi", inside=True)
+    met = overlap_join(chains, sites).select("chrom", "chain", F.struct(F.col("b_start").alias("start"), F.col("b_stop").alias("stop"), F.col("b_ranked").alias("ranked")).alias("site"))
+    met = met.groupBy("chrom", "chain").agg(F.min_by("site", "site.start").alias("site"))
+    rows = chains.join(met, ["chrom", "chain"], "left").withColumn("pick", F.when(F.col("n") > 1, F.col("true")).otherwise(F.col("any")))
+    analysable = (F.col("n") == 1) | (F.col("n_true") == 1)
+    rows = rows.withColumn("pos", F.coalesce("pick.start", "start")).withColumn("ref", F.coalesce("pick.ref", F.lit("")))
+    rows = rows.withColumn("lo", F.least("start", "site.start")).withColumn("hi", F.greatest("stop", "site.stop"))
+    rows = reference_slice(rows, reference, "lo", "hi", "text")
+    between = lambda a, b: F.expr(f"substring(text, cast({a} - lo AS int) + 1, cast({b} - ({a}) AS int))")
+    grown = lambda x, a, b: F.concat(between("lo", a), x, between(b, "hi"))
+    true = F.transform(F.coalesce(F.col("pick.gt0"), F.array(F.lit(0))), lambda i: F.when(i == 0, F.col("pick.ref")).otherwise(F.get("pick.alts", i - 1)))
+    rows = rows.withColumn("truth", F.array_distinct(F.transform(true, lambda x: grown(x, "pos", "pos + length(ref)"))))
+    rows = rows.withColumn("found", F.transform("site.ranked", lambda x: grown(x["allele"], "site.start", "site.stop")))
+    # A single true allele has to be the best one, two have to be the best two.
+    rows = rows.withColumn("top", F.slice("found", 1, F.size("truth"))).withColumn("ran", F.col("site").isNotNull()).withColumn("analysable", analysable)
+    return failure_reason(rows).select("chrom", "start", "stop", "reason")
+
+
 def fraction_pass(rows: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Top two alleles by support; PASS if the best reaches the share, heterozygous if both do."""
     lists = rows.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("support", "allele")), False).alias("a"), F.sum("support").alias("t"))
@@ -57,8 +94,6 @@ def fraction_pass(rows: DataFrame, threshold: float = 0.1) -> DataFrame:
 
 def variant_groups(pairs: DataFrame) -> DataFrame:
     """Runs of difference of two aligned haplotypes (site, at, ref, h0, h1; '-' is a gap): alleles and genotype."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("site").orderBy("at")
     differ = (F.col("ref") != F.col("h0")) | (F.col("ref") != F.col("h1"))
     rows = pairs.withColumn("d", differ.cast("int")).withColumn("new", F.coalesce((F.col("d") != F.lag("d").over(w)).cast("int"), F.lit(0)))

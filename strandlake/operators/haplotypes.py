@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 MAX_SITES = 10
 
@@ -44,7 +45,12 @@ def truth_haplotypes(regions: DataFrame) -> DataFrame:
         'extra', a.extra + size(array_except(array({every}[g.u], {every}[g.v]), {true})))"""
     rows = _walked(regions, "named_struct('at', cast(seg_start AS bigint), 'ordinal', 0L, 'h0', '', 'h1', '', 'missed', 0, 'extra', 0)", gts, step)
     out = rows.select("region", "a.ordinal", F.expr(f"concat(a.h0, {_TAIL})").alias("h0"), F.expr(f"concat(a.h1, {_TAIL})").alias("h1"), "a.missed", "a.extra")
-    return out.groupBy("region", F.least("h0", "h1").alias("lo"), F.greatest("h0", "h1").alias("hi")).agg(F.min(F.struct("ordinal", "h0", "h1", "missed", "extra")).alias("h")).select("region", "h.*")
+    return dedupe_haplotypes(out)
+
+
+def dedupe_haplotypes(pairs: DataFrame) -> DataFrame:
+    """Pairs (region, ordinal, h0, h1, missed, extra) without those that repeat or swap an earlier one."""
+    return pairs.groupBy("region", F.least("h0", "h1").alias("lo"), F.greatest("h0", "h1").alias("hi")).agg(F.min(F.struct("ordinal", "h0", "h1", "missed", "extra")).alias("h")).select("region", "h.*")
 
 
 def candidate_haplotypes(regions: DataFrame) -> DataFrame:
@@ -89,6 +95,41 @@ def label_alleles(labelled: DataFrame, support: DataFrame) -> DataFrame:
     return rows.select("region", "pos", "allele", "support", label.cast("int").alias("label"), (F.col("picks0_allele") != F.col("picks1_allele")).cast("int").alias("site_label"))
 
 
-def reconcile(haplotypes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Long reads whose haplotype equals a combination of short-read alleles take that combination's alleles."""
-    return haplotypes.join(candidates, ["region", "haplotype"], "left")
+def label_attach(candidates: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Candidate sites (region, pos, ref, alts) with the picked alleles as a genotype; -1 stands for an allele that is not there."""
+    picks = labelled.select("region", "pos", "status", "picks0_allele", "picks1_allele")
+    rows = candidates.join(picks, ["region", "pos"])
+    every = F.concat(F.array("ref"), "alts")
+    at = lambda c: F.when(F.col("status") == "LABELLED", (F.coalesce(F.array_position(every, F.col(c)), F.lit(0)) - 1).cast("int")).otherwise(-1)
+    return rows.select("region", "pos", "ref", "alts", "status", F.array(at("picks0_allele"), at("picks1_allele")).alias("gt"))
+
+
+def label_tensors(records: DataFrame, support: DataFrame, longest: int = 80) -> DataFrame:
+    """Training rows: each supported allele of a record (chrom, site_start, site_stop, ref, alts, gt) with its label.
+
+    An allele that no read supports, or that is longer than ``longest``, is
+    left out; ``site_label`` is 0 if at most one true allele is left, else 1.
+    """
+    every = F.concat(F.array("ref"), "alts")
+    true = F.array_distinct(F.transform("gt", lambda i: F.get(every, i)))
+    rows = records.select("chrom", "site_start", "site_stop", true.alias("__true"), F.explode(F.array_distinct(every)).alias("allele"))
+    rows = rows.join(support.where((F.col("illumina") + F.col("pacbio") > 0) & (F.length("allele") <= longest)), ["chrom", "site_start", "site_stop", "allele"])
+    rows = rows.withColumn("label", F.array_contains("__true", F.col("allele")).cast("int")).drop("__true")
+    total = F.sum("label").over(W.partitionBy("chrom", "site_start", "site_stop"))
+    return rows.withColumn("site_label", F.when(total <= 1, 0).otherwise(1))
+
+
+def reconcile(haplotypes: DataFrame, candidates: DataFrame, coverage: DataFrame, least_coverage: float = 14, most_sites: int = 10, intended: bool = False) -> DataFrame:
+    """Long reads whose haplotype over a region equals a combination of short-read alleles take that combination's alleles.
+
+    Only where short reads cover the region by more than ``least_coverage`` on
+    average and it has fewer than ``most_sites`` sites.  ``haplotypes`` has
+    region, region_start, region_stop, tech, start, end and haplotype;
+    ``candidates`` has region, haplotype and picks; ``coverage`` has region and
+    mean.  A read must reach the region's end and begin at its start or after
+    it; with ``intended`` it must begin at the start or before it.
+    """
+    spans = F.col("start") <= F.col("region_start") if intended else F.col("start") >= F.col("region_start")
+    open_regions = candidates.where(F.size("picks") < most_sites).join(coverage.where(F.col("mean") > least_coverage).select("region"), "region", "left_semi")
+    long = haplotypes.where((F.col("tech") == "P") & spans & (F.col("end") >= F.col("region_stop")))
+    return long.join(open_regions.select("region", "haplotype", "picks"), ["region", "haplotype"])

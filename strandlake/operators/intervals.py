@@ -18,16 +18,18 @@ def overlap_join(a: DataFrame, b: DataFrame, width: int = 1024, how: str = "inne
     Both sides are spread over bins and joined on (key, bin), so a chromosome
     is dealt over many tasks; a pair is kept only in the bin where the later of
     the two begins, which makes a distinct unnecessary.  ``how`` is inner or
-    left_semi; ``inside`` asks for a inside b.
+    left_semi (rows of a with a partner, each once; repeated rows stay
+    repeated); ``inside`` asks for a inside b.
     """
+    if how == "left_semi":  # a row may be found in several of its bins
+        a = a.withColumn("__row", F.monotonically_increasing_id())
     left = a.withColumn("__bin", F.explode(bins(F.col("start"), F.col("stop"), width)))
     right = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns)).withColumn("b___bin", F.explode(bins(F.col("b_start"), F.col("b_stop"), width)))
     on = (left[key] == right[f"b_{key}"]) & (left["__bin"] == right["b___bin"]) & (left["start"] < right["b_stop"]) & (right["b_start"] < left["stop"])
     if inside:
         on = on & (right["b_start"] <= left["start"]) & (left["stop"] <= right["b_stop"])
-    if how == "left_semi":  # the first bin of a row decides whether it was seen
-        found = left.join(right, on, "left_semi")
-        return found.drop("__bin").dropDuplicates()
+    if how == "left_semi":
+        return left.join(right, on, "left_semi").dropDuplicates(["__row"]).drop("__bin", "__row")
     later = F.floor(F.greatest("start", "b_start") / width)
     return left.join(right, on & (F.col("__bin") == later)).drop("__bin", "b___bin")
 
@@ -107,24 +109,26 @@ def segment_bounds(clusters: DataFrame, reach: int = 15) -> DataFrame:
     return span.withColumn("seg_start", left).withColumn("seg_stop", right)
 
 
-def balanced_shards(runs: DataFrame, max_shards: int = 500, min_gap: int = 25, size: str = "n") -> DataFrame:
+def balanced_shards(runs: DataFrame, max_shards: int = 500, min_gap: int = 25, size: str = "n", least: int | None = None) -> DataFrame:
     """Greedy shards in order: a cut comes at the first gap of ``min_gap`` once a shard has enough.
 
-    Islands between possible cuts are summed first; the greedy choice is then an
-    ordered fold over these blocks, per chromosome.
+    Enough is the chromosome's sum over ``max_shards``, or ``least`` if given.
+    Islands between possible cuts are summed first.  The greedy choice is a
+    fold over the sums of a chromosome (two numbers for each block) that keeps
+    nothing but the cuts, of which there are at most ``max_shards``.
     """
     w = W.partitionBy("chrom").orderBy("start")
     cut = F.coalesce((F.col("start") - F.lag("stop").over(w) + 1 >= min_gap).cast("int"), F.lit(0))
     rows = runs.withColumn("cut", cut).withColumn("block", F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
     blocks = rows.groupBy("chrom", "block").agg(F.sum(size).alias("w"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("islands"))
-    total = blocks.groupBy("chrom").agg(F.ceil(F.sum("w") / max_shards).alias("need"))
-    lists = blocks.groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("block", "w"))).alias("b")).join(F.broadcast(total), "chrom")
-    folded = F.expr("""aggregate(b, named_struct('shard', 0L, 'have', 0L, 'of', cast(array() AS array<bigint>)),
-        (a, x) -> if(a.have >= need,
-                     named_struct('shard', a.shard + 1, 'have', x.w, 'of', concat(a.of, array(a.shard + 1))),
-                     named_struct('shard', a.shard, 'have', a.have + x.w, 'of', concat(a.of, array(a.shard)))), a -> a.of)""")
-    placed = lists.select("chrom", F.posexplode(folded).alias("block", "shard"))
-    return blocks.join(placed, ["chrom", "block"]).groupBy("chrom", "shard").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("w").alias("n"), F.sum("islands").alias("islands"))
+    need = F.ceil(F.sum("w") / max_shards) if least is None else F.lit(least)
+    lists = blocks.groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("block", "w"))).alias("b"), need.alias("need"))
+    folded = F.expr("""aggregate(b, named_struct('have', 0L, 'cuts', cast(array() AS array<bigint>)),
+        (a, x) -> if(a.have >= need, named_struct('have', x.w, 'cuts', concat(a.cuts, array(x.block))), named_struct('have', a.have + x.w, 'cuts', a.cuts)), a -> a.cuts)""")
+    cuts = lists.select("chrom", F.explode(folded).alias("block"), F.lit(1).alias("first"))
+    shard = F.sum(F.coalesce("first", F.lit(0))).over(W.partitionBy("chrom").orderBy("block").rowsBetween(W.unboundedPreceding, 0))
+    placed = blocks.join(cuts, ["chrom", "block"], "left").withColumn("shard", shard)
+    return placed.groupBy("chrom", "shard").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("w").alias("n"), F.sum("islands").alias("islands"))
 
 
 def tiles(lengths: DataFrame, width: int) -> DataFrame:
@@ -147,11 +151,17 @@ def clip_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.select("chrom", F.greatest("start", "b_start").alias("start"), F.least("stop", "b_stop").alias("stop"))
 
 
-def nearest_within(a: DataFrame, b: DataFrame, tolerance: int = 3) -> DataFrame:
-    """As-of match: each a with the next b at most ``tolerance`` further on; one pass over the union."""
-    rows = a.select("chrom", "pos", F.lit(0).alias("side")).unionByName(b.select("chrom", "pos", F.lit(1).alias("side")))
-    w = W.partitionBy("chrom").orderBy("pos", "side").rowsBetween(0, W.unboundedFollowing)
-    after = F.first(F.when(F.col("side") == 1, F.col("pos")), ignorenulls=True).over(w)
+def nearest_within(a: DataFrame, b: DataFrame, tolerance: int = 3, width: int = 100_000) -> DataFrame:
+    """As-of match: each a with the next b at most ``tolerance`` further on.
+
+    One pass over the union, bin by bin: a point of b is copied into the bins
+    from which it can be reached, so a chromosome is dealt over many tasks.
+    """
+    reach = F.sequence(F.floor((F.col("pos") - tolerance) / width), F.floor(F.col("pos") / width))
+    rows = a.select("chrom", "pos", F.lit(0).alias("side"), F.floor(F.col("pos") / width).alias("bin")).unionByName(b.select("chrom", "pos", F.lit(1).alias("side"), F.explode(reach).alias("bin")))
+    # From the right: the last b seen is the next one.
+    w = W.partitionBy("chrom", "bin").orderBy(F.desc("pos"), F.desc("side")).rowsBetween(W.unboundedPreceding, 0)
+    after = F.last(F.when(F.col("side") == 1, F.col("pos")), ignorenulls=True).over(w)
     rows = rows.withColumn("next", after).where("side = 0")
     return rows.select("chrom", "pos", F.when(F.col("next") - F.col("pos") <= tolerance, F.col("next")).alias("match"))
 
@@ -167,3 +177,46 @@ def consensus_regions(*callers: DataFrame) -> DataFrame:
 def extent(points: DataFrame, guard: int = 10) -> DataFrame:
     """Span of each chromosome's points, grown by ``guard``."""
     return points.groupBy("chrom").agg((F.min("pos") - guard).alias("start"), (F.max("pos") + 1 + guard).alias("stop"))
+
+
+def bounded(regions: DataFrame, lo: Column, hi: Column, strict: bool = False) -> DataFrame:
+    """Regions against [lo, hi): strict keeps those wholly inside, lax clamps them; what is empty then goes."""
+    if strict:
+        return regions.where((F.col("start") >= lo) & (F.col("stop") <= hi))
+    rows = regions.withColumn("start", F.greatest("start", lo)).withColumn("stop", F.least("stop", hi))
+    return rows.where("start < stop")
+
+
+def in_bounds(reads: DataFrame, lengths: DataFrame, width: int, reach: int = 10) -> DataFrame:
+    """Tiles of reads (chrom, tile, n) whose reads begin no nearer than ``reach`` to the start and end inside the chromosome."""
+    per = reads.groupBy("chrom", F.floor(F.col("start") / width).alias("tile")).agg(F.count("*").alias("n"), (F.min("start") - reach).alias("lo"), F.max("end").alias("hi"))
+    return per.join(lengths, "chrom").where("lo >= 0 AND hi <= length").select("chrom", "tile", "n")
+
+
+def lone(items: DataFrame, gap: int = 3, longest: int = 60) -> DataFrame:
+    """Items of at most ``longest`` that have no neighbour within ``gap`` on their chromosome."""
+    w = W.partitionBy("chrom").orderBy("start", "stop")
+    far = F.coalesce(F.lead("start").over(w) - F.col("stop") > gap, F.lit(True)) & F.coalesce(F.col("start") - F.lag("stop").over(w) > gap, F.lit(True))
+    return items.withColumn("__far", far).where((F.col("__far")) & (F.col("stop") - F.col("start") <= longest)).drop("__far")
+
+
+def united(*points: DataFrame) -> DataFrame:
+    """Distinct positions of several sources."""
+    rows = points[0].select("chrom", "pos")
+    for p in points[1:]:
+        rows = rows.unionByName(p.select("chrom", "pos"))
+    return rows.distinct()
+
+
+def in_job_order(*shards: DataFrame) -> DataFrame:
+    """Shards one after another, each with its number."""
+    rows = shards[0].withColumn("shard", F.lit(0).cast("long"))
+    for k, s in enumerate(shards[1:], 1):
+        rows = rows.unionByName(s.withColumn("shard", F.lit(k).cast("long")))
+    return rows
+
+
+def bundles(runs: DataFrame, least: int = 1024, min_gap: int = 256, reach: int = 10) -> DataFrame:
+    """Greedy bundles of at least ``least`` points, cut at gaps of ``min_gap``, their spans grown by ``reach``."""
+    rows = balanced_shards(runs, min_gap=min_gap, least=least)
+    return rows.select("chrom", "shard", (F.col("start") - reach).alias("start"), (F.col("stop") + reach).alias("stop"), "n", "islands")

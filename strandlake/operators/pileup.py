@@ -30,34 +30,57 @@ def with_reference(runs: DataFrame, reference: DataFrame) -> DataFrame:
     return rows.withColumn("run_ref", F.expr(f"substring(chunk_seq, cast(run_start - chunk_id * {CHUNK} AS int) + 1, cast(run_stop - run_start AS int))")).drop("chunk_seq")
 
 
-def depth(reads: DataFrame) -> DataFrame:
-    """(chrom, pos, tech, total): +1/-1 events of aligned runs, summed chunk by chunk.
+def _events(reads: DataFrame) -> DataFrame:
+    """(chrom, tech, chunk_id, pos, d): +1 where an aligned run begins and -1 where it ends, summed by position.
 
-    A read gives two events and not one row a base; a running sum never leaves
-    its chunk, so chromosomes are dealt over many tasks.  A leading insertion
-    counts once more at its anchor.
+    A read gives two events and not one row a base.  A leading insertion counts
+    once more at its anchor.
     """
     runs = aligned_runs(reads).select("chrom", "tech", "chunk_id", "run_start", "run_stop")
-    events = runs.select("chrom", "tech", "chunk_id", F.explode(F.array(F.struct(F.col("run_start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("run_stop").alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    events = events.select("chrom", "tech", "chunk_id", "e.*").groupBy("chrom", "tech", "chunk_id", "pos").agg(F.sum("d").alias("d"))
+    lead = R.cigar_ops(reads).where("op = 1 AND op_index = 0 AND ref_pos > 0").select("chrom", "tech", F.floor((F.col("ref_pos") - 1) / CHUNK).alias("chunk_id"), (F.col("ref_pos") - 1).alias("run_start"), F.col("ref_pos").alias("run_stop"))
+    rows = runs.unionByName(lead)
+    ends = F.array(F.struct(F.col("run_start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("run_stop").alias("pos"), F.lit(-1).alias("d")))
+    return rows.select("chrom", "tech", "chunk_id", F.explode(ends).alias("e")).select("chrom", "tech", "chunk_id", "e.*").groupBy("chrom", "tech", "chunk_id", "pos").agg(F.sum("d").alias("d"))
+
+
+def depth(reads: DataFrame) -> DataFrame:
+    """(chrom, pos, tech, total): a running sum of events that never leaves its chunk, so chromosomes are dealt over many tasks."""
     w = W.partitionBy("chrom", "tech", "chunk_id").orderBy("pos")
-    steps = events.withColumn("total", F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("next", F.lead("pos").over(w))
-    flat = steps.where("total > 0").select("chrom", "tech", F.explode(F.sequence("pos", F.col("next") - 1)).alias("pos"), "total")
-    lead = R.cigar_ops(reads).where("op = 1 AND op_index = 0").select("chrom", "tech", (F.col("ref_pos") - 1).alias("pos"), F.lit(1).cast("long").alias("total"))
-    return flat.unionByName(lead).groupBy("chrom", "pos", "tech").agg(F.sum("total").alias("total"))
+    steps = _events(reads).withColumn("total", F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("next", F.lead("pos").over(w))
+    return steps.where("total > 0").select("chrom", F.explode(F.sequence("pos", F.col("next") - 1)).alias("pos"), "tech", "total")
+
+
+def depth_at(reads: DataFrame, points: DataFrame) -> DataFrame:
+    """The depth of both technologies at some points only: no row for any other position is made."""
+    asked = points.select("chrom", "pos").distinct().select("chrom", F.explode(F.array(F.lit("I"), F.lit("P"))).alias("tech"), F.floor(F.col("pos") / CHUNK).alias("chunk_id"), "pos", F.lit(0).cast("long").alias("d"), F.lit(1).alias("asked"))
+    rows = _events(reads).withColumn("asked", F.lit(0)).unionByName(asked)
+    w = W.partitionBy("chrom", "tech", "chunk_id").orderBy("pos").rangeBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("total", F.sum("d").over(w)).where("asked = 1 AND total > 0").select("chrom", "pos", "tech", "total")
+
+
+#: Bases that are compared at once; a piece without a difference is passed over whole.
+PIECE = 100
 
 
 def mismatches(reads: DataFrame, reference: DataFrame) -> DataFrame:
-    """Bases that differ from the reference, found inside each run before anything is exploded."""
-    rows = with_reference(aligned_runs(reads), reference)
+    """Bases that differ from the reference: only pieces of a run that differ are looked at base by base."""
+    rows = with_reference(aligned_runs(reads), reference).where("run_seq <> run_ref")
+    keep = ("chrom", "tech", "read_name", "is_reverse", "mapq", "run_start", "run_qual")
+    rows = rows.select(*keep, "run_seq", "run_ref", F.explode(F.expr(f"sequence(0, (length(run_seq) - 1) div {PIECE})")).alias("__k"))
+    rows = rows.select(*keep, (F.col("__k") * PIECE).alias("__at"), *(F.expr(f"substring({c}, __k * {PIECE} + 1, {PIECE})").alias(c) for c in ("run_seq", "run_ref"))).where("run_seq <> run_ref")
     differ = F.expr("filter(sequence(0, length(run_seq) - 1), i -> substring(run_seq, i + 1, 1) <> substring(run_ref, i + 1, 1))")
     rows = rows.withColumn("__i", F.explode(differ))
     return rows.select(
-        "chrom", "tech", "read_name", "is_reverse", "mapq", (F.col("run_start") + F.col("__i")).alias("pos"),
-        F.expr("substring(run_ref, __i + 1, 1)").alias("ref"), F.expr("substring(run_seq, __i + 1, 1)").alias("alt"), F.expr("cast(get(run_qual, __i) AS int)").alias("q"),
+        "chrom", "tech", "read_name", "is_reverse", "mapq", (F.col("run_start") + F.col("__at") + F.col("__i")).alias("pos"),
+        F.expr("substring(run_ref, __i + 1, 1)").alias("ref"), F.expr("substring(run_seq, __i + 1, 1)").alias("alt"), F.expr("cast(get(run_qual, __at + __i) AS int)").alias("q"),
     )
 
 
+def mismatch_count(reads: DataFrame, reference: DataFrame) -> DataFrame:
+    """Mismatched bases of each read that has any."""
+    return mismatches(reads.withColumn("read_name", F.struct("read_name", "start")), reference).groupBy("chrom", F.col("read_name.read_name").alias("read_name"), "is_reverse", F.col("read_name.start").alias("start")).agg(F.count("*").alias("mismatches"))
+
+
 def indels(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """Deletion and insertion evidence with reference text."""
     rows = R.indel_alleles(R.cigar_ops(reads)).withColumn("chunk_id", F.floor(F.col("pos") / CHUNK))
@@ -93,18 +116,30 @@ def resolve_partials(counts: DataFrame) -> DataFrame:
     return rows.select("chrom", "pos", "tech", "x.ref", "x.alt", "x.n")
 
 
-def with_depth(counts: DataFrame, total: DataFrame) -> DataFrame:
-    return counts.join(total, ["chrom", "pos", "tech"]).where("total > 0")
+def with_depth(counts: DataFrame, reads: DataFrame) -> DataFrame:
+    """Allele counts with the depth of their technology at their position.
+
+    Counts are put among the events of the reads, so that one running sum gives
+    the depth just where it is asked for: no table of depths, no join.
+    """
+    rows = _events(reads).withColumns({"ref": F.lit(None).cast("string"), "alt": F.lit(None).cast("string"), "n": F.lit(None).cast("long")})
+    asked = counts.select("chrom", "tech", F.floor(F.col("pos") / CHUNK).alias("chunk_id"), "pos", F.lit(0).cast("long").alias("d"), "ref", "alt", F.col("n").cast("long").alias("n"))
+    w = W.partitionBy("chrom", "tech", "chunk_id").orderBy("pos").rangeBetween(W.unboundedPreceding, 0)
+    return rows.unionByName(asked).withColumn("total", F.sum("d").over(w)).where("ref IS NOT NULL AND total > 0").select("chrom", "pos", "tech", "ref", "alt", "n", "total")
+
+
+#: Gates as conditions in integers, so that they are exact.
+SNV = f"length(ref) = 1 AND length(alt) = 1 AND n * {SHARE_DEN} >= total * {SHARE_NUM} AND n >= {LEAST}"
+INDEL = f"NOT (length(ref) = 1 AND length(alt) = 1) AND greatest(length(ref), length(alt)) <= {LONGEST} AND n * {SHARE_DEN} >= total * {SHARE_NUM} AND n >= if(tech = 'I', {2 * LEAST}, {LEAST})"
 
 
 def snv_evidence(rows: DataFrame) -> DataFrame:
-    """Single bases with enough share and count (integers, so the gate is exact)."""
-    return rows.where(f"length(ref) = 1 AND length(alt) = 1 AND n * {SHARE_DEN} >= total * {SHARE_NUM} AND n >= {LEAST}")
+    """Single bases with enough share and count."""
+    return rows.where(SNV)
 
 
 def indel_evidence(rows: DataFrame) -> DataFrame:
-    least = f"if(tech = 'I', {2 * LEAST}, {LEAST})"
-    return rows.where(f"NOT (length(ref) = 1 AND length(alt) = 1) AND greatest(length(ref), length(alt)) <= {LONGEST} AND n * {SHARE_DEN} >= total * {SHARE_NUM} AND n >= {least}")
+    return rows.where(INDEL)
 
 
 def marked(rows: DataFrame, beyond: int = 1) -> DataFrame:
@@ -112,14 +147,15 @@ def marked(rows: DataFrame, beyond: int = 1) -> DataFrame:
     return rows.select("chrom", F.explode(F.expr(f"sequence(pos, pos + length(ref) - 1 + {beyond})")).alias("pos"))
 
 
-def hotspots(counts: DataFrame, total: DataFrame) -> DataFrame:
-    """Distinct differing positions, the union over technologies."""
-    rows = with_depth(counts, total)
-    return snv_evidence(rows).select("chrom", "pos").unionByName(marked(indel_evidence(rows))).distinct()
+def hotspots(counts: DataFrame, reads: DataFrame) -> DataFrame:
+    """Distinct differing positions, the union over technologies; one pass over the counts for both gates."""
+    spots = F.expr(f"CASE WHEN {SNV} THEN array(pos) WHEN {INDEL} THEN sequence(pos, pos + length(ref)) ELSE array() END")
+    return with_depth(counts, reads).select("chrom", F.explode(spots).alias("pos")).distinct()
 
 
-def hybrid_hotspots(counts: DataFrame, total: DataFrame, include_pacbio_keys: bool = False) -> DataFrame:
+def hybrid_hotspots(counts: DataFrame, reads: DataFrame, include_pacbio_keys: bool = False) -> DataFrame:
     """Positions from both technologies together, on the Illumina alleles (or all, if asked)."""
+    total = depth_at(reads, counts)
     per = counts.groupBy("chrom", "pos", "ref", "alt").agg(F.sum(F.when(F.col("tech") == "I", F.col("n"))).alias("i"), F.coalesce(F.sum(F.when(F.col("tech") == "P", F.col("n"))), F.lit(0)).alias("p"))
     if not include_pacbio_keys:
         per = per.where("i IS NOT NULL")
@@ -129,3 +165,15 @@ def hybrid_hotspots(counts: DataFrame, total: DataFrame, include_pacbio_keys: bo
     snv = per.where(f"{single} AND {share} AND i + p >= {LEAST}").select("chrom", "pos")
     indel = per.where(f"NOT ({single}) AND {share} AND i + 2 * p >= {2 * LEAST}")
     return snv.unionByName(marked(indel, 0)).distinct()
+
+
+def with_reference_base(bases: DataFrame, reference: DataFrame) -> DataFrame:
+    """Aligned bases with the reference base under each: an equi-join on (chromosome, chunk)."""
+    chunks = reference.select("chrom", "chunk_id", F.col("seq").alias("__seq"))
+    rows = bases.withColumn("chunk_id", F.floor(F.col("pos") / CHUNK)).join(chunks, ["chrom", "chunk_id"])
+    return rows.withColumn("ref_base", F.expr(f"substring(__seq, cast(pos - chunk_id * {CHUNK} AS int) + 1, 1)")).drop("__seq", "chunk_id")
+
+
+def op_alleles(reads: DataFrame, reference: DataFrame) -> DataFrame:
+    """Every difference from the reference, one row a read and event: mismatch, deletion, insertion, left or right partial."""
+    return mismatches(reads, reference).withColumn("kind", F.lit("snv")).unionByName(indels(reads, reference))

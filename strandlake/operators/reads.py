@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlake.operators.intervals import overlap_join
+
 #: CIGAR codes: 0 M, 1 I, 2 D, 3 N, 4 S, 5 H, 6 P, 7 =, 8 X (fixed values of the format).
 BOTH, READ_ONLY, REF_ONLY = "(0, 7, 8)", "(1, 4)", "(2, 3)"
 
@@ -21,8 +23,8 @@ def mapq_gate(reads: DataFrame, least: int = 10) -> DataFrame:
 
 
 def first_per_name(reads: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """The first read of each name and strand, in coordinate order."""
-    w = W.partitionBy(*keys, "read_name", "is_reverse").orderBy("start", "end", "mapq", "seq")
+    """The first read of each name and strand, in coordinate order (never by its text, which then need not be read)."""
+    w = W.partitionBy(*keys, "read_name", "is_reverse").orderBy("start", "end", "mapq", "flag")
     return reads.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -36,18 +38,27 @@ def hp_tag() -> Column:
     return F.coalesce(F.try_element_at("tags", F.lit("HP")), F.lit(0))
 
 
-def cigar_ops(reads: DataFrame) -> DataFrame:
-    """One row a CIGAR operation: index, op, length, first reference position and read offset (from 0).
+#: Operations that are placed in one go: a list of parts is extended, not one of operations, so long CIGARs stay near linear.
+PART = 64
+_OPS = "array<struct<op:int,len:int,ref:bigint,off:int>>"
 
-    Running offsets are a fold over the CIGAR; a read stays one row until the explode.
-    """
-    fold = F.expr(f"""aggregate(cigar, named_struct('ref', cast(start AS bigint), 'off', 0, 'of', cast(array() AS array<struct<op:int,len:int,ref:bigint,off:int>>)),
-        (a, x) -> named_struct(
-            'ref', a.ref + if(x.op IN {BOTH} OR x.op IN {REF_ONLY}, x.len, 0),
-            'off', a.off + if(x.op IN {BOTH} OR x.op IN {READ_ONLY}, x.len, 0),
-            'of', concat(a.of, array(named_struct('op', x.op, 'len', x.len, 'ref', a.ref, 'off', a.off)))), a -> a.of)""")
-    rows = reads.withColumn("__ops", fold).withColumn("n_ops", F.size("cigar"))
-    return rows.select("*", F.posexplode("__ops").alias("op_index", "__op")).select(*(c for c in rows.columns if c != "__ops"), "op_index", F.col("__op.op").alias("op"), F.col("__op.len").alias("len"), F.col("__op.ref").alias("ref_pos"), F.col("__op.off").alias("offset"))
+
+def with_ops(reads: DataFrame) -> DataFrame:
+    """Adds ``ops``: the CIGAR's operations with their first reference position and read offset (from 0), in order."""
+    placed = f"""flatten(aggregate(sequence(0, greatest(size(cigar) - 1, 0) div {PART}), named_struct('ref', cast(start AS bigint), 'off', 0, 'of', cast(array() AS array<{_OPS}>)),
+        (a, k) -> aggregate(slice(cigar, k * {PART} + 1, {PART}), named_struct('ref', a.ref, 'off', a.off, 'of', cast(array() AS {_OPS})),
+            (b, x) -> named_struct(
+                'ref', b.ref + if(x.op IN {BOTH} OR x.op IN {REF_ONLY}, x.len, 0),
+                'off', b.off + if(x.op IN {BOTH} OR x.op IN {READ_ONLY}, x.len, 0),
+                'of', concat(b.of, array(named_struct('op', x.op, 'len', x.len, 'ref', b.ref, 'off', b.off)))),
+            b -> named_struct('ref', b.ref, 'off', b.off, 'of', concat(a.of, array(b.of)))), a -> a.of))"""
+    return reads.withColumn("ops", F.expr(placed))
+
+
+def cigar_ops(reads: DataFrame) -> DataFrame:
+    """One row a CIGAR operation: index, op, length, first reference position and read offset (from 0)."""
+    rows = with_ops(reads).withColumn("n_ops", F.size("cigar"))
+    return rows.select("*", F.posexplode("ops").alias("op_index", "__op")).select(*reads.columns, "n_ops", "op_index", F.col("__op.op").alias("op"), F.col("__op.len").alias("len"), F.col("__op.ref").alias("ref_pos"), F.col("__op.off").alias("offset"))
 
 
 def bases(reads: DataFrame) -> DataFrame:
@@ -86,6 +97,18 @@ def colours() -> dict[str, Column]:
     }
 
 
+def mapped_pairs(reads: DataFrame) -> DataFrame:
+    """The alignment of a read column by column: (column, state, pos, base), where a gap is ``-`` and a clip has no column."""
+    ops = cigar_ops(reads).where(f"op IN {BOTH} OR op IN (1, 2, 3)").withColumn("__i", F.explode(F.expr("if(len > 0, sequence(0, len - 1), array())")))
+    rows = ops.withColumns({
+        "state": F.expr(f"CASE WHEN op IN {BOTH} THEN 'M' WHEN op = 1 THEN 'I' ELSE 'D' END"),
+        "pos": F.expr("if(op = 1, NULL, ref_pos + __i)"),
+        "base": F.expr(f"if(op IN {REF_ONLY}, '-', substring(seq, offset + __i + 1, 1))"),
+    })
+    before = f"aggregate(filter(slice(cigar, 1, op_index), x -> x.op NOT IN (4, 5, 6)), 0, (a, x) -> a + x.len)"
+    return rows.withColumn("column", F.expr(before) + F.col("__i")).drop("__i", "op", "len", "op_index", "ref_pos", "offset", "n_ops")
+
+
 def run_length(rows: DataFrame, keys: tuple[str, ...], order: str, state: str) -> DataFrame:
     """Runs of equal neighbouring states: (keys, run, state, length)."""
     w = W.partitionBy(*keys).orderBy(order)
@@ -95,18 +118,24 @@ def run_length(rows: DataFrame, keys: tuple[str, ...], order: str, state: str) -
 
 
 def clipped(reads: DataFrame, regions: DataFrame, flank: int) -> DataFrame:
-    """Reads cut to a region (columns region_start, region_stop): at most flank + 1 read bases stay beyond each edge.
+    """Reads cut to the regions (chrom, start, stop) they overlap: at most flank + 1 read bases stay beyond each edge.
 
-    Deleted bases do not count; the result is (read, region, first, last, seq).
+    Deleted bases do not count.  An insertion that is left at an edge of the
+    cut read becomes a soft clip: ``left_clip`` and ``right_clip`` count its
+    bases.  One row a (read, region): (first, last, clip, left_clip, right_clip).
     """
-    rows = bases(reads)
+    keyed = reads.withColumn("stop", F.col("end")).withColumn("read_start", F.col("start"))
+    rows = overlap_join(keyed, regions.select("chrom", "start", "stop")).withColumnsRenamed({"b_start": "region_start", "b_stop": "region_stop"}).drop("b_chrom", "stop")
     key = ("chrom", "read_name", "is_reverse", "start", "region_start", "region_stop")
-    rows = rows.join(regions, "chrom").where("start < region_stop AND end > region_start") if "region_start" not in rows.columns else rows
+    cells = bases(rows)
     left = F.sum((F.col("pos") < F.col("region_start")).cast("int")).over(W.partitionBy(*key).orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0))
     right = F.sum((F.col("pos") >= F.col("region_stop")).cast("int")).over(W.partitionBy(*key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    kept = rows.withColumns({"__l": left, "__r": right}).where((F.col("__l") <= flank + 1) & (F.col("__r") <= flank + 1))
+    kept = cells.withColumns({"__l": left, "__r": right}).where((F.col("__l") <= flank + 1) & (F.col("__r") <= flank + 1))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "")
-    return kept.groupBy(*key).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), text.alias("clip"))
+    cut = kept.groupBy(*key).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), text.alias("clip"), F.min("read_offset").alias("__from"), F.max("read_offset").alias("__to"), F.first("cigar").alias("cigar"))
+    # An insertion right before the first or right after the last base that stays.
+    edge = lambda at: f"aggregate(filter(ops, x -> x.op = 1 AND {at}), 0, (a, x) -> a + x.len)"
+    return with_ops(cut).select(*key, "first", "last", "clip", F.expr(edge("x.off + x.len = __from")).alias("left_clip"), F.expr(edge("x.off = __to + 1")).alias("right_clip"))
 
 
 def in_subregion(reads: DataFrame, start: Column, stop: Column) -> DataFrame:

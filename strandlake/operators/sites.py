@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strandlake.operators import reads as R
 from strandlake.operators.intervals import overlap_join
@@ -13,45 +14,63 @@ from strandlake.operators.variants import reference_slice
 DELETED_Q = 60
 
 
-def columns_of(reads: DataFrame) -> DataFrame:
-    """Read text by reference position: aligned bases, '' for deleted ones, insertions at the base before."""
-    ops = R.cigar_ops(reads).where("len > 0")
-    flat = ops.where(f"op IN {R.BOTH} OR op = 2").withColumn("__i", F.explode(F.expr("sequence(0, len - 1)")))
+def columns_of(reads: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Read text by reference position of [lo, hi): aligned bases, '' for deleted ones, insertions at the base before.
+
+    Operations are cut to the range before anything is exploded.
+    """
+    ops = R.cigar_ops(reads).where(f"len > 0 AND ref_pos <= {hi} AND ref_pos + len >= {lo}")
+    inside = f"sequence(cast(greatest({lo} - ref_pos, 0) AS int), cast(least({hi} - ref_pos, len) AS int) - 1)"
+    flat = ops.where(f"(op IN {R.BOTH} OR op = 2) AND ref_pos < {hi} AND ref_pos + len > {lo}").withColumn("__i", F.explode(F.expr(inside)))
     flat = flat.withColumns({
         "pos": F.expr("ref_pos + __i"), "part": F.lit(0), "text": F.expr("if(op = 2, '', substring(seq, offset + __i + 1, 1))"),
         "q": F.expr(f"cast(if(op = 2, {DELETED_Q}, get(qual, offset + __i)) AS int)"),
     }).drop("__i")
-    added = ops.where("op = 1").withColumns({
+    added = ops.where(f"op = 1 AND ref_pos - 1 >= {lo} AND ref_pos - 1 < {hi}").withColumns({
         "pos": F.expr("ref_pos - 1"), "part": F.lit(1), "text": F.expr("substring(seq, offset + 1, len)"), "q": F.expr("cast(array_min(slice(qual, offset + 1, len)) AS int)"),
     })
     return flat.unionByName(added)
 
 
+def reads_by_site(reads: DataFrame, sites: DataFrame) -> DataFrame:
+    """Every read with every site (start, stop) it overlaps, as site_start and site_stop."""
+    rows = overlap_join(reads.withColumn("stop", F.col("end")), sites.select("chrom", "start", "stop"))
+    return rows.withColumnsRenamed({"b_start": "site_start", "b_stop": "site_stop"}).drop("b_chrom", "stop")
+
+
+def reads_by_region(reads: DataFrame, regions: DataFrame) -> DataFrame:
+    """Every read with every region (chrom, start, stop, ...) it overlaps, whose columns get a ``region_`` prefix."""
+    rows = overlap_join(reads.withColumn("stop", F.col("end")), regions)
+    return rows.withColumnsRenamed({f"b_{c}": f"region_{c}" for c in regions.columns if c != "chrom"}).drop("b_chrom", "stop")
+
+
 def site_slices(reads: DataFrame, sites: DataFrame) -> DataFrame:
     """Every read at every site [site_start, site_stop) it overlaps: its allele text, least quality and status.
 
     Status is Success, Fail (a deletion on the first or last base), LeftPartial
     or RightPartial (the read begins or ends inside, or with an insertion).
+    The operations that touch the site are told by arithmetic, so a read is
+    neither exploded nor regrouped, however long it is.
     """
-    keyed = reads.withColumn("stop", F.col("end"))
-    wide = sites.select("chrom", (F.col("start") - 1).alias("start"), (F.col("stop") + 1).alias("stop"), F.col("start").alias("site_start"), F.col("stop").alias("site_stop"))
-    rows = overlap_join(keyed, wide)
-    rows = rows.withColumnsRenamed({"b_site_start": "site_start", "b_site_stop": "site_stop"}).drop("b_chrom", "b_start", "b_stop", "stop")
-    rows = rows.where("start < site_stop AND end > site_start")
-    cells = columns_of(rows).where("pos >= site_start - 1 AND pos <= site_stop")
-    key = ("chrom", "site_start", "site_stop", "tech", "read_name", "is_reverse", "start", "mapq")
-    inside = "pos >= site_start AND pos < site_stop"
-    has = lambda at: F.bool_or(F.expr(f"part = 0 AND pos = {at}"))
-    bare = lambda at: F.bool_or(F.expr(f"part = 0 AND pos = {at} AND text = ''")) & ~F.bool_or(F.expr(f"part = 1 AND pos = {at}"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.expr(inside), F.struct("pos", "part", "text")))), lambda x: x["text"]), "")
-    out = cells.groupBy(*key).agg(
-        text.alias("allele"), F.min(F.when(F.expr(inside), F.col("q"))).alias("min_q"), has("site_start").alias("h0"), has("site_start - 1").alias("hb"), has("site_stop - 1").alias("h1"), has("site_stop").alias("ha"),
-        bare("site_start").alias("d0"), bare("site_stop - 1").alias("d1"),
-        F.bool_or(F.expr("part = 1 AND op_index = 0")).alias("ins_first"), F.bool_or(F.expr("part = 1 AND op_index = n_ops - 1 AND op_index > 0")).alias("ins_last"),
-    )
+    rows = reads_by_site(R.with_ops(reads), sites)
+    aligned = f"(x.op IN {R.BOTH} OR x.op = 2)"
+    near = f"""filter(ops, x -> x.len > 0 AND if(x.op = 1, x.ref - 1 >= site_start - 1 AND x.ref - 1 <= site_stop, {aligned} AND x.ref <= site_stop AND x.ref + x.len >= site_start))"""
+    lead = "coalesce(ops[0].op = 1 AND ops[0].len > 0 AND ops[0].ref - 1 >= site_start - 1 AND ops[0].ref - 1 <= site_stop, false)"
+    tail = "coalesce(size(ops) > 1 AND ops[size(ops) - 1].op = 1 AND ops[size(ops) - 1].len > 0 AND ops[size(ops) - 1].ref - 1 >= site_start - 1 AND ops[size(ops) - 1].ref - 1 <= site_stop, false)"
+    rows = rows.withColumns({"ins_first": F.expr(lead), "ins_last": F.expr(tail), "near": F.expr(near)}).drop("ops").where("size(near) > 0")
+    # What of an operation lies in the site: read offset and bases (an insertion as a whole, at the base before it).
+    cut = """transform(filter(near, x -> if(x.op = 1, x.ref - 1 >= site_start AND x.ref - 1 < site_stop, x.ref < site_stop AND x.ref + x.len > site_start)), x -> named_struct(
+        'op', x.op, 'off', if(x.op = 1, x.off, x.off + cast(greatest(site_start - x.ref, 0) AS int)),
+        'n', if(x.op = 1, x.len, cast(least(site_stop, x.ref + x.len) - greatest(site_start, x.ref) AS int))))"""
+    rows = rows.withColumn("cut", F.expr(cut))
+    text = F.expr("array_join(transform(cut, x -> if(x.op = 2, '', substring(seq, x.off + 1, x.n))), '')")
+    least = F.expr(f"array_min(transform(cut, x -> cast(if(x.op = 2, {DELETED_Q}, array_min(slice(qual, x.off + 1, x.n))) AS int)))")
+    has = lambda at: F.expr(f"exists(near, x -> {aligned} AND x.ref <= {at} AND {at} < x.ref + x.len)")
+    bare = lambda at: F.expr(f"exists(near, x -> x.op = 2 AND x.ref <= {at} AND {at} < x.ref + x.len) AND NOT exists(near, x -> x.op = 1 AND x.ref - 1 = {at})")
+    rows = rows.withColumns({"allele": text, "min_q": least, "h0": has("site_start"), "hb": has("site_start - 1"), "h1": has("site_stop - 1"), "ha": has("site_stop"), "d0": bare("site_start"), "d1": bare("site_stop - 1")})
     status = F.expr("""CASE WHEN d0 OR d1 THEN 'Fail' WHEN NOT h0 THEN 'LeftPartial' WHEN NOT hb THEN if(ins_first, 'LeftPartial', 'Success')
         WHEN NOT h1 THEN 'RightPartial' WHEN NOT ha THEN if(ins_last, 'RightPartial', 'Success') ELSE 'Success' END""")
-    return out.withColumn("status", status).select(*key, "allele", "min_q", "status")
+    return rows.withColumn("status", status).select("chrom", "site_start", "site_stop", "tech", "read_name", "is_reverse", "start", "end", "mapq", "allele", "min_q", "status")
 
 
 def allele_support(slices: DataFrame, least_mapq: int = 10, least_q: int = 10) -> DataFrame:
@@ -67,21 +86,24 @@ def site_alleles(support: DataFrame) -> DataFrame:
 def partial_support(slices: DataFrame, support: DataFrame) -> DataFrame:
     """Support with partial reads: a partial text counts for an allele only if it fits exactly one.
 
-    A read with a left partial is not tried on its right.
+    A read with a left partial is not tried on its right.  The alleles and the
+    partial texts of a site are one row (no more than its reads).
     """
-    part = slices.where("status IN ('LeftPartial', 'RightPartial') AND allele <> ''").select("chrom", "site_start", "site_stop", "status", F.col("allele").alias("part")).groupBy("chrom", "site_start", "site_stop", "status", "part").agg(F.count("*").alias("n"))
     key = ["chrom", "site_start", "site_stop"]
-    lists = part.groupBy(*key).agg(F.collect_list(F.struct("status", "part", "n")).alias("parts"))
-    rows = support.groupBy(*key).agg(F.collect_list(F.struct("allele", "support")).alias("a")).join(lists, key, "left")
+    part = slices.where("status IN ('LeftPartial', 'RightPartial') AND allele <> ''").groupBy(*key, "status", F.col("allele").alias("part")).agg(F.count_if(F.col("tech") == "I").alias("illumina"), F.count_if(F.col("tech") == "P").alias("pacbio"))
+    lists = part.groupBy(*key).agg(F.collect_list(F.struct("status", "part", "illumina", "pacbio")).alias("parts"))
+    rows = support.groupBy(*key).agg(F.collect_list(F.struct("allele", "illumina", "pacbio")).alias("a")).join(lists, key, "left")
     fits = "if(p.status = 'LeftPartial', endswith({x}.allele, p.part), startswith({x}.allele, p.part))"
-    credit = f"aggregate(filter(coalesce(parts, array()), p -> {fits.format(x='x')} AND size(filter(a, y -> {fits.format(x='y')})) = 1), 0L, (t, p) -> t + p.n)"
-    return rows.select(*key, F.explode(F.expr(f"transform(a, x -> named_struct('allele', x.allele, 'support', x.support + {credit}))")).alias("x")).select(*key, "x.*")
+    mine = f"filter(parts, p -> {fits.format(x='x')} AND size(filter(a, y -> {fits.format(x='y')})) = 1)"
+    more = lambda c: f"x.{c} + if(parts IS NULL, 0L, aggregate({mine}, 0L, (t, p) -> t + p.{c}))"
+    rows = rows.select(*key, F.explode(F.expr(f"transform(a, x -> named_struct('allele', x.allele, 'illumina', {more('illumina')}, 'pacbio', {more('pacbio')}))")).alias("x")).select(*key, "x.*")
+    return rows.withColumn("support", F.col("illumina") + F.col("pacbio"))
 
 
 def read_haplotypes(slices: DataFrame, regions: DataFrame, reference: DataFrame, flank: int = 6) -> DataFrame:
     """Each read's successful alleles stitched with reference text over a region's sites (region_start, region_stop)."""
     ok = slices.where("status = 'Success'").join(regions, ["chrom", "site_start", "site_stop"])
-    key = ["chrom", "region_start", "region_stop", "tech", "read_name", "is_reverse", "start"]
+    key = ["chrom", "region_start", "region_stop", "tech", "read_name", "is_reverse", "start", "end"]
     per = ok.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("site_start", "site_stop", "allele"))).alias("s"))
     per = per.withColumn("lo", F.col("region_start") - flank).withColumn("hi", F.col("region_stop") + flank)
     per = reference_slice(per, reference, "lo", "hi", "ref")
@@ -102,7 +124,7 @@ def read_tensors(reads: DataFrame, slices: DataFrame, reference: DataFrame, widt
     rows = reads.withColumn("hp", R.hp_tag()).join(ok, ["chrom", "tech", "read_name", "is_reverse", "start"])
     rows = rows.withColumn("lo", F.floor((F.col("site_start") + F.col("site_stop")) / 2) - width // 2)
     rows = reference_slice(rows, reference, "lo", f"lo + {width}", "ref")
-    cells = columns_of(rows).withColumn("at", (F.col("pos") - F.col("lo")).cast("int")).where(f"at >= 0 AND at < {width}")
+    cells = columns_of(rows, "lo", f"lo + {width}").withColumn("at", (F.col("pos") - F.col("lo")).cast("int"))
     cells = cells.withColumn("base", F.when(F.col("part") == 0, F.col("text"))).withColumn("ref_base", F.expr("substring(ref, at + 1, 1)"))
     c = R.colours()
     place = F.expr("if(pos >= site_start AND pos < site_stop, 240, 70)")
@@ -113,3 +135,20 @@ def read_tensors(reads: DataFrame, slices: DataFrame, reference: DataFrame, widt
     lists = per.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("cell.base", "cell.ref", "q", "cell.m", "cell.s", "cell.p", "cell.h")))).alias("cells"))
     channel = lambda k: F.expr(f"transform(sequence(0, {width - 1}), i -> cast(coalesce(try_element_at(cells, i).{k}, 0) AS smallint))").alias(k)
     return lists.select(*key, *(channel(k) for k in ("base", "ref", "q", "m", "s", "p", "h")))
+
+
+def region_coverage(reads: DataFrame, regions: DataFrame, tech: str = "I") -> DataFrame:
+    """(region, mean): mean depth of one technology over the covered columns of each region (region, chrom, start, stop)."""
+    rows = regions.select("region", "chrom", "start", "stop")
+    found = overlap_join(reads.where(F.col("tech") == tech).select("chrom", "start", F.col("end").alias("stop")), rows)
+    # Covered columns are the union of the reads' parts inside the region: +1 and -1 events, no row a base.
+    parts = found.select(F.col("b_region").alias("region"), F.greatest("start", "b_start").alias("a"), F.least("stop", "b_stop").alias("b"))
+    events = parts.select("region", F.explode(F.array(F.struct(F.col("a").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("b").alias("pos"), F.lit(-1).alias("d")))).alias("e")).groupBy("region", "e.pos").agg(F.sum("e.d").alias("d"))
+    w = W.partitionBy("region").orderBy("pos")
+    steps = events.withColumn("depth", F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("size", F.lead("pos").over(w) - F.col("pos")).where("depth > 0")
+    return steps.groupBy("region").agg((F.sum(F.col("depth") * F.col("size")) / F.sum("size")).alias("mean"))
+
+
+def keep_reads(reads: DataFrame, kept: DataFrame, keys: tuple[str, ...] = ("site", "allele", "read")) -> DataFrame:
+    """Applies stored read numbers to the reads of each (site, allele)."""
+    return reads.join(kept.select(*keys), list(keys), "left_semi")

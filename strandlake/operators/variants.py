@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlake.shared import written
+
 CHUNK = 10_000
 
 
 def reference_slice(rows: DataFrame, reference: DataFrame, start: str, stop: str, out: str = "slice") -> DataFrame:
-    """Adds the reference text of [start, stop), which may go over one chunk border; equi-joins on chunks."""
+    """Adds the reference text of [start, stop), which may go over one chunk border (a longer span is an error); equi-joins on chunks."""
     a = reference.select("chrom", F.col("chunk_id").alias("__chunk"), F.col("seq").alias("__a"))
     b = reference.select("chrom", (F.col("chunk_id") - 1).alias("__chunk"), F.col("seq").alias("__b"))
     keyed = rows.withColumn("__start", F.expr(f"greatest({start}, 0)")).withColumn("__chunk", F.floor(F.col("__start") / CHUNK))
     joined = keyed.join(a, ["chrom", "__chunk"], "left").join(b, ["chrom", "__chunk"], "left")
     text = F.expr(f"substring(concat(__a, coalesce(__b, '')), cast(__start - __chunk * {CHUNK} AS int) + 1, cast(greatest(({stop}) - __start, 0) AS int))")
-    return joined.withColumn(out, text).drop("__a", "__b", "__start", "__chunk")
+    long = F.expr(f"({stop}) > (__chunk + 2) * {CHUNK} AND length(__b) = {CHUNK}")
+    checked = F.when(long, F.raise_error(F.lit("a span goes over more than two reference chunks")).cast("string")).otherwise(text)
+    return joined.withColumn(out, checked).drop("__a", "__b", "__start", "__chunk")
 
 
 def phred(p: Column) -> Column:
@@ -72,40 +76,40 @@ def number_alleles(rows: DataFrame) -> DataFrame:
 
 
 def normalise(rows: DataFrame, reference: DataFrame, width: int = 50) -> DataFrame:
-    """Left-aligned, parsimonious (pos, ref, alts), in closed form.
+    """Left-aligned, parsimonious (pos, ref, alts).
 
     ``width`` reference bases go before every allele; the longest common suffix
-    is cut, leaving a base in each, then the longest common prefix.  Rows whose
-    suffix reaches the context are done again with ten times of it, so shifts
-    of any length come out whole.
+    is cut, leaving a base in each, then the longest common prefix.  A row whose
+    suffix reaches the context has only come as far to the left as that; it
+    goes on from there with ten times the context (half a chunk at most), as
+    often as it takes, so no row is lost however far it moves.  The input is
+    written once; later rounds see the few rows that still move.
     """
     todo = rows.where("exists(alts, a -> a <> ref)")
     done = None
-    for _ in range(3):
-        cut = _cut(todo, reference, width)
-        part = cut.where("NOT __short").drop("__short")
+    while True:
+        cut = written(_cut(todo, reference, width), "normalised")
+        part = cut.where("NOT __short").select(rows.columns)
         done = part if done is None else done.unionByName(part)
         todo = cut.where("__short").select(*(F.col(f"__{c}").alias(c) if c in ("pos", "ref", "alts") else F.col(c) for c in rows.columns))
-        width *= 10
-        if width >= CHUNK:
-            break
-    return done
+        if todo.isEmpty():
+            return done
+        width = min(width * 10, CHUNK // 2)
 
 
 def _cut(rows: DataFrame, reference: DataFrame, width: int) -> DataFrame:
-    out = reference_slice(rows, reference, f"pos - {width}", "pos", "__left")
-    for c in ("pos", "ref", "alts"):
-        out = out.withColumn(f"__{c}", F.col(c))
-    out = out.withColumn("__all", F.expr("transform(concat(array(ref), alts), a -> concat(coalesce(__left, ''), a))"))
+    """One round; ``__short`` rows could move further, and ``__pos``, ``__ref``, ``__alts`` is where they have come to."""
+    out = reference_slice(rows, reference, f"pos - {width}", "pos", "__left").withColumn("__left", F.coalesce("__left", F.lit("")))
+    out = out.withColumn("__all", F.expr("transform(concat(array(ref), alts), a -> concat(__left, a))"))
     least = "array_min(transform(__all, a -> length(a)))"
     # Lengths are tried from the longest: the first that all alleles share.
     out = out.withColumn("__s", F.expr(f"coalesce(array_max(filter(sequence(0, {least} - 1), k -> size(array_distinct(transform(__all, a -> right(a, k)))) = 1)), 0)"))
-    short = F.expr(f"__s >= {least} - 1 AND pos > length(coalesce(__left, '')) AND length(__left) > 0")
-    out = out.withColumn("__short", F.coalesce(short, F.lit(False)))
+    out = out.withColumn("__short", F.expr(f"__s >= {least} - 1 AND pos > length(__left) AND length(__left) > 0"))
     out = out.withColumn("__all", F.expr("transform(__all, a -> left(a, length(a) - __s))"))
+    out = out.withColumns({"__pos": F.expr("pos - length(__left)"), "__ref": F.expr("__all[0]"), "__alts": F.expr("slice(__all, 2, size(__all))")})
     out = out.withColumn("__p", F.expr(f"coalesce(array_max(filter(sequence(0, {least} - 1), k -> size(array_distinct(transform(__all, a -> left(a, k)))) = 1)), 0)"))
     out = out.withColumn("__all", F.expr("transform(__all, a -> substring(a, __p + 1))"))
-    out = out.withColumn("pos", F.expr("pos - length(coalesce(__left, '')) + __p")).withColumn("ref", F.expr("__all[0]")).withColumn("alts", F.expr("slice(__all, 2, size(__all))"))
+    out = out.withColumns({"pos": F.expr("pos - length(__left) + __p"), "ref": F.expr("__all[0]"), "alts": F.expr("slice(__all, 2, size(__all))")})
     return out.drop("__left", "__all", "__s", "__p")
 
 

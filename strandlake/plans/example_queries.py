@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.operators import examples as E
+from strandlake.operators import sites as T
 from strandlake.operators import variants as V
 from strandlake.plans.base import query
 from strandlake.plans.sqlbase import code, letter
@@ -22,7 +23,7 @@ def _(s, d):
     return rows.select("chrom", "read_name", "start", "end", F.col("mapq").cast("long").alias("mapq"), F.col("flag").cast("long").alias("flag"), "is_reverse", F.coalesce(F.try_element_at("tags", F.lit("HP")), F.lit(0)).cast("long").alias("hp"), F.get("qual", F.lit(0)).cast("long").alias("first_q"), cigar.alias("cigar"))
 
 
-@query("src_reference", q(f"SELECT 'c' || cn AS chrom, k AS chunk_id, CAST(sum(({code('k * 10000 + i')}) * (i % 97 + 1)) AS BIGINT) AS digest FROM (SELECT 1 + c AS cn FROM range(5) t(c)), range((SELECT (g + 200) // 10000 + 1 FROM g)) u(k), range(10000) v(i) GROUP BY ALL", "g"))
+@query("src_reference", q(f"SELECT 'c' || cn AS chrom, k AS chunk_id, CAST(sum(({code('k * 10000 + i')}) * (i % 97 + 1)) AS BIGINT) AS digest FROM (SELECT cn, chunk_id AS k FROM chunks), range(10000) v(i) GROUP BY ALL", "chunks"))
 def _(s, d):
     chunks = S.reference(s, d)
     line = F.expr("sequence(0, length(seq) - 1, 70)")
@@ -70,10 +71,9 @@ def _(s, d):
     return text.contigs(S.truth(s, d).select(line.alias("value"))).select("chrom", "start", "allele", F.col("support").cast("long").alias("support"))
 
 
-@query("sink_vcf", q("SELECT count(*) + 8 AS lines, count(*) AS records FROM truth", "truth"))
+@query("sink_vcf", q("SELECT count(*) + 3 + (SELECT count(*) FROM lengths) AS lines, count(*) AS records FROM truth", "truth", "lengths"))
 def _(s, d):
-    chroms = s.range(S.CHROMS).selectExpr("concat('c', id + 1) AS chrom", f"cast({S.genome_size(s, d)} AS bigint) AS length")
-    rows = sinks.vcf_lines(S.truth(s, d).withColumn("qual", F.lit(30.0)).withColumn("filter", F.lit("PASS")).withColumn("info", F.lit(".")), chroms)
+    rows = sinks.vcf_lines(S.truth(s, d).withColumn("qual", F.lit(30.0)).withColumn("filter", F.lit("PASS")).withColumn("info", F.lit(".")), S.lengths(s, d))
     return rows.agg(F.count("*").alias("lines"), F.count_if(~F.col("line").startswith("#")).alias("records"))
 
 
@@ -127,18 +127,17 @@ def _(s, d):
 
 @query("supported_alleles", ex("SELECT site, allele, support FROM ex WHERE support > 0 AND length(allele) <= 80"))
 def _(s, d):
-    return alleles(s, d).where("support > 0 AND length(allele) <= 80").select("site", "allele", "support")
+    return E.supported(alleles(s, d)).select("site", "allele", "support")
 
 
 @query("callable_sites", ex("SELECT site, count(*) AS n FROM ex GROUP BY site HAVING max(CASE WHEN allele <> 'A' THEN 1 ELSE 0 END) = 1"))
 def _(s, d):
-    return alleles(s, d).groupBy("site").agg(F.count("*").alias("n"), F.max((F.col("allele") != "A").cast("int")).alias("alt")).where("alt = 1").drop("alt")
+    return E.callable_sites(alleles(s, d), F.lit("A"))
 
 
 @query("rejects", ex("SELECT status, count(*) AS n FROM (SELECT CASE WHEN length(allele) > 2 THEN 'TOO_LONG' WHEN label = 0 AND support = 0 THEN 'MISSED' ELSE 'DATA' END AS status FROM ex) GROUP BY ALL"))
 def _(s, d):
-    status = F.when(F.length("allele") > 2, "TOO_LONG").when((F.col("label") == 0) & (F.col("support") == 0), "MISSED").otherwise("DATA")
-    return alleles(s, d).groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    return E.with_status(alleles(s, d), 2).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("subsample_rates")
@@ -228,23 +227,24 @@ def _(s, d):
     return sinks.stored_sites(rows.unionByName(rows.where("support % 5 = 0"))).select("site_key", "allele")
 
 
-@query("dataset_equality", ex("SELECT 0 AS missing, 0 AS extra FROM (SELECT 1) WHERE (SELECT count(*) FROM ex) > 0"))
+@query("dataset_equality", ex("SELECT site, allele, CASE WHEN site % 7 = 0 THEN 'missing' ELSE 'support' END AS kind FROM ex WHERE site % 7 = 0 OR site % 5 = 0 UNION ALL SELECT site + 1000000000, allele, 'extra' FROM ex WHERE site % 7 = 0"))
 def _(s, d):
-    a, b = alleles(s, d), alleles(s, d).repartition(5, "allele")
-    both = a.exceptAll(b).agg(F.count("*").alias("missing")).withColumn("one", F.lit(1))
-    return both.join(F.broadcast(b.exceptAll(a).agg(F.count("*").alias("extra")).withColumn("one", F.lit(1))), "one").drop("one")
+    """A store against a copy in which some sites have moved and others have another support."""
+    a = alleles(s, d)
+    b = a.withColumn("support", F.when(F.col("site") % 5 == 0, F.col("support") + 1).otherwise(F.col("support"))).withColumn("site", F.when(F.col("site") % 7 == 0, F.col("site") + 1_000_000_000).otherwise(F.col("site")))
+    return E.differences(a, b)
 
 
 @query("keep_reads", ex("SELECT site, CAST(sum(least(support, 3)) AS BIGINT) AS reads FROM ex WHERE support > 0 GROUP BY site"))
 def _(s, d):
     rows = site_reads(s, d)
-    return rows.join(rows.where("read <= 3").select("site", "allele", "read"), ["site", "allele", "read"], "left_semi").groupBy("site").agg(F.count("*").alias("reads"))
+    return T.keep_reads(rows, rows.where("read <= 3")).groupBy("site").agg(F.count("*").alias("reads"))
 
 
 @query("add_field", ex("SELECT site, allele, support, CASE WHEN support % 2 = 0 THEN support END AS extra FROM ex"))
 def _(s, d):
     rows = alleles(s, d).select("site", "allele", "support")
-    return rows.join(rows.where("support % 2 = 0").select("site", "allele", F.col("support").alias("extra")), ["site", "allele"], "left")
+    return E.added_field(rows, rows.where("support % 2 = 0").select("site", "allele", F.col("support").alias("extra")))
 
 
 @query("reference_segment", q(f"SELECT chrom, pos, {letter(code('pos - 2'))} || {letter(code('pos - 1'))} || ref || {letter(code('pos + 1'))} AS segment, CASE WHEN ref = 'A' THEN 0 WHEN ref = 'C' THEN 1 WHEN ref = 'G' THEN 2 ELSE 3 END AS hot FROM truth", "truth"))

@@ -1,92 +1,144 @@
-"""End-to-end jobs: lazy compositions of operators, from reads to calls and from truth to training examples."""
+"""End-to-end jobs: compositions of operators, from reads to calls and from truth to training examples.
+
+Tables that several later steps need (hotspots, slices, candidate sites) are
+written to the shared folder once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.operators import examples as E
+from strandlake.operators import failures as X
 from strandlake.operators import haplotypes as H
 from strandlake.operators import intervals as I
 from strandlake.operators import pileup as P
 from strandlake.operators import reads as R
+from strandlake.operators import scoring as C
 from strandlake.operators import sites as T
 from strandlake.operators import variants as V
+from strandlake.shared import written
 
-#: A scorer adds ``p`` to (chrom, site_start, site_stop, allele, support, ...).
+#: A scorer adds ``p`` (three experts) and ``meta`` (their weights) to (chrom, site_start, site_stop, allele, illumina, pacbio, support).
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def support_share(rows: DataFrame) -> DataFrame:
-    """The built-in score: an allele's share of its site's support."""
-    from pyspark.sql import Window as W
+def clean_reads(reads: DataFrame, least_mapq: int = 10) -> DataFrame:
+    return R.mapq_gate(R.first_per_name(R.usable(reads)), least_mapq)
 
-    total = F.sum("support").over(W.partitionBy("chrom", "site_start", "site_stop"))
-    return rows.withColumn("p", F.col("support") / total)
 
+def detect_hotspots(reads: DataFrame, reference: DataFrame) -> DataFrame:
+    """Differing positions, the union over technologies."""
+    rows = clean_reads(reads)
+    return P.hotspots(P.resolve_partials(P.allele_counts(rows, reference)), rows)
 
-def model_scores(predict: Callable, features: list[str], batch: int = 1024) -> Scorer:
-    """A scorer from a user's model: ``predict`` gets a float array (rows x features) and returns probabilities."""
 
-    def score(rows: DataFrame) -> DataFrame:
-        @F.pandas_udf("double")
-        def run(block):
-            import numpy as np
-            import pandas as pd
+def capped_reads(reads: DataFrame, points: DataFrame, per_base: float, gap: int = 30, flank: int = 75) -> DataFrame:
+    """Reads of the active regions around some points: of those that overlap a region (with flanks), at most ``per_base`` for each of its bases.
 
-            values = np.stack(block.to_numpy()) if len(block) else np.zeros((0, len(features)))
-            parts = [np.asarray(predict(values[k : k + batch]), dtype=float) for k in range(0, len(values), batch)]
-            return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    A read that several regions keep is one row.
+    """
+    regions = I.gap_regions(points, gap).select("chrom", F.greatest(F.col("start") - flank, F.lit(0)).alias("start"), (F.col("stop") + flank).alias("stop"), F.ceil((F.col("stop") - F.col("start")) * per_base).alias("most"))
+    found = T.reads_by_region(reads, regions)
+    order = W.partitionBy("chrom", "region_start").orderBy(F.xxhash64(F.lit(13), "read_name", "is_reverse", "start"), "read_name", "start")
+    kept = found.withColumn("__n", F.row_number().over(order)).where("__n <= region_most")
+    key = ["chrom", "read_name", "is_reverse", "start"]
+    return reads.join(kept.select(key).distinct(), key, "left_semi")
 
-        return rows.withColumn("p", run(F.array(*(F.col(f).cast("double") for f in features))))
 
-    return score
+def site_support(reads: DataFrame, reference: DataFrame, per_base: float | None = None) -> DataFrame:
+    """Alleles with support at every run of hotspot positions, with the site's reference text.
 
+    Partial reads count for the one allele they fit.  With ``per_base`` the
+    reads of each active region are capped first.
+    """
+    points = written(detect_hotspots(reads, reference), "hotspots")
+    rows = clean_reads(reads)
+    if per_base is not None:
+        rows = capped_reads(rows, points, per_base)
+    slices = written(T.site_slices(rows, I.consecutive_runs(points)), "site-slices")
+    support = T.partial_support(slices, T.allele_support(slices)).where("support > 0 AND length(allele) <= 80")
+    return V.reference_slice(support, reference, "site_start", "site_stop", "ref")
 
-def clean_reads(reads: DataFrame, least_mapq: int = 10) -> DataFrame:
-    return R.mapq_gate(R.first_per_name(R.usable(reads)), least_mapq)
 
+def predict_sites(reads: DataFrame, reference: DataFrame, scorer: Scorer = C.support_scores, per_base: float | None = None) -> DataFrame:
+    """Site predictions of three experts at every candidate site with another allele than the reference."""
+    scored = scorer(site_support(reads, reference, per_base)).withColumn("pos", F.col("site_start"))
+    return C.site_predictions(scored)
 
-def detect_hotspots(reads: DataFrame, reference: DataFrame) -> DataFrame:
-    rows = clean_reads(reads)
-    return P.hotspots(P.resolve_partials(P.allele_counts(rows, reference)), P.depth(rows))
 
+def call_variants(reads: DataFrame, reference: DataFrame, scorer: Scorer = C.support_scores, per_base: float | None = None) -> DataFrame:
+    """Normalised calls of the mixture of experts, with genotype and quality."""
+    return prepare_vcf(predict_sites(reads, reference, scorer, per_base), reference)[0].where("kind = 'mean'").drop("kind")
 
-def site_support(reads: DataFrame, reference: DataFrame) -> DataFrame:
-    """Alleles with support at every run of hotspot positions, with the site's reference text."""
-    sites = I.consecutive_runs(detect_hotspots(reads, reference))
-    support = T.allele_support(T.site_slices(clean_reads(reads), sites)).where("support > 0 AND length(allele) <= 80")
-    return V.reference_slice(support, reference, "site_start", "site_stop", "ref")
+
+def prepare_vcf(predictions: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of every expert, the best one and the mean (by ``kind``), and the chosen experts as intervals."""
+    return C.prepared(written(predictions, "predictions"), reference)
 
 
-def call_variants(reads: DataFrame, reference: DataFrame, scorer: Scorer = support_share) -> DataFrame:
-    """Normalised calls with genotype and quality."""
-    scored = scorer(site_support(reads, reference)).select("chrom", F.col("site_start").alias("pos"), "ref", "allele", "p")
-    return V.call_sites(scored, reference)
+def shard(points: DataFrame, max_shards: int = 500, min_gap: int = 25) -> DataFrame:
+    """Hotspot positions with the shard of their chromosome: greedy, by runs of adjacent positions."""
+    runs = I.consecutive_runs(points)
+    shards = I.balanced_shards(runs.withColumn("one", F.lit(1).cast("long")), max_shards, min_gap, "one")
+    spots = points.select("chrom", "pos", F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"))
+    return I.overlap_join(spots, shards.select("chrom", "start", "stop", "shard"), width=65_536).select("chrom", "pos", F.col("b_shard").alias("shard"))
 
 
-def label_regions(truth: DataFrame, support: DataFrame, reference: DataFrame, width: int = 1000, flank: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Truth and candidate sites of each tile as region rows with the same segment."""
-    tile = F.floor(F.col("pos") / width)
+def feed_training(examples: DataFrame, reads: DataFrame, rates: list[tuple[float, float]], batch: int, workers: int = 8, keep: float = 1.0, cutoff: float = 0.0, most_reads: int | None = None, seed: int = 13) -> DataFrame:
+    """Batches of training sites with their part (train or validation).
 
-    def regions(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("tile", tile).groupBy("chrom", "tile").agg(F.sort_array(F.collect_list(F.struct("pos", "ref", "alts", "gt"))).alias("sites"))
-        rows = rows.withColumn("lo", F.greatest(F.col("tile") * width - flank, F.lit(0))).withColumn("hi", (F.col("tile") + 1) * width + flank)
-        rows = V.reference_slice(rows, reference, "lo", "hi", "segment")
-        return rows.select(F.concat_ws("_", "chrom", "tile").alias("region"), F.col("lo").alias("seg_start"), "segment", "sites")
+    Sites with a true and a second allele; homozygous ones pruned; sites whose
+    true alleles have too small a share dropped; reads (site, allele, read)
+    kept by a rate drawn for each site and capped; sites that lose a true
+    allele dropped; then split and put into batches.
+    """
+    rows = E.fraction_qc(E.prune_homozygous(E.trainable_sites(examples), keep, seed), cutoff)
+    kept = E.subsample(reads, rates, seed)
+    if most_reads is not None:
+        kept = E.cap_site_reads(kept, most_reads, seed)
+    left = kept.groupBy("site", "allele").agg(F.count("*").alias("support"))
+    rows = rows.drop("support").join(left, ["site", "allele"], "left").withColumn("support", F.coalesce("support", F.lit(0).cast("long")))
+    split = E.split(E.covered_truth(rows), seed=seed)
+    parts = [E.collate(split.where(F.col("part") == p), batch, workers).withColumn("part", F.lit(p)) for p in ("train", "validation")]
+    return parts[0].unionByName(parts[1])
 
-    sites = support.groupBy("chrom", F.col("site_start").alias("pos"), "ref").agg(F.collect_set("allele").alias("alleles"))
-    sites = V.candidate_record(sites).where("size(alts) > 0").withColumn("alts", F.array_sort("alts"))
-    return regions(truth), regions(sites)
+
+def vcf_from_examples(examples: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Normalised records of labelled examples, and the sites that have no true allele."""
+    sites = examples.select("site_key", "chrom", "start", "stop").distinct()
+    records, none = E.examples_as_records(examples, V.reference_slice(sites, reference, "start", "stop", "ref").select("site_key", "ref"))
+    return V.normalise(records, reference), none
+
+
+def explain_failures(failures: DataFrame, features: DataFrame, confident: DataFrame, reference: DataFrame) -> DataFrame:
+    return X.explained(failures, features, confident, reference)
 
 
 def dump_training(reads: DataFrame, reference: DataFrame, truth: DataFrame, confident: DataFrame) -> DataFrame:
-    """Labelled alleles of candidate sites inside confident regions."""
+    """Labelled alleles of candidate sites inside confident regions.
+
+    Candidate sites are clustered (linked below a gap of 30, eight at most);
+    a cluster with the reference text around it is a region, and all confident
+    truths inside it are matched against its candidates.
+    """
     support = site_support(reads, reference)
-    inside = I.points_in(support.withColumn("pos", F.col("site_start")), confident)
-    near = I.points_in(truth, confident)
-    known, found = label_regions(near, inside.drop("pos"), reference, width=200)
-    labelled = H.label_sites(known, found)
-    keyed = inside.select(F.concat_ws("_", "chrom", F.floor(F.col("site_start") / 200)).alias("region"), F.col("site_start").alias("pos"), "allele", "support")
-    return H.label_alleles(labelled, keyed)
+    sites = support.groupBy("chrom", F.col("site_start").alias("start"), F.col("site_stop").alias("stop"), "ref").agg(F.collect_set("allele").alias("alleles"))
+    sites = written(I.overlap_join(sites, confident, how="left_semi"), "candidate-sites")
+    parts = I.capped_clusters(sites, 30, 8)
+    spans = I.segment_bounds(parts)
+    spans = spans.select("chrom", "island", "part", F.greatest("seg_start", F.lit(0)).alias("seg_start"), "seg_stop").withColumn("region", F.concat_ws("_", "chrom", "seg_start"))
+    text = V.reference_slice(spans, reference, "seg_start", "seg_stop", "segment")
+    placed = parts.join(text, ["chrom", "island", "part"])
+    found = V.candidate_record(placed.withColumn("pos", F.col("start"))).where("size(alts) > 0").withColumn("alts", F.array_sort("alts"))
+    listed = lambda rows: rows.groupBy("region", "seg_start", "segment").agg(F.sort_array(F.collect_list(F.struct("pos", "ref", "alts", "gt"))).alias("sites"))
+    known = I.points_in(truth, confident).withColumns({"start": F.col("pos"), "stop": F.col("pos") + F.length("ref")})
+    known = I.overlap_join(known, text.select("chrom", F.col("seg_start").alias("start"), F.col("seg_stop").alias("stop"), "region", "segment"), inside=True)
+    known = known.select(F.col("b_region").alias("region"), F.col("b_start").alias("seg_start"), F.col("b_segment").alias("segment"), "pos", "ref", "alts", "gt")
+    labelled = H.label_sites(listed(known), listed(found.select("region", "seg_start", "segment", "pos", "ref", "alts", "gt")))
+    keyed = support.select("chrom", F.col("site_start").alias("start"), "allele", "support").join(found.select("chrom", "start", "region", "pos"), ["chrom", "start"])
+    return H.label_alleles(labelled, keyed.select("region", "pos", "allele", "support"))

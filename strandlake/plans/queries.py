@@ -18,8 +18,9 @@ def kept_reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows, ref = kept_reads(spark, d), S.reference(spark, d)
-    return P.resolve_partials(P.allele_counts(rows, ref)), P.depth(rows)
+    """Resolved allele counts, and the reads they come from."""
+    rows = kept_reads(spark, d)
+    return P.resolve_partials(P.allele_counts(rows, S.reference(spark, d))), rows
 
 
 # ---- reads
@@ -56,9 +57,9 @@ def _(s, d):
     return rows.groupBy("chrom", "tile").agg(F.count("*").alias("n"), F.sum("read_offset").alias("offsets"), F.sum("q").alias("quality"), F.count_if(F.col("base") == "A").alias("a"))
 
 
-@query("run_length", q("""SELECT chrom, read_name, is_reverse, start, high, count(*) AS length, min(pos) AS "first" FROM (SELECT *, row_number() OVER w - row_number() OVER (PARTITION BY chrom, read_name, is_reverse, start, high ORDER BY pos) AS k FROM (SELECT *, q >= 20 AS high FROM b WHERE pos % 1000 < 500) WINDOW w AS (PARTITION BY chrom, read_name, is_reverse, start ORDER BY pos)) GROUP BY chrom, read_name, is_reverse, start, high, k""", "b"))
+@query("run_length", q("""SELECT chrom, read_name, is_reverse, start, high, count(*) AS length, min(pos) AS "first" FROM (SELECT *, row_number() OVER w - row_number() OVER (PARTITION BY chrom, read_name, is_reverse, start, high ORDER BY pos) AS k FROM (SELECT *, q >= 20 AS high FROM b) WINDOW w AS (PARTITION BY chrom, read_name, is_reverse, start ORDER BY pos)) GROUP BY chrom, read_name, is_reverse, start, high, k""", "b"))
 def _(s, d):
-    rows = R.bases(kept_reads(s, d)).where("pos % 1000 < 500").withColumn("high", F.col("q") >= 20)
+    rows = R.bases(kept_reads(s, d)).withColumn("high", F.col("q") >= 20)
     return R.run_length(rows, ("chrom", "read_name", "is_reverse", "start"), "pos", "high").select("chrom", "read_name", "is_reverse", "start", "high", "length", "first")
 
 
@@ -77,17 +78,17 @@ def _(s, d):
     return R.mean_coverage(kept_reads(s, d)).select("chrom", "tech", "columns", "total", F.round("mean", 6).alias("mean"))
 
 
-@query("read_subregion", q("""SELECT chrom, read_name, start, "end" FROM reads WHERE (start <= 500 AND 500 <= "end" - 1) OR (start <= 629 AND 629 <= "end" - 1)""", "reads"))
+@query("read_subregion", q("""SELECT chrom, k * 130 AS sub, read_name, start, "end" FROM (SELECT *, unnest(range(start // 130, ("end" - 1) // 130 + 1)) AS k FROM reads) WHERE (start <= k * 130 AND k * 130 <= "end" - 1) OR (start <= k * 130 + 109 AND k * 130 + 109 <= "end" - 1)""", "reads"))
 def _(s, d):
-    return R.in_subregion(S.reads(s, d), F.lit(500), F.lit(630)).select("chrom", "read_name", "start", F.col("end").cast("long").alias("end"))
+    rows = S.reads(s, d).withColumn("sub", F.explode(F.expr("transform(sequence(start div 130, (end - 1) div 130), k -> k * 130)")))
+    return R.in_subregion(rows, F.col("sub"), F.col("sub") + 110).select("chrom", "sub", "read_name", "start", F.col("end").cast("long").alias("end"))
 
 
-@query("clip_reads", q("""SELECT chrom, read_name, is_reverse, start, region_start, min(pos) AS "first", max(pos) AS "last", count(*) AS bases FROM (SELECT *, count(*) FILTER (pos < region_start) OVER (PARTITION BY chrom, read_name, is_reverse, start, region_start ORDER BY pos DESC) AS l, count(*) FILTER (pos >= region_start + 30) OVER (PARTITION BY chrom, read_name, is_reverse, start, region_start ORDER BY pos) AS r
-    FROM (SELECT b.*, 200 * k AS region_start FROM b JOIN (SELECT DISTINCT chrom c2, read_name n2, is_reverse s2, start st2, unnest(range(start // 200, ("end" - 1) // 200 + 1)) AS k, "end" e2 FROM once) x ON chrom = c2 AND read_name = n2 AND is_reverse = s2 AND start = st2 AND start < 200 * k + 30 AND e2 > 200 * k)) WHERE l <= 6 AND r <= 6 GROUP BY ALL""", "b"))
+@query("clip_reads", q("""SELECT chrom, read_name, is_reverse, start, region_start, min(pos) AS "first", max(pos) AS "last", count(*) AS bases FROM (SELECT *, count(*) FILTER (pos < region_start) OVER (PARTITION BY chrom, read_name, is_reverse, start, region_start ORDER BY pos DESC) AS l, count(*) FILTER (pos >= region_stop) OVER (PARTITION BY chrom, read_name, is_reverse, start, region_start ORDER BY pos) AS r
+    FROM (SELECT b.*, rs AS region_start, re AS region_stop FROM b JOIN (SELECT o.chrom c2, read_name n2, is_reverse s2, o.start st2, c.start AS rs, c.stop AS re FROM once o JOIN confident c ON o.chrom = c.chrom AND o.start < c.stop AND o."end" > c.start) x ON chrom = c2 AND read_name = n2 AND is_reverse = s2 AND start = st2)) WHERE l <= 6 AND r <= 6 GROUP BY ALL""", "b", "once", "confident"))
 def _(s, d):
-    rows = kept_reads(s, d).withColumn("k", F.explode(F.expr("sequence(cast(floor(start / 200) AS bigint), cast(floor((end - 1) / 200) AS bigint))")))
-    rows = rows.withColumn("region_start", F.col("k") * 200).withColumn("region_stop", F.col("k") * 200 + 30).where("start < region_stop AND end > region_start")
-    return R.clipped(rows, rows, 5).select("chrom", "read_name", "is_reverse", "start", "region_start", "first", "last", F.length("clip").cast("long").alias("bases"))
+    rows = R.clipped(kept_reads(s, d), S.confident(s, d), 5)
+    return rows.select("chrom", "read_name", "is_reverse", "start", "region_start", "first", "last", F.length("clip").cast("long").alias("bases"))
 
 
 # ---- pileup
@@ -189,10 +190,9 @@ def _(s, d):
     return I.nearest_within(P.hotspots(*evidence(s, d)), S.truth(s, d), 40)
 
 
-@query("tile_genome", q("SELECT chrom, s AS start, least(s + 400, g) AS stop FROM (SELECT 'c' || (1 + c) AS chrom, g, unnest(range(0, g, 400)) AS s FROM g, range(5) t(c))", "g"))
+@query("tile_genome", q("SELECT chrom, s AS start, least(s + 400, length) AS stop FROM (SELECT chrom, length, unnest(range(0, length, 400)) AS s FROM lengths)", "lengths"))
 def _(s, d):
-    lengths = s.range(S.CHROMS).selectExpr("concat('c', id + 1) AS chrom", f"cast({S.genome_size(s, d)} AS bigint) AS length")
-    return I.tiles(lengths, 400)
+    return I.tiles(S.lengths(s, d), 400)
 
 
 @query("hotspot_islands", q("SELECT chrom, count(*) AS islands, CAST(ceil(count(*) / 20) AS BIGINT) AS shard_size FROM runs GROUP BY chrom", "runs"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandlake.operators import examples as E
 from strandlake.operators import failures as X
 from strandlake.operators import haplotypes as H
 from strandlake.operators import intervals as I
@@ -14,6 +15,7 @@ from strandlake.plans.base import query
 from strandlake.plans.example_queries import alleles, ex
 from strandlake.plans.sqlbase import letter
 from strandlake.plans.sqlbase import with_tables as q
+from strandlake.shared import written
 from strandlake.sources import synthetic as S
 
 SLICES = f"""ov AS (SELECT r.chrom, r.start AS site_start, r.stop AS site_stop, u.tech, u.read_name, u.is_reverse, u.start, u."end", u.m, u.mapq FROM runs r JOIN once u ON r.chrom = u.chrom AND u.start < r.stop AND u."end" > r.start WHERE u.mapq >= 10),
@@ -25,12 +27,15 @@ SLICES = f"""ov AS (SELECT r.chrom, r.start AS site_start, r.stop AS site_stop,
 
 
 def sliced(sql: str) -> str:
-    return q("", "runs", "b", "once").rstrip() + ", " + SLICES + " " + sql
+    return q("", "runs", "b", "once").rstrip() + ", " + SLICES.rstrip() + ("" if sql.startswith(",") else " ") + sql
+
+
+def runs(s, d):
+    return I.consecutive_runs(jobs.detect_hotspots(S.reads(s, d), S.reference(s, d)))
 
 
 def slices(s, d):
-    reads, ref = S.reads(s, d), S.reference(s, d)
-    return T.site_slices(jobs.clean_reads(reads), I.consecutive_runs(jobs.detect_hotspots(reads, ref)))
+    return T.site_slices(jobs.clean_reads(S.reads(s, d)), runs(s, d))
 
 
 @query("site_slice", sliced("SELECT chrom, site_start, site_stop, read_name, is_reverse, start, allele, min_q, status FROM sl"))
@@ -48,9 +53,19 @@ def _(s, d):
     return T.site_alleles(T.allele_support(slices(s, d))).withColumn("alleles", F.array_join("alleles", ","))
 
 
-@query("partial_alleles")
+PARTIAL = """pt AS (SELECT chrom, site_start, site_stop, status, allele AS part, count(*) FILTER (tech = 'I') AS i, count(*) FILTER (tech = 'P') AS p FROM sl WHERE status IN ('LeftPartial', 'RightPartial') AND allele <> '' GROUP BY ALL),
+    fit AS (SELECT pt.*, s.allele, count(*) OVER (PARTITION BY pt.chrom, pt.site_start, pt.site_stop, pt.status, pt.part) AS fits FROM pt JOIN sup s ON s.chrom = pt.chrom AND s.site_start = pt.site_start AND s.site_stop = pt.site_stop AND CASE WHEN pt.status = 'LeftPartial' THEN ends_with(s.allele, pt.part) ELSE starts_with(s.allele, pt.part) END),
+    cr AS (SELECT chrom, site_start, site_stop, allele, sum(i) AS i, sum(p) AS p FROM fit WHERE fits = 1 GROUP BY ALL),
+    full_sup AS (SELECT chrom, site_start, site_stop, allele, CAST(illumina + coalesce(i, 0) AS BIGINT) AS illumina, CAST(pacbio + coalesce(p, 0) AS BIGINT) AS pacbio, CAST(support + coalesce(i, 0) + coalesce(p, 0) AS BIGINT) AS support FROM sup LEFT JOIN cr USING (chrom, site_start, site_stop, allele))"""
+
+
+def supported(sql: str) -> str:
+    return sliced(", " + PARTIAL + " " + sql)
+
+
+@query("partial_alleles", supported("SELECT * FROM full_sup"))
 def _(s, d):
-    rows = slices(s, d)
+    rows = written(slices(s, d), "site-slices")
     return T.partial_support(rows, T.allele_support(rows))
 
 
@@ -128,16 +143,12 @@ def _(s, d):
 
 @query("missing_alleles", ex("SELECT site, string_agg(allele, ',' ORDER BY allele) AS missing FROM ex WHERE label = 1 AND support = 0 GROUP BY site"))
 def _(s, d):
-    pick = lambda test, name: F.collect_list(F.when(test, F.col("allele"))).alias(name)
-    lists = alleles(s, d).groupBy("site").agg(pick(F.col("label") == 1, "truth"), pick(F.col("support") > 0, "found"))
-    missing = F.array_sort(F.array_except("truth", "found"))
-    return lists.withColumn("missing", missing).where("size(missing) > 0").select("site", F.array_join("missing", ",").alias("missing"))
+    return E.missing_alleles(alleles(s, d)).select("site", F.array_join("missing", ",").alias("missing"))
 
 
 @query("three_way_sweep")
 def _(s, d):
-    runs = I.consecutive_runs(jobs.detect_hotspots(S.reads(s, d), S.reference(s, d)))
-    return X.three_way_sweep(S.confident(s, d), S.truth(s, d).selectExpr("chrom", "pos AS start", "pos + 1 AS stop"), runs)
+    return X.three_way_sweep(S.confident(s, d), S.truth(s, d).selectExpr("chrom", "pos AS start", "pos + 1 AS stop"), runs(s, d))
 
 
 @query("variant_groups")

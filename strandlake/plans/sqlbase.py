@@ -41,14 +41,16 @@ _CTES = {
     "hot": "SELECT DISTINCT chrom, pos FROM (SELECT chrom, pos FROM evs UNION ALL SELECT chrom, unnest(range(pos, pos + length(ref) + 1)) AS pos FROM evd)",
     "run0": "SELECT *, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS k FROM hot",
     "runs": "SELECT chrom, min(pos) AS start, max(pos) + 1 AS stop, count(*) AS n FROM run0 GROUP BY chrom, k",
-    "truth": f"SELECT 'c' || cn AS chrom, cn, pos, {letter(code('pos'))} AS ref, {letter(f'({code("pos")} + 1) % 4')} AS alt, CASE WHEN (pos // 97) % 3 = 0 THEN 1 ELSE 0 END AS g0, 1 AS g1 FROM (SELECT 1 + c AS cn, k * 97 + 13 AS pos FROM range(5) t(c), range((SELECT (g + 83) // 97 FROM g)) u(k))",
-    "confident": "SELECT 'c' || (1 + c) AS chrom, k * 1000 AS start, k * 1000 + 800 AS stop FROM range(5) t(c), range((SELECT g // 1000 + 1 FROM g)) u(k)",
+    "truth": f"SELECT 'c' || cn AS chrom, cn, pos, {letter(code('pos'))} AS ref, {letter(f'({code("pos")} + 1) % 4')} AS alt, CASE WHEN (pos // 97) % 3 = 0 THEN 1 ELSE 0 END AS g0, 1 AS g1 FROM (SELECT DISTINCT 1 + o_orderkey % 5 AS cn, ((o_orderkey * 7919 + o_custkey) % ((SELECT (g + 83) // 97 FROM g))) * 97 + 13 AS pos FROM orders)",
+    "confident": "SELECT DISTINCT 'c' || (1 + c_custkey % 5) AS chrom, (c_custkey * 31 % (SELECT g // 1000 + 1 FROM g)) * 1000 AS start, (c_custkey * 31 % (SELECT g // 1000 + 1 FROM g)) * 1000 + 800 AS stop FROM customer",
+    "chunks": "SELECT DISTINCT cn, start // 10000 + k AS chunk_id FROM reads, range(2) t(k)",
+    "lengths": 'SELECT chrom, cn, CAST(max("end") AS BIGINT) AS length FROM reads GROUP BY ALL',
     "pts": "SELECT CAST(user_id AS VARCHAR) AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS pos FROM events",
     "spans": "SELECT 'k' || (o_custkey % 97) AS chrom, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS start, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) + 1 + o_orderkey % 3 AS stop, o_orderkey AS id FROM orders",
 }
 _NEEDS = {
     "r0": ["g"], "r1": ["r0"], "reads": ["r1"], "usable": ["reads"], "once": ["usable"], "pos0": [], "b": ["pos0"], "depth": ["b"], "snv": ["b"], "del": ["b", "reads"],
-    "counts": ["snv", "del"], "ev": ["counts", "depth"], "evs": ["ev"], "evd": ["ev"], "hot": ["evs", "evd"], "run0": ["hot"], "runs": ["run0"], "truth": ["g"], "confident": ["g"],
+    "counts": ["snv", "del"], "ev": ["counts", "depth"], "evs": ["ev"], "evd": ["ev"], "hot": ["evs", "evd"], "run0": ["hot"], "runs": ["run0"], "truth": ["g"], "confident": ["g"], "chunks": ["reads"], "lengths": ["reads"],
 }
 
 
@@ -65,5 +67,5 @@ def with_tables(select: str, *names: str, src: str = "once") -> str:
     for n in names:
         visit(n)
     # b and depth are used more than once
-    ctes = ", ".join(f"{n} AS {'MATERIALIZED ' if n in ('b', 'depth', 'reads', 'hot', 'ev') else ''}({_CTES[n].replace('{src}', src)})" for n in order)
+    ctes = ", ".join(f"{n} AS {'MATERIALIZED ' if n in ('b', 'depth', 'reads', 'hot', 'ev', 'truth', 'confident') else ''}({_CTES[n].replace('{src}', src)})" for n in order)
     return f"WITH {ctes} {select}"

@@ -135,8 +135,8 @@ def _(s, d):
 
 
 def deletions(s, d):
-    """Two-base deletions, written with a base too many on both sides, at every fifth true position."""
-    rows = V.reference_slice(S.truth(s, d).where("pos % 5 = 0").drop("ref", "alts"), S.reference(s, d), "pos", "pos + 6", "ref")
+    """Two-base deletions, written with a base too many on both sides, at every true position."""
+    rows = V.reference_slice(S.truth(s, d).drop("ref", "alts"), S.reference(s, d), "pos", "pos + 6", "ref")
     return rows.withColumn("alts", F.array(F.expr("concat(left(ref, 2), right(ref, 2))")))
 
 
@@ -144,7 +144,7 @@ REF6 = " || ".join(letter(code(f"pos + {k}")) for k in range(6))
 LEFT50 = f"(SELECT string_agg({letter(code('pos - 50 + k'))}, '' ORDER BY k) FROM range(50) t(k) WHERE pos - 50 + k >= 0)"
 
 
-@query("normalise_variant", q("", "truth").rstrip() + f""", v AS (SELECT chrom, cn, pos, {REF6} AS ref FROM truth WHERE pos % 5 = 0), w AS (SELECT *, {LEFT50} AS l FROM v), x AS (SELECT *, l || ref AS a, l || left(ref, 2) || right(ref, 2) AS b FROM w),
+@query("normalise_variant", q("", "truth").rstrip() + f""", v AS (SELECT chrom, cn, pos, {REF6} AS ref FROM truth), w AS (SELECT *, {LEFT50} AS l FROM v), x AS (SELECT *, l || ref AS a, l || left(ref, 2) || right(ref, 2) AS b FROM w),
     y AS (SELECT *, list_max(list_filter(range(0, length(b)), lambda k: right(a, k) = right(b, k))) AS s FROM x), z AS (SELECT *, left(a, length(a) - s) AS a2, left(b, length(b) - s) AS b2 FROM y),
     f AS (SELECT *, list_max(list_filter(range(0, length(b2)), lambda k: left(a2, k) = left(b2, k))) AS p FROM z) SELECT chrom, pos - length(l) + p AS pos, substr(a2, p + 1) AS ref, substr(b2, p + 1) AS alt FROM f""")
 def _(s, d):

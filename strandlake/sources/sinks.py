@@ -62,3 +62,22 @@ def stored_sites(examples: DataFrame) -> DataFrame:
 def compact(paths: list[str], out: str, spark, files: int = 8) -> None:
     """Many small stores into one with few files."""
     spark.read.parquet(*paths).repartition(files, "site_key").write.parquet(out)
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Site predictions by chromosome."""
+    predictions.write.partitionBy("chrom").parquet(path)
+
+
+def write_reads(reads: DataFrame, path: str) -> None:
+    """Reads by chromosome, ordered by their start, so that a region's row groups are told by their statistics."""
+    reads.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start").write.partitionBy("chrom").parquet(path)
+
+
+def labelled_lines(records: DataFrame) -> DataFrame:
+    """VCF lines of labelled sites (chrom, pos, ref, alts, gt, status): PASS, UNLABELED (no label) or NO_ALT; rejects are left out."""
+    kind = F.when(F.col("status") != "LABELLED", "UNLABELED").when(F.size("alts") == 0, "NO_ALT").otherwise("PASS")
+    rows = records.where("status NOT IN ('TOO_LONG', 'REJECTED')").withColumn("filter", kind)
+    rows = rows.withColumn("alts", F.when(F.size("alts") == 0, F.array(F.lit("."))).otherwise(F.col("alts")))
+    rows = rows.withColumn("gt", F.when(F.col("status") == "LABELLED", F.col("gt")).otherwise(F.array(F.lit(0), F.lit(0))))
+    return vcf_line(rows.withColumn("qual", F.lit(0.0)).withColumn("info", F.lit(".")))

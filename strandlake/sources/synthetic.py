@@ -55,28 +55,31 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``reference`` table in chunks: (chrom, chunk_id, chunk_start, seq), built chunk by chunk in parallel."""
+    """The ``reference`` table in chunks: (chrom, chunk_id, chunk_start, seq), for every chunk that a read begins in, and the one after it."""
     g = genome_size(spark, sf_dir)
-    chunks = (g + 200) // CHUNK + 1
-    ids = spark.range(CHROMS * chunks, numPartitions=min(64, CHROMS * chunks)).selectExpr(f"id % {CHROMS} + 1 AS cn", f"cast(floor(id / {CHROMS}) AS bigint) AS chunk_id")
+    start = f"(l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % ({g} - 80) + 20"
+    ids = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("1 + l_orderkey % 5 AS cn", f"explode(array(({start}) div {CHUNK}, ({start}) div {CHUNK} + 1)) AS chunk_id").distinct()
     pos = f"(chunk_id * {CHUNK} + i)"
     return ids.selectExpr("concat('c', cn) AS chrom", "chunk_id", f"chunk_id * {CHUNK} AS chunk_start", f"array_join(transform(sequence(0, {CHUNK - 1}), i -> {base(reference_code(pos, 'cn'))}), '') AS seq")
 
 
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chrom, length): chromosomes end where their last read does."""
+    return reads(spark, sf_dir).groupBy("chrom").agg(F.max("end").cast("long").alias("length"))
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """True variants: an SNV at every position that is 13 mod 97; every third is homozygous."""
+    """True variants: SNVs at positions that orders name, each 13 mod 97; positions that many orders name are one variant."""
     g = genome_size(spark, sf_dir)
-    per = (g + 83) // 97
-    rows = spark.range(CHROMS * per).selectExpr(f"id % {CHROMS} + 1 AS cn", f"cast(floor(id / {CHROMS}) AS bigint) * 97 + 13 AS pos")
-    code = reference_code("pos", "cn")
-    return rows.selectExpr("concat('c', cn) AS chrom", "pos", f"{base(code)} AS ref", f"array({base(f'({code} + 1) % 4')}) AS alts", "if(floor(pos / 97) % 3 = 0, array(1, 1), array(0, 1)) AS gt")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("1 + o_orderkey % 5 AS cn", f"((o_orderkey * 7919 + o_custkey) % (({g} + 83) div 97)) * 97 + 13 AS pos").distinct()
+    return rows.selectExpr("concat('c', cn) AS chrom", "pos", f"{base(reference_code('pos', 'cn'))} AS ref", f"array({base('(' + reference_code('pos', 'cn') + ' + 1) % 4')}) AS alts", "if((pos div 97) % 3 = 0, array(1, 1), array(0, 1)) AS gt")
 
 
 def confident(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confident intervals [1000k, 1000k + 800)."""
+    """Confident intervals [1000k, 1000k + 800) at the thousands that customers name."""
     g = genome_size(spark, sf_dir)
-    per = g // 1000 + 1
-    return spark.range(CHROMS * per).selectExpr(f"concat('c', id % {CHROMS} + 1) AS chrom", f"cast(floor(id / {CHROMS}) AS bigint) * 1000 AS start", f"cast(floor(id / {CHROMS}) AS bigint) * 1000 + 800 AS stop")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("1 + c_custkey % 5 AS cn", f"c_custkey * 31 % ({g} div 1000 + 1) AS k").distinct()
+    return rows.selectExpr("concat('c', cn) AS chrom", "k * 1000 AS start", "k * 1000 + 800 AS stop")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

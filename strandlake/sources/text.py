@@ -110,3 +110,39 @@ def read_file_list(spark: SparkSession, list_path: str) -> DataFrame:
     """Inputs that a list file names, one a line: Parquet, with the file of each row."""
     names = [r["value"] for r in spark.read.text(list_path).where("length(value) > 0").collect()]
     return spark.read.parquet(*names).select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def rates(lines: DataFrame) -> DataFrame:
+    """Rows (rate, prob) of a rate distribution written as one literal, {0.5: 0.25, 1.0: 0.75}."""
+    pairs = F.regexp_extract_all("value", F.lit(r"([0-9.eE+-]+)\s*:\s*([0-9.eE+-]+)"), 0)
+    rows = lines.select(F.explode(pairs).alias("x")).select(F.split("x", ":").alias("x"))
+    return rows.select(F.trim(F.get("x", F.lit(0))).cast("double").alias("rate"), F.trim(F.get("x", F.lit(1))).cast("double").alias("prob"))
+
+
+def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
+    """Chunks of FASTA files.
+
+    A line is ordered by its file, by the part of the file it was read in, and
+    by its row in that part.
+    """
+    rows = spark.read.text(list(paths)).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    number = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    return fasta(rows.select("value", F.concat_ws("|", "file_path", number("file_block_start"), number("row")).alias("at")))
+
+
+def read_region(spark: SparkSession, path: str, chrom: str, start: int, stop: int) -> DataFrame:
+    """Stored reads that overlap [start, stop): the chromosome is a folder, positions are filtered in the scan."""
+    return spark.read.parquet(path).where((F.col("chrom") == chrom) & (F.col("start") < stop) & (F.col("end") > start))
+
+
+def read_predictions(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.parquet(*paths)
+
+
+def read_examples(spark: SparkSession, *paths: str, keys: DataFrame | None = None) -> DataFrame:
+    """Stored examples, one row a site with its alleles; only the sites of ``keys`` (site_key) if given."""
+    rows = spark.read.parquet(*paths)
+    if keys is not None:
+        rows = rows.join(keys.select("site_key").distinct(), "site_key", "left_semi")
+    rest = [c for c in rows.columns if c not in ("site_key", "chrom")]
+    return rows.groupBy("site_key", "chrom").agg(F.sort_array(F.collect_list(F.struct("allele", *(c for c in rest if c != "allele")))).alias("alleles"))

@@ -42,7 +42,7 @@ def test_counts_at_one_site(three, reference):
 
 def test_no_hotspot_with_default_gates(three, reference):
     counts = P.resolve_partials(P.allele_counts(three, reference))
-    assert P.hotspots(counts, P.depth(three)).count() == 0
+    assert P.hotspots(counts, three).count() == 0
 
 
 def test_alleles_at_one_site(spark, three):
@@ -187,6 +187,6 @@ def test_truth_inside_a_run(spark, monkeypatch):
 
 
 def test_clip_lengths(spark, three):
-    rows = three.withColumn("region_start", F.lit(11)).withColumn("region_stop", F.lit(14))
-    for r in R.clipped(rows, rows, 0).collect():
+    regions = spark.createDataFrame([("c", 11, 14)], "chrom string, start long, stop long")
+    for r in R.clipped(three, regions, 0).collect():
         assert r["first"] >= 10 and r["last"] <= 14 + 3 and len(r.clip) <= r["last"] - r["first"] + 1
