@@ -1,12 +1,15 @@
 """Line dedup by an exact set-similarity join (operator 9, DataFrame functions only).
 
 The words of a line are a set.  Words are ordered by rarity (rarest first); two
-sets of Jaccard 0.8 or more share one of their first n - ceil(0.8 n) + 1 words,
-so lines meet on those prefix words.  Length, position and parity filters drop
-pairs that cannot reach the bound, and what is left is verified on the words.  A line
-is removed if a line before it (by document id, then line number) is similar.
-
-Rarity is counted over all documents in a table of 2**16 word classes, of fixed
+sets of Jaccard 0.8 or more share at least ceil(0.8 n) words, so their first
+shared word is among the first n - ceil(0.8 n) + 1 words of both, and their
+second one among one word more.  Lines meet on their first shared word; where
+that word is frequent, on it together with the second, so that no frequent word
+makes a large group.  Length, position and parity filters drop pairs that
+cannot reach the bound, and what is left is verified on the words.  A line is
+removed if a line before it (by document id, then line number) is similar.
+
+Rarity is counted over all documents in a table of 2**18 word classes, of fixed
 size; ties are ordered by hash.  Any total order gives whole results; rarity
 only makes the groups small.  Equal sets are one entry from the start, so a
 line that a third of all rows repeat costs no more than another.
@@ -17,120 +20,146 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import words_of, written
+from strandlake.llm.common import WORD_GAP, written
+
+CLASSES = 1 << 18
+#: Words are ordered by keys: bits of the count of their class, then 57 bits of hash.
+HASH_BITS = 57
+#: A word is frequent if its class has this count, and this share of all words (so that there are not too many of them).
+FREQUENT, FREQUENT_SHARE = 4096, 1 << 16
+#: Sets of more words than this have parities of 128 bits, others of 64.
+WIDE_FROM = 51
+#: Bits of the sieve for lines to verify.
+SIEVE = 1 << 22
+PLACE = ["id", "line_no"]
+
+#: Similar sets differ in at most a ninth of their words together (the test that fewest pass, so it comes first); lengths are within 4/5; the first line comes before the second.
+CLOSE = f"""9 * if(least(n_a, n_b) > {WIDE_FROM}, bit_count(even_a ^ even_b) + bit_count(odd_a ^ odd_b), bit_count(even_a ^ odd_a ^ even_b ^ odd_b)) <= n_a + n_b
+    AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) AND (id_a < id_b OR (id_a = id_b AND line_no_a < line_no_b))"""
+
 
-CLASSES = 1 << 16
-#: Hash bits of an ordered word, and two points to which the nearest is looked for.
-HASH = (1 << 57) - 1
-POINTS = (0x0F3A5C7E91B2D4, 0x1A2B3C4D5E6F70)
-#: Rows up to which a table of (id, line) is broadcast (some 100 MB); beyond it is joined by shuffle.
-BROADCAST_LINES = 1_000_000
+def split_words(text: Column, odd: Column) -> Column:
+    """Words of a text without line ends, and empty strings; ``odd`` tells whether it may hold other gaps than the space (then the slower pattern is used)."""
+    return F.when(odd, F.split(text, WORD_GAP)).otherwise(F.split(text, " "))
 
 
-PAIR = ("id_a", "line_no_a", "id_b", "line_no_b")
-#: The first line comes before the second; lengths are within 4/5; similar sets differ in at most a ninth of their words together.
-CLOSE = """(id_a < id_b OR (id_a = id_b AND line_no_a < line_no_b)) AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)
-    AND 9 * bit_count(sig_a ^ sig_b) <= n_a + n_b"""
+def odd_gaps(text: Column) -> Column:
+    return F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\v")) | F.contains(text, F.lit("\f"))
+
+
+def split_lines(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("odd_text", odd_gaps(F.col("text"))).select("id", "odd_text", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def word_class(h: Column) -> Column:
     return h.bitwiseAND(CLASSES - 1).cast("int")
 
 
-def rarity(rows: DataFrame) -> Column:
-    """log2 of the corpus count of every word class, as a constant array (the driver sees 2**16 counts at most)."""
-    words = rows.select(F.explode(words_of(F.col("text"))).alias("w"))
-    counts = words.groupBy(word_class(F.xxhash64("w")).alias("c")).count().collect()
-    logs = [0] * CLASSES
-    for r in counts:
-        logs[r["c"]] = r["count"].bit_length()
-    return F.split(F.lit(",".join(map(str, logs))), ",").cast("array<int>")
+def rarity(rows: DataFrame) -> tuple[Column, int]:
+    """Bits of the corpus count of every word class, as a constant array, and the bits from which a word is frequent.
 
+    The driver gets the bits of 2**18 classes at most, as 64 strings.
+    """
+    words = split_lines(rows).select(F.explode(split_words(F.col("line"), F.col("odd_text"))).alias("w")).where("w <> ''").select(F.xxhash64("w").alias("h"))
+    counts = words.groupBy(word_class(F.col("h")).alias("c")).count()
+    lists = counts.groupBy(F.col("c").bitwiseAND(63).alias("part")).agg(
+        F.array_join(F.collect_list(F.concat_ws(":", F.col("c").cast("string"), F.length(F.bin("count")).cast("string"))), " ").alias("of"), F.sum("count").alias("words")
+    ).collect()
+    bits, total = [0] * CLASSES, 0
+    for row in lists:
+        total += row["words"]
+        for pair in row["of"].split():
+            c, n = pair.split(":")
+            bits[int(c)] = int(n)
+    return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<tinyint>"), max(FREQUENT, total // FREQUENT_SHARE).bit_length()
 
-def ordered_words(line: Column, logs: Column) -> Column:
-    """Distinct words as longs: 6 bits of rarity, 57 of hash; rarest first."""
-    rare = lambda h: F.coalesce(F.get(logs, word_class(h)), F.lit(0)).cast("long")  # noqa: E731  never null: arrays of plain longs sort faster
-    key = lambda h: F.shiftleft(rare(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words_of(line), lambda w: F.xxhash64(w)), key)))
 
+def fold(words: str, bit: str) -> Column:
+    """XOR over all words of one bit each (an SQL expression of the word x): sets differ in at least as many words as folds in bits."""
+    return F.expr(f"aggregate({words}, 0L, (a, x) -> a ^ ({bit}))")
 
-def parity(words: Column) -> Column:
-    """One bit for each of 64 hash values, flipped by every word: two sets differ in at least as many words as parities in bits."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
+def line_sets(rows: DataFrame, bits: Column) -> DataFrame:
+    """Every line: size of its word set, parities, two min-hashes, a hash of the set, and its first words by rarity."""
+    hashes = F.array_distinct(F.array_remove(F.transform(split_words(F.col("line"), F.col("odd_text")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    lines = split_lines(rows).select(*PLACE, hashes.alias("h"))
+    key = lambda h: F.shiftleft(F.get(bits, word_class(h)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    lines = lines.select(*PLACE, F.size("h").alias("n"), F.array_min("h").alias("near_1"), F.array_max("h").alias("near_2"), F.sort_array(F.transform("h", key)).alias("w"))
+    # Words with an odd bit 6 have their parity apart; short sets have all in one.
+    odd = F.when(F.col("n") > WIDE_FROM, fold("w", "shiftleft(shiftright(x, 6) & 1, cast(x & 63 AS int))")).otherwise(F.lit(0).cast("long"))
+    lines = lines.select("*", fold("w", "shiftleft(1L, cast(x & 63 AS int))").alias("every"), odd.alias("odd"))
+    prefix = F.expr("slice(w, 1, n - cast(ceil(n * 4 / 5) AS int) + 2)")  # one more than the prefix
+    return lines.select(*PLACE, "n", "near_1", "near_2", F.xxhash64("w").alias("s"), F.expr("every ^ odd").alias("even"), "odd", prefix.alias("prefix"))
 
-def smallest(words: Column, mask: int) -> Column:
-    """The word whose hash is nearest to ``mask`` by XOR: sets that share most words mostly share it."""
-    return F.array_min(F.transform(words, lambda x: x.bitwiseAND(HASH).bitwiseXOR(mask)))
 
+def sides(rows: DataFrame, on: list[str], columns: list[str]) -> list[DataFrame]:
+    return [rows.select(*on, *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab"]
 
-def split_lines(rows: DataFrame) -> DataFrame:
-    return rows.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+PAIR = ["id_a", "line_no_a", "id_b", "line_no_b"]
+FILTERED = [*PLACE, "n", "even", "odd"]
 
 
 def similar_lines(rows: DataFrame) -> DataFrame:
     """(id, line_no) of every line that is similar to one before it."""
-    logs = rarity(rows)
-    lines = split_lines(rows).select("id", "line_no", ordered_words(F.col("line"), logs).alias("w"))
-    n = F.size("w")
-    prefix = F.slice("w", F.lit(1), n - F.ceil(n * 4 / F.lit(5)).cast("int") + 1)
-    # Two hashes of the whole set tell sets apart (128 bits).
-    lines = lines.where(n > 0).select("id", "line_no", n.alias("n"), prefix.alias("prefix"), parity(F.col("w")).alias("sig"), F.array(*(smallest(F.col("w"), p) for p in POINTS)).alias("near"), F.xxhash64("w").alias("s1"), F.xxhash64(F.lit(1), "w").alias("s2"))
-    lines = written(lines, "line-sets")
-    place = F.struct("id", "line_no")
-    repeated = lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
-    later = lines.select("id", "line_no", "s1", "s2").join(repeated, ["s1", "s2"]).where(place > F.col("first")).select("id", "line_no")
-    later = written(later, "repeated-lines")
-    # The first line of every set; later ones are a narrow table, so the wide rows do not move.
-    few = later.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    firsts = lines.join(F.broadcast(later) if few else later, ["id", "line_no"], "left_anti")
+    bits, frequent = rarity(rows)
+    lines = written(line_sets(rows, bits), "line-sets").where("n > 0")
+    # One number in the order of (id, line_no): its least value is found by hashing, that of a struct by sorting.
+    place = F.expr("cast(id AS decimal(38, 0)) * 2147483648 + line_no")
+    # A hash of the set and its least word hash tell sets apart.
+    same = ["s", "near_1"]
+    repeated = lines.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    later = written(lines.select(*PLACE, *same).join(repeated, same).where(place > F.col("first")).select(*PLACE), "repeated-lines")
 
     # Most members of a large group of alike lines are similar to its first one: these need no other partner.
-    keyed = firsts.select("id", "line_no", "n", "sig", F.explode("near").alias("k"))
-    heads = keyed.groupBy("k").agg(F.min(F.struct("id", "line_no", "n", "sig")).alias("h"), F.count("*").alias("times")).where("times > 1")
-    heads = heads.select("k", *(F.col(f"h.{c}").alias(f"{c}_a") for c in ("id", "line_no", "n", "sig")))
-    to_head = heads.join(keyed.select("k", *(F.col(c).alias(f"{c}_b") for c in ("id", "line_no", "n", "sig"))), "k").where(CLOSE)
-    like_head = written(verified(rows, written(to_head.select(*PAIR).distinct(), "head-pairs")), "lines-like-heads")
-
-    # All others are held against every line before them that shares a prefix word.
-    done = like_head.select(F.col("id_b").alias("id"), F.col("line_no_b").alias("line_no"), F.lit(True).alias("done"))
-    few = done.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    entry = firsts.join(F.broadcast(done) if few else done, ["id", "line_no"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    entry = entry.select("id", "line_no", "n", "sig", "done", F.posexplode("prefix").alias("at", "w"))
-    a, b = (entry.select("w", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "line_no", "n", "sig", "done", "at"))) for side in "ab")
-    # What can still be shared from here on, against 4/9 of both lengths.
-    places = F.expr("9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)")
-    pairs = a.join(b, "w").where(F.expr(CLOSE) & places & ~F.col("done_b")).select(*PAIR).distinct()
+    keyed = lines.join(later, PLACE, "left_anti").select(*FILTERED, F.explode(F.array("near_1", "near_2")).alias("k"))
+    heads = keyed.groupBy("k").agg(F.min(F.struct(*FILTERED)).alias("h"), F.count("*").alias("times")).where("times > 1")
+    heads = heads.select("k", *(F.col(f"h.{c}").alias(f"{c}_a") for c in FILTERED))
+    to_head = heads.join(sides(keyed, ["k"], FILTERED)[1], "k").where(CLOSE).select(*PAIR).distinct()
+    like_head = written(verified(rows, written(to_head, "head-pairs")), "lines-like-heads")
+
+    # All others are held against every line before them with which they share a prefix word.
+    closed = like_head.select(F.col("id_b").alias("id"), F.col("line_no_b").alias("line_no"), F.lit(0).alias("open"))
+    entry = lines.join(later, PLACE, "left_anti").join(closed, PLACE, "left").where("n > 3").select(*FILTERED, F.coalesce("open", F.lit(1)).alias("open"), "prefix")
+    # By word: itself as the key, or if it is frequent its pairs with the words after it.
+    meet = f"""transform(slice(prefix, 1, size(prefix) - 1), (w, i) -> if(shiftrightunsigned(w, {HASH_BITS}) < {frequent},
+        array(w), transform(slice(prefix, i + 2, size(prefix)), x -> xxhash64(w, x))))"""
+    entry = entry.select(*FILTERED, "open", F.posexplode(F.expr(meet)).alias("at", "keys")).select(*FILTERED, "open", "at", F.explode("keys").alias("k"))
+    a, b = sides(entry, ["k"], [*FILTERED, "open", "at"])
+    # What can still be shared from the first shared word on, against 4/9 of both lengths; lines like their head are only the earlier
+    # of a pair.  Both tests need both sides, so neither side is filtered before and one shuffle serves both.
+    places = "9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b) AND (open_a + 1) * open_b > 0"
+    pairs = a.join(b, "k").where(F.expr(CLOSE) & F.expr(places)).select(*PAIR).distinct()
     near = verified(rows, written(pairs, "line-pairs")).unionByName(like_head)
     return later.unionByName(near.withColumnsRenamed({"id_b": "id", "line_no_b": "line_no"})).distinct()
 
 
+def sieve(places: DataFrame) -> Column:
+    """A test whether a (id, line_no) may be among some: one bit for each of 2**22 hash values, a constant of 512 KB.
+
+    It lets all of them pass, and of others as many as the share of bits that are set.
+    """
+    slot = F.xxhash64(*PLACE).bitwiseAND(SIEVE - 1)
+    words = places.select(F.shiftright(slot, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("bit"))
+    bits = [0] * (SIEVE // 64)
+    for row in words.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # 2**16 at most
+        bits[row["at"]] = row["bits"]
+    of = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+    return F.call_function("getbit", F.get(of, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
+
+
 def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id_b, line_no_b) of the pairs whose word sets have a Jaccard similarity of 0.8 or more.
 
-    The words of the lines in question are fetched once; parities of 256 bits
-    come first, so that few pairs meet their words.
+    The words of their lines are fetched once, by a join with the lines that
+    pass the sieve; so as long as few lines are asked for, few texts move.
     """
-    needed = pairs.select(F.col("id_a").alias("id"), F.col("line_no_a").alias("line_no")).unionByName(pairs.select(F.col("id_b").alias("id"), F.col("line_no_b").alias("line_no"))).distinct()
-    needed = written(needed, "lines-to-verify")
-    few = needed.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    lines = split_lines(rows).join(F.broadcast(needed) if few else needed, ["id", "line_no"], "left_semi")
-    words = lines.select("id", "line_no", F.array_distinct(words_of(F.col("line"))).alias("words"))
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    # Four parities of 64 bits, each of a quarter of the words.
-    quarter = lambda k: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(3) == k)
-    wide = F.array(*(parity(quarter(k)) for k in range(4)))
-    words = written(words.select("id", "line_no", F.size("words").alias("n"), wide.alias("sig"), "words"), "words-to-verify")
-
-    def sides(columns: list[str]) -> list[DataFrame]:
-        return [words.select(*(F.col(c).alias(f"{c}_{side}") for c in ["id", "line_no", *columns])) for side in "ab"]
-
-    a, b = sides(["n", "sig"])
-    differ = " + ".join(f"bit_count(sig_a[{k}] ^ sig_b[{k}])" for k in range(4))
-    near = pairs.join(a, ["id_a", "line_no_a"]).join(b, ["id_b", "line_no_b"]).where(f"9 * ({differ}) <= n_a + n_b").select(*pairs.columns)
-    a, b = sides(["words"])
-    both = near.join(a, ["id_a", "line_no_a"]).join(b, ["id_b", "line_no_b"])
+    asked = [pairs.select(*(F.col(f"{c}_{side}").alias(c) for c in PLACE)) for side in "ab"]
+    asked = written(asked[0].unionByName(asked[1]).distinct(), "lines-to-verify")
+    lines = split_lines(rows).where(sieve(asked)).join(asked, PLACE, "left_semi")
+    words = written(lines.select(*PLACE, F.array_distinct(F.array_remove(split_words(F.col("line"), F.col("odd_text")), "")).alias("words")), "words-to-verify")
+    a, b = sides(words, [], [*PLACE, "words"])
+    both = pairs.join(a, ["id_a", "line_no_a"]).join(b, ["id_b", "line_no_b"])
     shared = F.size(F.array_intersect("words_a", "words_b"))
     return both.where(9 * shared >= 4 * (F.size("words_a") + F.size("words_b"))).select("id_b", "line_no_b").distinct()
 
@@ -145,12 +174,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Per row: lines, removed lines, and the removed numbers joined by commas ('' if none).
 
     Words are runs of anything but the space and characters 9-13, compared
-    exactly; lines without a word stay.  Null texts have no lines; rows without
+    exactly; lines without a word stay.  Ids are integers.  Null texts have no lines; rows without
     an id take no part and lose nothing; rows that share an id are one document
     and share decisions by line number; other columns are not looked at.
     """
     found = removed_lines(docs, id_col, text_col).withColumnRenamed("id", "__id")
-    lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n")))
+    lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
     rows = docs.select(F.col(id_col), lines.alias("n_lines"))
     rows = rows.join(found, F.col(id_col) == F.col("__id"), "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
