@@ -151,7 +151,7 @@ def pair_likelihood(scores: DataFrame, keys: tuple[str, ...] = ("site",)) -> Dat
 def mixture_mean(predictions: DataFrame) -> DataFrame:
     """Experts' pair probabilities weighted by the site's meta weights."""
     w = F.get("meta", F.col("expert"))
-    return predictions.groupBy("chrom", "pos", "a1", "a2").agg(F.sum(F.col("p") * w).alias("p"))
+    return predictions.groupBy("chrom", "pos", "ref", "a1", "a2").agg(F.sum(F.col("p") * w).alias("p"))
 
 
 def best_expert(meta: Column) -> Column:

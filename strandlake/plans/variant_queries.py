@@ -16,46 +16,59 @@ text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
 def calls(s, d):
-    """Alleles of SNV and deletion evidence with their share as score, and the reference allele with the rest."""
-    ev = P.with_depth(*evidence(s, d)).where("tech = 'I' AND n >= 2 AND length(ref) = 1 AND length(alt) = 1")
-    alts = ev.select("chrom", "pos", "ref", F.col("alt").alias("allele"), (F.col("n") / F.col("total")).alias("p"))
-    refs = ev.groupBy("chrom", "pos", "ref").agg((1 - F.sum(F.col("n") / F.col("total"))).alias("p")).select("chrom", "pos", "ref", F.col("ref").alias("allele"), "p")
-    return alts.unionByName(refs)
+    """Alleles of SNV and deletion evidence of both technologies with their share as score, and the reference allele with the rest."""
+    share = F.least(F.sum("n") / F.sum("total"), F.lit(1.0))
+    alts = P.with_depth(*evidence(s, d)).groupBy("chrom", "pos", "ref", F.col("alt").alias("allele")).agg(share.alias("p"), F.sum("n").alias("n")).where("n >= 2").drop("n")
+    # The alleles of a site are one row, so the reference is added without a second pass over the evidence.
+    lists = alts.groupBy("chrom", "pos", "ref").agg(F.collect_list(F.struct("allele", "p")).alias("a"))
+    rest = F.greatest(1 - F.aggregate("a", F.lit(0.0), lambda t, x: t + x["p"]), F.lit(0.0))
+    both = F.concat("a", F.array(F.struct(F.col("ref").alias("allele"), rest.alias("p"))))
+    return lists.select("chrom", "pos", "ref", F.explode(both).alias("x")).select("chrom", "pos", "ref", "x.allele", "x.p")
 
 
-SCORES = """al AS (SELECT chrom, pos, ref, alt AS allele, n / total AS p FROM ev WHERE tech = 'I' AND n >= 2 AND kind = 'snv'),
-    sc AS (SELECT * FROM al UNION ALL SELECT chrom, pos, ref, ref, 1 - sum(p) FROM al GROUP BY ALL),
-    pr AS (SELECT x.chrom, x.pos, x.ref, x.allele AS a1, y.allele AS a2, (SELECT exp(sum(ln(CASE WHEN z.allele IN (x.allele, y.allele) THEN z.p ELSE 1 - z.p END + 1e-10))) FROM sc z WHERE z.chrom = x.chrom AND z.pos = x.pos) AS p
-        FROM sc x JOIN sc y ON x.chrom = y.chrom AND x.pos = y.pos AND x.allele <= y.allele)"""
+SCORES = """al AS (SELECT chrom, pos, ref, alt AS allele, least(sum(n) / sum(total), 1.0) AS p FROM ev GROUP BY chrom, pos, ref, alt HAVING sum(n) >= 2),
+    sc AS (SELECT * FROM al UNION ALL SELECT chrom, pos, ref, ref, greatest(1 - sum(p), 0.0) FROM al GROUP BY chrom, pos, ref),
+    pr AS (SELECT x.chrom, x.pos, x.ref, x.allele AS a1, y.allele AS a2, (SELECT exp(sum(ln(CASE WHEN z.allele IN (x.allele, y.allele) THEN z.p ELSE 1 - z.p END + 1e-10))) FROM sc z WHERE z.chrom = x.chrom AND z.pos = x.pos AND z.ref = x.ref) AS p
+        FROM sc x JOIN sc y ON x.chrom = y.chrom AND x.pos = y.pos AND x.ref = y.ref AND x.allele <= y.allele)"""
 
+#: Normalised form (pos2, ref2, alt1, alt2) of the rows of a table with chrom, pos, ref and one or two alternatives x1, x2.
+NORMAL = f"""n1 AS (SELECT *, (SELECT string_agg({letter(code('pos - 50 + k'))}, '' ORDER BY k) FROM range(50) t(k) WHERE pos - 50 + k >= 0) AS l FROM (SELECT *, CAST(substr(chrom, 2) AS BIGINT) AS cn FROM {{src}})),
+    n2 AS (SELECT *, l || ref AS a, l || x1 AS b, l || coalesce(x2, x1) AS c FROM n1),
+    n3 AS (SELECT *, list_max(list_filter(range(0, least(length(a), length(b), length(c))), lambda k: right(a, k) = right(b, k) AND right(a, k) = right(c, k))) AS cut FROM n2),
+    n4 AS (SELECT * REPLACE (left(a, length(a) - cut) AS a, left(b, length(b) - cut) AS b, left(c, length(c) - cut) AS c) FROM n3),
+    n5 AS (SELECT *, list_max(list_filter(range(0, least(length(a), length(b), length(c))), lambda k: left(a, k) = left(b, k) AND left(a, k) = left(c, k))) AS head FROM n4),
+    normal AS (SELECT *, pos - length(l) + head AS pos2, substr(a, head + 1) AS ref2, substr(b, head + 1) AS alt1, substr(c, head + 1) AS alt2 FROM n5)"""
 
-def scored(select: str) -> str:
-    return q("", "ev").rstrip() + ", " + SCORES + " " + select
 
+def scored(select: str, more: str = "") -> str:
+    return q("", "ev").rstrip() + ", " + SCORES + (", " + more if more else "") + " " + select
 
-@query("pair_likelihood", scored("SELECT chrom, pos, a1, a2, round(p, 6) AS p FROM pr"))
+
+@query("pair_likelihood", scored("SELECT chrom, pos, ref, a1, a2, round(p, 6) AS p FROM pr"))
 def _(s, d):
-    return V.pair_likelihood(calls(s, d), ("chrom", "pos", "ref")).select("chrom", "pos", "a1", "a2", F.round("p", 6).alias("p"))
+    return V.pair_likelihood(calls(s, d), ("chrom", "pos", "ref")).select("chrom", "pos", "ref", "a1", "a2", F.round("p", 6).alias("p"))
 
 
-TOP = "SELECT chrom, pos, ref, a1, a2, p FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY round(p, 9) DESC, a1 DESC, a2 DESC) AS k FROM pr) WHERE k = 1"
+TOP = "SELECT chrom, pos, ref, a1, a2, p FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos, ref ORDER BY round(p, 9) DESC, a1 DESC, a2 DESC) AS k FROM pr) WHERE k = 1"
 
 
-@query("top_genotype", scored(f"SELECT chrom, pos, a1, a2, round(-10 * log10(1 - least(p, 1 - 1e-8)), 4) AS qual FROM ({TOP})"))
+@query("top_genotype", scored(f"SELECT chrom, pos, ref, a1, a2, round(-10 * log10(1 - least(p, 1 - 1e-8)), 4) AS qual FROM ({TOP})"))
 def _(s, d):
     pairs = V.pair_likelihood(calls(s, d), ("chrom", "pos", "ref")).withColumn("p", F.round("p", 9))
-    return V.top_genotype(pairs).select("chrom", "pos", "a1", "a2", F.round("qual", 4).alias("qual"))
+    return V.top_genotype(pairs, ("chrom", "pos", "ref")).select("chrom", "pos", "ref", "a1", "a2", F.round("qual", 4).alias("qual"))
 
 
-@query("call_sites", scored(f"""SELECT chrom, pos, ref, CASE WHEN a1 = ref AND a2 = ref THEN (SELECT string_agg(allele, ',' ORDER BY allele) FROM al WHERE al.chrom = t.chrom AND al.pos = t.pos) WHEN a1 = ref OR a1 = a2 THEN a2 WHEN a2 = ref THEN a1 ELSE a1 || ',' || a2 END AS alts,
-    CASE WHEN a1 = ref AND a2 = ref THEN '0/0' WHEN a1 = a2 THEN '1/1' WHEN a1 = ref THEN '0/1' WHEN a2 = ref THEN '1/0' ELSE '1/2' END AS gt FROM ({TOP}) t"""))
+@query("call_sites", scored("SELECT chrom, pos2 AS pos, ref2 AS ref, alt1 || CASE WHEN x2 IS NULL THEN '' ELSE ',' || alt2 END AS alts, gt FROM normal", f"""best AS ({TOP}),
+    called AS (SELECT chrom, pos, ref, list_sort(list_distinct(list_filter([a1, a2], lambda x: x <> ref))) AS c, (SELECT list_sort(list(allele)) FROM al WHERE al.chrom = best.chrom AND al.pos = best.pos AND al.ref = best.ref) AS r, a1, a2 FROM best),
+    genos AS (SELECT chrom, pos, ref, CASE WHEN len(c) > 0 THEN c ELSE r END AS alts, CASE WHEN len(c) > 0 THEN CASE WHEN a1 = ref THEN 0 ELSE list_position(c, a1) END || '/' || CASE WHEN a2 = ref THEN 0 ELSE list_position(c, a2) END ELSE '0/0' END AS gt FROM called),
+    vin AS (SELECT chrom, pos, ref, gt, alts[1] AS x1, alts[2] AS x2 FROM genos), """ + NORMAL.format(src="vin")))
 def _(s, d):
     pairs = V.pair_likelihood(calls(s, d), ("chrom", "pos", "ref")).withColumn("p", F.round("p", 9))
     rows = V.number_alleles(V.top_genotype(pairs, ("chrom", "pos", "ref")))
     return V.normalise(rows, S.reference(s, d)).select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"), F.array_join("gt", "/").alias("gt"))
 
 
-@query("mixture_mean", scored("SELECT chrom, pos, a1, a2, round(p * 0.5 + sqrt(p) * 0.25 + p * p * 0.25, 6) AS p FROM pr"))
+@query("mixture_mean", scored("SELECT chrom, pos, ref, a1, a2, round(p * 0.5 + sqrt(p) * 0.25 + p * p * 0.25, 6) AS p FROM pr"))
 def _(s, d):
     pairs = V.pair_likelihood(calls(s, d), ("chrom", "pos", "ref"))
     experts = [pairs.withColumn("p", F.expr(e)).withColumn("expert", F.lit(k)) for k, e in enumerate(("p", "sqrt(p)", "p * p"))]
