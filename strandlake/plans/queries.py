@@ -209,12 +209,16 @@ def _(s, d):
     return I.balanced_shards(runs, 20, 25, "one").select("chrom", "shard", "start", "stop", "n")
 
 
-@query("capped_clusters")
+#: Runs are shorter than the longest site, so the rule for long sites is left out here.
+CLUSTERS = "cl0 AS (SELECT *, CASE WHEN start - lag(stop) OVER (PARTITION BY chrom ORDER BY start) >= 30 THEN 1 ELSE 0 END AS new FROM runs), cl1 AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY start) AS island FROM cl0), cl AS (SELECT chrom, start, stop, CAST(island AS BIGINT) AS island, (row_number() OVER (PARTITION BY chrom, island ORDER BY start) - 1) // 8 AS part FROM cl1)"
+
+
+@query("capped_clusters", q("", "runs").rstrip() + ", " + CLUSTERS + " SELECT * FROM cl")
 def _(s, d):
     runs = I.consecutive_runs(P.hotspots(*evidence(s, d)))
     return I.capped_clusters(runs, 30, 8).select("chrom", "start", "stop", "island", "part")
 
 
-@query("segment_bounds")
+@query("segment_bounds", q("", "runs").rstrip() + ", " + CLUSTERS + """ SELECT *, greatest("first" - 15, lag("last") OVER w) AS seg_start, least("last" + 15, lead("first") OVER w) AS seg_stop FROM (SELECT chrom, island, part, min(start) AS "first", max(stop) AS "last", count(*) AS n FROM cl GROUP BY ALL) WINDOW w AS (PARTITION BY chrom, island ORDER BY part)""")
 def _(s, d):
     return I.segment_bounds(I.capped_clusters(I.consecutive_runs(P.hotspots(*evidence(s, d))), 30, 8))

@@ -146,15 +146,21 @@ def _(s, d):
     return E.missing_alleles(alleles(s, d)).select("site", F.array_join("missing", ",").alias("missing"))
 
 
-@query("three_way_sweep")
+SWEEP = """a AS (SELECT t.chrom, pos AS start, pos + 1 AS stop FROM truth t WHERE EXISTS (SELECT 1 FROM confident c WHERE c.chrom = t.chrom AND c.start <= pos AND pos + 1 <= c.stop)), b2 AS (SELECT chrom, start, stop FROM runs r WHERE EXISTS (SELECT 1 FROM confident c WHERE c.chrom = r.chrom AND c.start <= r.start AND r.stop <= c.stop)),
+    j AS (SELECT a.*, b2.start AS b_start, b2.stop AS b_stop FROM a JOIN b2 ON a.chrom = b2.chrom AND a.start < b2.stop AND b2.start < a.stop)
+    SELECT *, CASE WHEN start = b_start AND stop = b_stop THEN 'EQUAL' ELSE 'INSIDE' END AS kind FROM j UNION ALL SELECT *, NULL, NULL, 'FIRST_ONLY' FROM a WHERE (chrom, start) NOT IN (SELECT (chrom, start) FROM j) UNION ALL SELECT chrom, NULL, NULL, start, stop, 'SECOND_ONLY' FROM b2 WHERE (chrom, start) NOT IN (SELECT (chrom, b_start) FROM j)"""
+
+
+@query("three_way_sweep", q("", "runs", "truth", "confident").rstrip() + ", " + SWEEP)
 def _(s, d):
     return X.three_way_sweep(S.confident(s, d), S.truth(s, d).selectExpr("chrom", "pos AS start", "pos + 1 AS stop"), runs(s, d))
 
 
-@query("variant_groups")
+@query("variant_groups", q("""SELECT site, "at", ref, h0, h1, CASE WHEN h0 = h1 THEN '1/1' WHEN h0 = ref THEN '0/1' WHEN h1 = ref THEN '1/0' ELSE '1/2' END AS gt FROM (SELECT site, min("at") AS "at", string_agg(ref, '' ORDER BY "at") AS ref, string_agg(h0, '' ORDER BY "at") AS h0, string_agg(h1, '' ORDER BY "at") AS h1
+    FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY "at") - row_number() OVER (PARTITION BY site, d ORDER BY "at") AS k FROM (SELECT *, ref <> h0 OR ref <> h1 AS d FROM (SELECT chrom || '_' || (pos // 970) AS site, pos AS "at", ref, CASE WHEN g0 = 1 THEN alt ELSE ref END AS h0, CASE WHEN (pos // 97) % 2 = 0 THEN alt ELSE ref END AS h1 FROM truth))) WHERE d GROUP BY site, k)""", "truth"))
 def _(s, d):
-    rows = S.truth(s, d).selectExpr("concat(chrom, '_', floor(pos / 970)) AS site", "pos AS at", "ref", "if(gt[0] = 1, alts[0], ref) AS h0", "alts[0] AS h1")
-    return X.variant_groups(rows)
+    rows = S.truth(s, d).selectExpr("concat(chrom, '_', floor(pos / 970)) AS site", "pos AS at", "ref", "if(gt[0] = 1, alts[0], ref) AS h0", "if((pos div 97) % 2 = 0, alts[0], ref) AS h1")
+    return X.variant_groups(rows).select("site", "at", "ref", "h0", "h1", "gt")
 
 
 # ---- jobs
