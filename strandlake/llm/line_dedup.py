@@ -178,18 +178,18 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     an id take no part and lose nothing; rows that share an id are one document
     and share decisions by line number; other columns are not looked at.
     """
-    found = removed_lines(docs, id_col, text_col).withColumnRenamed("id", "__id")
+    found = removed_lines(docs, id_col, text_col)
     lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
-    rows = docs.select(F.col(id_col), lines.alias("n_lines"))
-    rows = rows.join(found, F.col(id_col) == F.col("__id"), "left")
+    rows = docs.select(F.col(id_col).alias("id"), lines.alias("n_lines")).join(found, "id", "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
-    return rows.select(id_col, F.col("n_lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
+    return rows.select(F.col("id").alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
 
 
 def without_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with all their columns, and texts without their removed lines."""
-    found = removed_lines(docs, id_col, text_col).withColumnsRenamed({"id": "__id", "removed": "__removed"})
-    rows = docs.join(found, F.col(id_col) == F.col("__id"), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)
-    return rows.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    """The rows with all their columns, whatever their names, and texts without their removed lines."""
+    found = removed_lines(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"))
+    rows = rows.join(found, "id", "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
+    return rows.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -42,6 +42,26 @@ def test_bucket_ends_are_optimal():
         assert cost(packing.optimal_ends(lengths, counts, k)) == best
 
 
+def test_bucket_ends_of_many_lengths():
+    """Lengths over 511 count exactly: against the plain programme in the square of the lengths."""
+    rng = random.Random(8)
+    lengths = sorted(rng.sample(range(1, 60_000), 300))
+    counts = [rng.randint(1, 50) for _ in lengths]
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    for k in (1, 2, 5, 16):
+        cost = np.array(lengths) * upto[1:]
+        for _ in range(1, k):
+            cost = np.array([min([cost[j], *(cost[i] + lengths[j] * (upto[j + 1] - upto[i + 1]) for i in range(j))]) for j in range(len(lengths))])
+        ends = packing.optimal_ends(lengths, counts, k)
+        assert len(ends) <= k and sum(c * min(e for e in ends if e >= n) for n, c in zip(lengths, counts, strict=True)) == cost[-1]
+
+
+def test_rows_without_ids_are_dealt_out(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    rows = packing.pack(df, packing.word_length(F.col("text")), buckets=2, budget=30, rows_a_part=100).toPandas()
+    assert len(rows) == 3000 and not rows.duplicated(["batch_id", "slot"]).any() and rows.batch_id.nunique() == 300
+
+
 def test_batches(docs, odd):
     rows = packing.pack(docs, packing.word_length(F.col("text")), buckets=6, budget=4096).toPandas()
     assert len(rows) == docs.count() and (rows.length <= rows.padded_length).all() and not rows.duplicated(["batch_id", "slot"]).any()
@@ -116,6 +136,29 @@ def test_resampling(docs, labels, odd):
     assert importance.keep_sampled(odd, labels.limit(0)).columns == odd.columns
 
 
+def test_resampling_against_a_loop(docs, labels):
+    """Weights and kept rows by plain dictionaries; the held-back third and the draw are told by the same hashes."""
+    good = importance.labelled(docs, labels, 20_000).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(1))).select("doc_id", (F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(3)) == 0).alias("held"))
+    known = {r.doc_id: r.held for r in good.collect()}
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    raw, target = collections.Counter(), collections.Counter()
+    for i, text in rows:
+        grams = importance.ngrams(text).tolist() if text else []
+        raw.update(grams)
+        if known.get(i) is False:
+            target.update(grams)
+    size = 1 << importance.BITS
+    ratio = lambda g: np.log((target[g] + 1) / (sum(target.values()) + size)) - np.log((raw[g] + 1) / (sum(raw.values()) + size))
+    ratios = {g: ratio(g) for g in raw}
+    weights = {i: sum(ratios[g] for g in importance.ngrams(text).tolist()) if text else 0.0 for i, text in rows}
+    found = {r.doc_id: r for r in importance.resample(docs, labels).collect()}
+    assert all(abs(found[i].log_weight - w) < 1e-6 * max(1, abs(w)) for i, w in weights.items())
+    held = sorted(weights[i] for i, h in known.items() if h and i in weights)
+    k = sum(w >= held[max(int(np.ceil(0.002 * len(held))) - 1, 0)] - 1e-9 for w in weights.values())
+    keys = sorted((r.gumbel_key for r in found.values()), reverse=True)
+    assert {i for i, r in found.items() if r.kept} == {i for i, r in found.items() if r.gumbel_key >= keys[k - 1]}
+
+
 def test_kth_largest(spark):
     table = spark.range(20_000).select((F.rand(3) * 100).alias("v")).persist()
     values = sorted((r.v for r in table.collect()), reverse=True)
@@ -230,6 +273,32 @@ def test_line_dedup_of_alike_lines(spark):
     assert {r.doc_id: r.removed_lines for r in found} == {i: ",".join(map(str, gone.get(i, []))) for i, _ in rows}
 
 
+def test_line_dedup_of_frequent_words(spark, monkeypatch):
+    """Lines of few different words: all are frequent, so lines meet on pairs; some lines are long, some have odd gaps."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", 4)
+    monkeypatch.setattr(line_dedup, "WIDE_FROM", 8)
+    rng = random.Random(9)
+    vocabulary = [f"v{k}" for k in range(45)]
+    rows = []
+    for i in range(120):
+        lines = []
+        for _ in range(rng.randint(1, 3)):
+            words = rng.sample(vocabulary, rng.choice([1, 3, 4, 5, 9, 10, 30, 40]))
+            lines.append(rng.choice([" ", "  ", "\t", " \x0b"]).join(words))
+            if rng.random() < 0.4:
+                lines.append(" ".join(w for w in words if rng.random() > 0.07))
+        rows.append((i, "\n".join(lines)))
+    found = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = slow_removed(rows)
+    assert {r.doc_id: r.removed_lines for r in found} == {i: ",".join(map(str, gone.get(i, []))) for i, _ in rows}
+
+
+def test_line_dedup_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "a b c\na b c"), (None, "a b c"), (2, None)], "doc_id long, text string").withColumns({"__id": F.lit(1), "__removed": F.lit(2), "id": F.lit(3), "line_no": F.lit(4)})
+    kept = line_dedup.without_similar_lines(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text) == [(0, "a b c"), (1, "a b c")]
+
+
 def test_line_dedup_of_odd_tables(odd):
     found = line_dedup.report(odd).collect()
     assert sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in found) == [(0, 1, 0), (1, 0, 0), (2, 1, 0), (3, 3, 1), (3, 3, 1), (4, 1, 0), (5, 2, 0)]
@@ -248,3 +317,34 @@ def test_url_rules_and_trust(spark):
         7: ("far.io", "", None, "allow"), 9: ("bad.net", "/", "net/", "block"), 10: ("a.example.net", "/en/1", "example.net/en/", "allow"), 11: ("a.example.net", "/de/1", "net/", "block"), 12: ("example.com", "/de/", "example.com/de/", "block"),
     }
     assert link_trust.judge(df.limit(0)).count() == 0
+
+
+def test_propagation_against_a_loop(spark):
+    rng = random.Random(4)
+    hosts = [f"h{k}" for k in range(30)]
+    edges = {(rng.choice(hosts), rng.choice(hosts)): rng.randint(1, 5) for _ in range(90)}
+    edges = {e: n for e, n in edges.items() if e[0] != e[1]}
+    seeds = {"h0": 1.0, "h7": 0.5}
+    total = collections.Counter()
+    for (a, _), n in edges.items():
+        total[a] += n
+    score = {h: 0.15 * seeds.get(h, 0.0) for h in hosts}
+    for _ in range(200):
+        new = {h: 0.15 * seeds.get(h, 0.0) for h in hosts}
+        for (a, b), n in edges.items():
+            new[b] += 0.85 * score[a] * n / total[a]
+        score = new
+    df = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")
+    found = {r.host: r.score for r in link_trust.propagate(df, spark.createDataFrame(list(seeds.items()), "host string, seed double")).collect()}
+    assert all(abs(found.get(h, 0.0) - x) < 1e-4 for h, x in score.items())
+
+
+def test_url_trust_with_other_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x", None)], "page_id long, url string, html string").withColumns({c: F.lit("z") for c in ("host", "path", "verdict", "ruled")})
+    assert [(r.host, r.verdict) for r in link_trust.judge(df).collect()] == [("a.net", "block")]
+
+
+def test_warc_of_no_pages(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    index = warc.write_archive(pages, str(tmp_path))
+    assert index.count() == 0 and warc.fetch(spark, index, str(tmp_path), [1]).count() == 0
