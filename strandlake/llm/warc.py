@@ -185,7 +185,8 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
                     yield pd.DataFrame(found, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return map_pandas(bundles.repartition(n, "bundle"), run, schema)
+    # By range, not by hash: a task for each bundle, and none that Spark drops as dealt out already.
+    return map_pandas(bundles.repartitionByRange(n, "bundle"), run, schema)
 
 
 def fields_of(fields: dict[str, str], block: bytes) -> tuple:
