@@ -24,10 +24,13 @@ def aligned_runs(reads: DataFrame) -> DataFrame:
 
 
 def with_reference(runs: DataFrame, reference: DataFrame) -> DataFrame:
-    """The reference text under each run: an equi-join on (chromosome, chunk)."""
-    chunks = reference.select("chrom", "chunk_id", F.col("seq").alias("chunk_seq"))
+    """The reference text under each run: an equi-join on (chromosome, chunk).
+
+    Chunks are held as bytes: a piece of them is found at once, that of a text by walking over its characters.
+    """
+    chunks = reference.select("chrom", "chunk_id", F.col("seq").cast("binary").alias("chunk_seq"))
     rows = runs.join(chunks, ["chrom", "chunk_id"])
-    return rows.withColumn("run_ref", F.expr(f"substring(chunk_seq, cast(run_start - chunk_id * {CHUNK} AS int) + 1, cast(run_stop - run_start AS int))")).drop("chunk_seq")
+    return rows.withColumn("run_ref", F.expr(f"cast(substring(chunk_seq, cast(run_start - chunk_id * {CHUNK} AS int) + 1, cast(run_stop - run_start AS int)) AS string)")).drop("chunk_seq")
 
 
 def _events(reads: DataFrame) -> DataFrame:
@@ -169,9 +172,9 @@ def hybrid_hotspots(counts: DataFrame, reads: DataFrame, include_pacbio_keys: bo
 
 def with_reference_base(bases: DataFrame, reference: DataFrame) -> DataFrame:
     """Aligned bases with the reference base under each: an equi-join on (chromosome, chunk)."""
-    chunks = reference.select("chrom", "chunk_id", F.col("seq").alias("__seq"))
+    chunks = reference.select("chrom", "chunk_id", F.col("seq").cast("binary").alias("__seq"))
     rows = bases.withColumn("chunk_id", F.floor(F.col("pos") / CHUNK)).join(chunks, ["chrom", "chunk_id"])
-    return rows.withColumn("ref_base", F.expr(f"substring(__seq, cast(pos - chunk_id * {CHUNK} AS int) + 1, 1)")).drop("__seq", "chunk_id")
+    return rows.withColumn("ref_base", F.expr(f"cast(substring(__seq, cast(pos - chunk_id * {CHUNK} AS int) + 1, 1) AS string)")).drop("__seq", "chunk_id")
 
 
 def op_alleles(reads: DataFrame, reference: DataFrame) -> DataFrame:

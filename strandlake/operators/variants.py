@@ -13,11 +13,12 @@ CHUNK = 10_000
 
 def reference_slice(rows: DataFrame, reference: DataFrame, start: str, stop: str, out: str = "slice") -> DataFrame:
     """Adds the reference text of [start, stop), which may go over one chunk border (a longer span is an error); equi-joins on chunks."""
-    a = reference.select("chrom", F.col("chunk_id").alias("__chunk"), F.col("seq").alias("__a"))
-    b = reference.select("chrom", (F.col("chunk_id") - 1).alias("__chunk"), F.col("seq").alias("__b"))
+    a = reference.select("chrom", F.col("chunk_id").alias("__chunk"), F.col("seq").cast("binary").alias("__a"))  # bytes: a piece is found at once
+    b = reference.select("chrom", (F.col("chunk_id") - 1).alias("__chunk"), F.col("seq").cast("binary").alias("__b"))
     keyed = rows.withColumn("__start", F.expr(f"greatest({start}, 0)")).withColumn("__chunk", F.floor(F.col("__start") / CHUNK))
     joined = keyed.join(a, ["chrom", "__chunk"], "left").join(b, ["chrom", "__chunk"], "left")
-    text = F.expr(f"substring(concat(__a, coalesce(__b, '')), cast(__start - __chunk * {CHUNK} AS int) + 1, cast(greatest(({stop}) - __start, 0) AS int))")
+    at, n = f"cast(__start - __chunk * {CHUNK} AS int)", f"cast(greatest(({stop}) - __start, 0) AS int)"
+    text = F.expr(f"cast(concat(substring(__a, {at} + 1, {n}), substring(coalesce(__b, X''), 1, greatest({at} + {n} - {CHUNK}, 0))) AS string)")
     long = F.expr(f"({stop}) > (__chunk + 2) * {CHUNK} AND length(__b) = {CHUNK}")
     checked = F.when(long, F.raise_error(F.lit("a span goes over more than two reference chunks")).cast("string")).otherwise(text)
     return joined.withColumn(out, checked).drop("__a", "__b", "__start", "__chunk")
