@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, decision_rules, importance, license_index, line_dedup, link_trust, packing, rabitq, simhash, token_counts, warc, whitening
+from strandlake.llm import bpe, decision_rules, importance, license_index, line_dedup, link_trust, packing, prefix_trie, rabitq, simhash, token_counts, warc, whitening
 from strandlake.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -66,6 +66,10 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_index.scan(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_trust": op10_url_trust,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_license_index": op12_license_index,
     "op13_whitening": op13_whitening,
 }

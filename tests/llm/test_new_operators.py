@@ -1,12 +1,14 @@
 """License scans, conversation tries and whitening against brute force, and odd tables."""
 
+import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import license_index, whitening
+from strandlake.llm import license_index, prefix_trie, whitening
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -173,3 +175,89 @@ def test_eigenpairs_of_clustered_values(values):
     size = float(np.abs(a).max())
     assert np.abs(a @ x - x * w).max() <= 1e-17 * size and np.abs(x.T @ x - np.eye(n)).max() <= 1e-17 and (np.diff(w) <= 0).all()
     assert np.abs(w - np.sort(np.array(values))[::-1]).max() <= 1e-16 * size
+
+
+# ---- conversation tries
+
+def slow_trie(rows):
+    """rows: (conv_id, turn, role, text); whole rebuilt conversations in memory."""
+    stored = {}
+    for c, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "")):
+        stored.setdefault(c, []).append((role or "", text or ""))
+    members = {}
+    for c, own in stored.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        whole = tuple(stored.get(c - int(np.fmod(c, 100)), [])[:h] + own[h:])
+        for d in range(len(whole) + 1):
+            members.setdefault(whole[:d], []).append((c, len(whole)))
+    out = {}
+    for node, own in members.items():
+        below = [x for x in members if x[: len(node)] == node]
+        inner = {x[:-1] for x in members if x}
+        ends = ",".join(str(c) for c, n in sorted(own) if n == len(node))
+        out[min(own)[0], len(node)] = (
+            min(members[node[:-1]])[0] if node else None, len(own), sum(x[:-1] == node for x in members if x), sum(x not in inner for x in below),
+            sum((len(members[x]) - 1) * (len(x[-1][1]) if x else 0) for x in below), hashlib.sha256(ends.encode()).hexdigest(),
+        )
+    return out
+
+
+def check_trie(df, rows, **options):
+    found = prefix_trie.prefix_trie(df, **options).collect()
+    got = {(r.conv_id, r.depth): (r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256) for r in found}
+    assert len(got) == len(found) and got == slow_trie(rows)
+    return found
+
+
+def test_trie_of_given_conversations(spark, sf):
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in table.collect()]
+    found = check_trie(table, rows)
+    texts = {}
+    for c, _, role, text in sorted(rows, key=lambda r: r[:2]):
+        texts.setdefault(c, []).append((role, text))
+    assert all(r.ref_place <= len(texts[r.ref_conv_id]) for r in found if r.depth)
+
+
+def test_trie_of_odd_conversations(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None, 1, "a", "b"), (7, None, None, None), (7, 0, "", ""), (-150, 1, "u", "x"), (-100, 1, "u", "x"), (5_000_000_000, 2, "u", "é😀")]
+    for c in [*range(0, 40), *range(100, 130), *range(250, 260)]:
+        rows += [(c, t, "u", rng.choice(["a", "b", "", "same words"])) for t in range(int(rng.integers(0, 9)))]
+    rows += [(c, 3, "u", "same") for c in (300, 301) for _ in range(3)]
+    rows += [(400, t, "u", str(t % 3)) for t in range(60)]
+    rows = [(None if c is None else int(c), None if t is None else int(t), r, None if x is None else str(x)) for c, t, r, x in rows]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"place": F.lit(1), "part": F.lit("x"), "depth": F.lit(2), "f": F.lit(0), "n": F.lit(1)}).repartition(5)
+    check_trie(df, rows)
+    check_trie(df, rows, attempts=(((3, 3, 3, 3), 1), prefix_trie.ATTEMPTS[1]))  # collisions are found, and all is done again
+    with pytest.raises(RuntimeError):
+        prefix_trie.prefix_trie(df, attempts=(((3, 3, 3, 3), 1),))
+    assert prefix_trie.prefix_trie(df.limit(0)).collect() == []
+
+
+def test_trie_of_long_conversations(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "CELL", 7)
+    monkeypatch.setattr(prefix_trie, "PIECE", 2)
+    rows = [(c, t, "u", f"{t * (c % 3 == 0)}") for c in range(30) for t in range(30 + c)] + [(c, 0, "u", "one") for c in range(200, 300)]
+    check_trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), rows)
+
+
+def test_fingerprints_compose():
+    """The product of a head and a moved part is the fingerprint of the whole sequence."""
+    import random
+
+    rng = random.Random(4)
+    m = prefix_trie.Monoid(*prefix_trie.ATTEMPTS[0])
+    for p, base in zip(m.primes, m.bases, strict=True):
+        mul = lambda x, y: (x[0] + y[0], (x[1] + pow(base, x[0], p) * y[1]) % p)  # noqa: B023, E731
+        turns = [(1, rng.randrange(p) * base % p) for _ in range(9)]
+        for a in range(10):
+            whole = (0, 0)
+            for t in turns:
+                whole = mul(whole, t)
+            left = right = (0, 0)
+            for t in turns[:a]:
+                left = mul(left, t)
+            for t in turns[a:]:
+                right = mul(right, t)
+            assert mul(left, right) == whole
