@@ -1,9 +1,10 @@
-"""Haplotype labelling: enumerate truth and candidate haplotypes of a region, match, and label alleles.
+"""Haplotype labelling: match truth and candidate haplotypes of a region and label alleles.
 
 A region row has ``region``, ``seg_start``, ``segment`` and an array ``sites``
 of (pos, ref, alts, gt) in order.  Regions with more than ten sites are told
-apart before anything is enumerated; the combinations of the others are rows,
-site by site, so that no row holds them all.
+apart before anything else.  Labelling walks through the trie of candidate
+alleles (``trie``); ``truth_haplotypes`` and ``candidate_haplotypes`` list
+haplotypes where a list is asked for, as rows, so that no row holds them all.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlake.operators import trie
+
 MAX_SITES = 10
 
 _GAP = "substring(segment, cast(a.at - seg_start AS int) + 1, cast(x.pos - a.at AS int))"
@@ -78,10 +81,16 @@ def label_sites(truth: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidate sites with the two picked alleles, or status MISSED.
 
     A region is MISSED if no truth pair matches, or if its only site needs a
-    missed or an extra allele, or if it was not feasible.
+    missed or an extra allele, or if it was not feasible.  Both tables have one
+    row a region.  The pair with the fewest (missed, extra) is taken, of equal
+    ones the last; a pair of texts that can be spelled in several ways counts
+    with the fewest.
     """
-    best = best_labelling(matched(truth_haplotypes(truth), candidate_haplotypes(candidates)))
-    rows = candidates.join(best, "region", "left")
+    known = feasible(truth).where("NOT reject").select("region", trie.truth_edges().alias("__truth"))
+    rows = feasible(candidates).join(known, "region", "left").withColumn("__edges", trie.candidate_edges())
+    best = F.when(~F.col("reject") & F.col("__truth").isNotNull(), trie.best_pair("__truth", "__edges"))
+    picks = lambda c: F.transform(F.col("sites"), lambda x, k: F.get(F.concat(F.array(x["ref"]), x["alts"]), F.get(F.col(f"__best.{c}"), k)))
+    rows = rows.withColumn("__best", best).select("region", "sites", "__best.missed", "__best.extra", picks("c0").alias("picks0"), picks("c1").alias("picks1"))
     status = F.when(F.col("missed").isNull(), "MISSED").when((F.size("sites") == 1) & (F.col("missed") + F.col("extra") > 0), "MISSED").otherwise("LABELLED")
     rows = rows.withColumn("status", status).select("region", "status", "picks0", "picks1", F.posexplode("sites").alias("k", "site"))
     pick = lambda c: F.when(F.col("status") == "LABELLED", F.get(c, F.col("k"))).alias(f"{c}_allele")
