@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import WORD_GAP, written
+from strandlake.operators.scans import scanned, total
 
 CLASSES = 1 << 18
 #: Words are ordered by keys: bits of the count of their class, then 57 bits of hash.
@@ -164,9 +165,26 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(9 * shared >= 4 * (F.size("words_a") + F.size("words_b"))).select("id_b", "line_no_b").distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, removed): by document the ascending numbers (from 0) of its removed lines."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, row): ``id`` tells every row apart and keeps the order of ids; ``row`` holds the other columns.
+
+    Where no id is repeated that is the id itself.  Else rows are numbered in
+    the order of id and a hash of the text, in ranges of one written table.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"))
+    repeated = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").groupBy("id").count().where("count > 1")
+    if repeated.isEmpty():
+        return rows
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    rows = written(rows.repartitionByRange("id", "tie", "at").withColumn("part", F.spark_partition_id()), "keyed-rows")
+    numbers = scanned(rows.where("id IS NOT NULL").select("part", "id", "tie", "at"), [], ["id", "tie", "at"], F.col("part"), number=total())
+    rows = rows.join(numbers.select("part", "at", "number"), ["part", "at"], "left")
+    return written(rows.select(F.when(F.col("id").isNotNull(), F.col("number")).alias("id"), "text", "row"), "numbered-rows")
+
+
+def removed_lines(rows: DataFrame) -> DataFrame:
+    """(id, removed): by row the ascending numbers (from 0) of its removed lines."""
+    rows = rows.select("id", "text").where("id IS NOT NULL AND text IS NOT NULL")
     return similar_lines(rows).groupBy("id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
 
 
@@ -175,21 +193,21 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Words are runs of anything but the space and characters 9-13, compared
     exactly; lines without a word stay.  Ids are integers.  Null texts have no lines; rows without
-    an id take no part and lose nothing; rows that share an id are one document
-    and share decisions by line number; other columns are not looked at.
+    an id take no part and lose nothing; rows that share an id are documents
+    of their own, one after another; other columns are not looked at.
     """
-    found = removed_lines(docs, id_col, text_col)
-    lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
-    rows = docs.select(F.col(id_col).alias("id"), lines.alias("n_lines")).join(found, "id", "left")
+    docs = docs.select(F.col(id_col), F.col(text_col))
+    rows = keyed_rows(docs, id_col, text_col)
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
+    rows = rows.select("id", F.col(f"row.`{id_col}`").alias("own"), lines.alias("n_lines")).join(removed_lines(rows), "id", "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
-    return rows.select(F.col("id").alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
+    return rows.select(F.col("own").alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
 
 
 def without_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with all their columns, whatever their names, and texts without their removed lines."""
-    found = removed_lines(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"))
-    rows = rows.join(found, "id", "left")
+    rows = keyed_rows(docs, id_col, text_col)
+    rows = rows.join(removed_lines(rows), "id", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
     return rows.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
