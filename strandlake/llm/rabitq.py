@@ -16,6 +16,7 @@ no more than another.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -56,8 +57,8 @@ def estimate(queries: np.ndarray, bits: np.ndarray, length: np.ndarray, f: np.nd
     return products * scale + (queries @ centre)[:, None], bound
 
 
-def search_block(queries: np.ndarray, rows: np.ndarray, bits: np.ndarray, length: np.ndarray, f: np.ndarray, ids: np.ndarray, k: int, centre: np.ndarray, turn: np.ndarray, eps: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best rows of the block: (query number, ids, exact products)."""
+def search_block(queries: np.ndarray, rows: np.ndarray, bits: np.ndarray, length: np.ndarray, f: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int, centre: np.ndarray, turn: np.ndarray, eps: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query its k best rows of the block, ties to the one with the least id: (query number, ids, least ids, exact products)."""
     out = []
     exact = lambda q, at: (rows[at] * q).sum(axis=1)
     for start in range(0, len(queries), AT_ONCE):
@@ -67,35 +68,33 @@ def search_block(queries: np.ndarray, rows: np.ndarray, bits: np.ndarray, length
             at = np.arange(len(rows))
             if len(rows) > max(FIRST, k):
                 first = np.argpartition(-about[i], FIRST)[: max(FIRST, k)]
-                least = np.partition(exact(q, first), -k)[-k]
-                at = np.flatnonzero(about[i] + bound * np.linalg.norm(q) + 1e-5 >= least)
+                reach = np.partition(exact(q, first), -k)[-k]
+                at = np.flatnonzero(about[i] + bound * np.linalg.norm(q) + 1e-5 >= reach)
                 at = np.union1d(at, first)
             scores = exact(q, at)
-            best = np.lexsort((ids[at], -scores))[:k]
-            out.append((start + i, ids[at[best]], scores[best]))
+            best = np.lexsort((ids[at], least[at], -scores))[:k]
+            out.append((start + i, ids[at[best]], least[at[best]], scores[best]))
     return out
 
 
-def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame | None:
-    """(id, vector) of the rows that take part, one for each id.
+def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(row, id, vector) of the rows that take part, written; ``row`` tells rows apart that repeat an id.
 
-    Rows without an id, and vectors that are null, zero, hold a null or a
-    non-finite component, or are not of the most common length, do not.  An id
-    with several vectors has the smallest of them.
+    Rows without an id, and vectors that are null, zero, or hold a null or a
+    non-finite component, do not.
     """
     e = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("id").isNotNull() & e.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(e, lambda x: x != 0))
-    common = rows.groupBy(F.size(e).alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    return rows.where(F.size(e) == common["dim"]).groupBy("id").agg(F.min("vector").alias("vector")) if common else None
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), "id", "vector"), "vectors")
 
 
 def build_index(rows: DataFrame, k: int, seed: int = 5) -> tuple[DataFrame, dict]:
-    """Every distinct vector: smallest id ``vid``, its ``ids`` (the k smallest), code and scalars; and the model."""
-    place = F.row_number().over(W.partitionBy("vector").orderBy("id"))
-    few = rows.withColumn("place", place).where(F.col("place") <= k).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    few = written(few.withColumn("vid", F.get("ids", F.lit(0))), "distinct-vectors")
+    """Every distinct vector: smallest row ``vid``, its ``ids`` (the k smallest, with their rows), code and scalars; and the model."""
+    place = F.row_number().over(W.partitionBy("vector").orderBy("id", "row"))
+    few = rows.withColumn("place", place).where(F.col("place") <= k).groupBy("vector").agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("ids"))
+    few = written(few.withColumn("vid", F.array_min(F.transform("ids", lambda x: x["row"]))), "distinct-vectors")
     share = F.pmod(F.xxhash64("vid"), F.lit(1_000_000)) < math.ceil(1e6 * CENTRE_ROWS / max(few.count(), 1))
     dim = few.select(F.size("vector")).first()[0]
     means = few.where(share).select(F.posexplode("vector").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("m")).orderBy("at").collect()
@@ -107,50 +106,57 @@ def build_index(rows: DataFrame, k: int, seed: int = 5) -> tuple[DataFrame, dict
             yield pdf.assign(code=[b.tobytes() for b in bits], length=length, f=f)
 
     ship(rows.sparkSession)
-    index = few.mapInPandas(coded, "vector array<double>, ids array<long>, vid long, code binary, length double, f double")
+    index = few.mapInPandas(coded, "vector array<double>, ids array<struct<id:long,row:long>>, vid long, code binary, length double, f double")
     return written(index, "rabitq-index"), model
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, eps: float = 3.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k rows of largest inner product for each query (ids divisible by ``every``), the query's id left out.
+    """The k rows of largest inner product for each row whose id is divisible by ``every``, that row itself left out.
 
     Columns query_id, rank, vec_id, score.  Fewer than k candidates give all of
-    them; ties go to the smaller id; a row that repeats an id counts once.  An empty table gives an empty result.
+    them; ties go to the smaller id.  Rows that repeat an id are queries and
+    candidates each.  A query meets the vectors of its own length; every length
+    is an index of its own.  An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    found = usable(vectors, id_col, vector_col)
-    if found is None:
-        return spark.createDataFrame([], schema)
+    rows = usable(vectors, id_col, vector_col)
+    lengths = [r[0] for r in rows.groupBy(F.size("vector")).count().orderBy(F.size("vector")).collect()]
+    parts = [_nearest(rows.where(F.size("vector") == n), every, k, eps) for n in lengths]
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, parts) if parts else empty
+
+
+def _nearest(found: DataFrame, every: int, k: int, eps: float) -> DataFrame:
+    """The same over vectors (row, id, vector) of one length."""
     index, model = build_index(found, k + 1)
-    asked = found.where(F.col("id") % every == 0).withColumnRenamed("id", "query_id")
-    asked = written(asked.join(index.select("vector", "vid"), "vector").select("query_id", "vid"), "queries")
+    asked = found.where(F.col("id") % every == 0).select(F.col("row").alias("query_row"), F.col("id").alias("query_id"), "vector")
+    asked = written(asked.join(index.select("vector", "vid"), "vector").select("query_row", "query_id", "vid"), "queries")
     n_rows, n_queries = index.count(), asked.select("vid").distinct().count()
     row_blocks, query_blocks = max(1, math.ceil(n_rows / ROW_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
     block = lambda c, n, salt: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = index.select("vid", "vector", "code", "length", "f", block(F.col("vid"), row_blocks, 1).alias("rb"), copies(query_blocks).alias("qb"))
+    rows = index.select("vid", F.col("ids")[0]["id"].alias("least"), "vector", "code", "length", "f", block(F.col("vid"), row_blocks, 1).alias("rb"), copies(query_blocks).alias("qb"))
     queries = index.join(asked.select("vid").distinct(), "vid", "left_semi").select(F.col("vid").alias("asked"), F.col("vector").alias("query"), block(F.col("vid"), query_blocks, 2).alias("qblock"), copies(row_blocks).alias("rblock"))
 
     def meet(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(rs):
-            return pd.DataFrame({"vid": [], "other": [], "score": []}).astype({"vid": "int64", "other": "int64"})
+            return pd.DataFrame({"vid": [], "other": [], "least": [], "score": []}).astype({"vid": "int64", "other": "int64", "least": "int64"})
         dim = len(model["centre"])
         bits = np.frombuffer(b"".join(rs["code"]), np.uint8).reshape(len(rs), (dim + 7) // 8)
-        found = search_block(np.stack(qs["query"]), np.stack(rs["vector"]), bits, rs["length"].to_numpy(), rs["f"].to_numpy(), rs["vid"].to_numpy(), k + 1, model["centre"], model["turn"], eps)
+        found = search_block(np.stack(qs["query"]), np.stack(rs["vector"]), bits, rs["length"].to_numpy(), rs["f"].to_numpy(), rs["vid"].to_numpy(), rs["least"].to_numpy(), k + 1, model["centre"], model["turn"], eps)
         vids = qs["asked"].to_numpy()
         return pd.DataFrame({
-            "vid": np.concatenate([np.repeat(vids[i], len(ids)) for i, ids, _ in found]),
-            "other": np.concatenate([ids for _, ids, _ in found]),
-            "score": np.concatenate([s for _, _, s in found]),
+            "vid": np.concatenate([np.repeat(vids[i], len(ids)) for i, ids, _, _ in found]),
+            "other": np.concatenate([ids for _, ids, _, _ in found]),
+            "least": np.concatenate([x for _, _, x, _ in found]),
+            "score": np.concatenate([s for _, _, _, s in found]),
         })
 
-    parts = queries.groupBy("qblock", "rblock").cogroup(rows.groupBy("qb", "rb")).applyInPandas(meet, "vid long, other long, score double")
-    best = F.row_number().over(W.partitionBy("vid").orderBy(F.desc("score"), "other"))
+    parts = queries.groupBy("qblock", "rblock").cogroup(rows.groupBy("qb", "rb")).applyInPandas(meet, "vid long, other long, least long, score double")
+    best = F.row_number().over(W.partitionBy("vid").orderBy(F.desc("score"), "least", "other"))
     top = parts.withColumn("n", best).where(F.col("n") <= k + 1).drop("n")
-    # Ids of equal vectors, at most (k + 1)^2 for a query vector; then the k + 1 best rows.
-    held = top.join(index.select(F.col("vid").alias("other"), "ids"), "other").select("vid", "score", F.explode("ids").alias("id"))
-    lists = held.groupBy("vid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "id"))), 1, k + 1).alias("near"))
-    out = asked.join(lists, "vid").select("query_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k).alias("near"))
+    # Rows of equal vectors, at most (k + 1)^2 for a query vector; then the k + 1 best rows.
+    held = top.join(index.select(F.col("vid").alias("other"), "ids"), "other").select("vid", "score", F.inline("ids"))
+    lists = held.groupBy("vid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "id", "row"))), 1, k + 1).alias("near"))
+    out = asked.join(lists, "vid").select("query_id", F.slice(F.filter("near", lambda x: x["row"] != F.col("query_row")), 1, k).alias("near"))
     out = out.select("query_id", F.posexplode("near").alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.less")).alias("score"))
