@@ -15,6 +15,7 @@ these places; texts are neither written nor shuffled.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from dataclasses import dataclass
@@ -90,26 +91,36 @@ def document_frequency(docs: DataFrame, templates: tuple[Template, ...] = TEMPLA
 
 @dataclass(frozen=True)
 class Index:
-    """Weights of the indexed words; postings (key, kind, template, offset); total weight and phrases of each template."""
+    """Weights of the indexed words; postings (key, kind, template, offset); total weight, words and anchors of each template."""
 
     weight: dict[str, float]
     postings: tuple[tuple[str, int, int, int], ...]
     whole: tuple[float, ...]
+    words: tuple[tuple[str, ...], ...]
+    anchors: tuple[tuple[str, ...], ...]
     templates: tuple[Template, ...]
 
     def phrases(self) -> list[str]:
         return sorted({p for t in self.templates for p in t.phrases})
 
 
-def build_index(n_docs: int, frequency: dict[str, int], templates: tuple[Template, ...] = TEMPLATES, rare: int = 12) -> Index:
-    """Indexes the ``rare`` words of highest inverse document frequency of each template, at all their places."""
-    weight, postings, whole = {}, [], []
+def build_index(n_docs: int, frequency: dict[str, int], templates: tuple[Template, ...] = TEMPLATES, rare: int = 12, least: float = 0.7) -> Index:
+    """Indexes the ``rare`` words of highest inverse document frequency of each template, at all their places.
+
+    Its anchors are the rarest of them without which a text can't reach the
+    share ``least`` of their weight: a text without an anchor need not be
+    looked at for this template.
+    """
+    weight, postings, whole, words_of, anchors = {}, [], [], [], []
     idf = lambda w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) + 1
     for k, t in enumerate(templates):
         words = plain_words(t.text)
         kept = sorted(set(words), key=lambda w: (-idf(w), w))[:rare]
         weight |= {w: idf(w) for w in kept}
         whole.append(sum(map(idf, kept)))
+        upto = list(itertools.accumulate(map(idf, kept)))
+        words_of.append(tuple(kept))
+        anchors.append(tuple(kept[: 1 + sum(x <= (1 - least) * whole[-1] + 1e-9 for x in upto)]))
         postings += [(w, 0, k, at) for at, w in enumerate(words) if w in kept]
         for p in t.phrases:
             own = p.split()
@@ -117,11 +128,11 @@ def build_index(n_docs: int, frequency: dict[str, int], templates: tuple[Templat
             if not starts:
                 raise ValueError(f"template {t.label} does not hold its phrase {p!r}")
             postings += [(p, 1, k, at) for at in starts]
-    return Index(weight, tuple(postings), tuple(whole), templates)
+    return Index(weight, tuple(postings), tuple(whole), tuple(words_of), tuple(anchors), templates)
 
 
 def _found(words: Column, index: Index, per_file: int) -> Column:
-    """Struct of n, places of base phrases, and places of phrases and of the file's rarest indexed words."""
+    """Struct of n, places of base phrases, templates to look at, and places of phrases and indexed words for these."""
     phrases = [*BASE, *(p for p in index.phrases() if p not in BASE)]
     ranked = sorted(index.weight, key=lambda w: (-index.weight[w], w))
     spots = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(*ranked, *{p.split()[0] for p in phrases}))
@@ -131,16 +142,26 @@ def _found(words: Column, index: Index, per_file: int) -> Column:
         same = lambda i: reduce(lambda a, b: a & b, (F.coalesce(F.get(words, i + k) == w, F.lit(False)) for k, w in enumerate(phrase.split())))
         return F.transform(F.filter(s, same), lambda i: F.struct(i.alias("at"), F.lit(phrase).alias("key"), F.lit(1).alias("kind")))
 
-    def rarest(hits: Column) -> Column:
-        order = F.array(*map(F.lit, ranked))
-        best = F.slice(F.array_sort(F.transform(F.array_distinct(F.transform(hits, lambda x: x["key"])), lambda w: F.array_position(order, w))), 1, per_file)
-        return F.when(F.size(hits) == 0, hits).otherwise(let(best, lambda b: F.filter(hits, lambda x: F.array_contains(b, F.array_position(order, x["key"])))))
+    number = lambda w: F.array_position(F.array(*map(F.lit, ranked)), w).cast("int")
+    lists = lambda of: F.array(*(F.array(*(F.lit(ranked.index(w) + 1) for w in words)) for words in of))
+
+    def looked_up(hits: Column) -> Column:
+        """The file's rarest words by number, the templates with an anchor among them, and the hits on words of these."""
+        numbered = F.transform(hits, lambda x: F.struct(x["at"], number(x["key"]).alias("number")))
+        own = lambda h: F.slice(F.array_sort(F.array_distinct(F.transform(h, lambda x: x["number"]))), 1, per_file)
+        live = lambda o: F.filter(F.sequence(F.lit(0), F.lit(len(index.templates) - 1)), lambda k: F.arrays_overlap(F.get(lists(index.anchors), k), o))
+        wanted = lambda o, k: F.array_intersect(o, F.flatten(F.transform(k, lambda t: F.get(lists(index.words), t))))
+        mark = lambda x: F.struct(x["at"].alias("at"), F.get(F.array(*map(F.lit, ranked)), x["number"] - 1).alias("key"), F.lit(0).alias("kind"))
+        kept = lambda h, w: F.transform(F.filter(h, lambda x: F.array_contains(w, x["number"])), mark)
+        found = let(numbered, lambda h: let(own(h), lambda o: let(live(o), lambda k: F.struct(k.alias("live"), let(wanted(o, k), lambda w: kept(h, w)).alias("marks")))))
+        none = F.struct(F.array().cast("array<int>").alias("live"), F.slice(hits, 1, 0).alias("marks"))
+        return F.when(F.size(hits) > 0, found).otherwise(none)
 
     def gathered(s: Column) -> Column:
         hits = F.transform(F.filter(s, lambda i: F.get(words, i).isin(*ranked)), lambda i: F.struct(i.alias("at"), F.get(words, i).alias("key"), F.lit(0).alias("kind")))
         base = F.concat(*(stands(p, s) for p in BASE))
         places = F.concat(*(stands(p, s) for p in index.phrases()))
-        return F.struct(F.size(words).alias("n"), base.alias("base"), F.concat(places, let(hits, rarest)).alias("marks"))
+        return let(let(hits, looked_up), lambda x: F.struct(F.size(words).alias("n"), base.alias("base"), x["live"].alias("live"), F.when(F.size(x["live"]) > 0, F.concat(places, x["marks"])).otherwise(x["marks"]).alias("marks")))
 
     return let(spots, gathered)
 
@@ -160,14 +181,14 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare: int
     Ids may be null or repeated: a row each.  Other columns are not looked at;
     an empty table gives no rows.
     """
-    index = build_index(*document_frequency(docs, templates, text_col), templates, rare)
+    index = build_index(*document_frequency(docs, templates, text_col), templates, rare, least)
     found = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), let(text_words(F.col(text_col)), lambda w: _found(w, index, per_file)).alias("f"))
     found = written(found, "license-places")
     posting = lambda p: F.struct(F.lit(p[0]).alias("key"), F.lit(p[1]).alias("kind"), F.lit(p[2]).alias("template"), F.lit(p[3]).alias("offset"), F.lit(index.weight.get(p[0], 0.0) if p[1] == 0 else 0.0).alias("weight"))
     postings = found.sparkSession.range(1).select(F.inline(F.array(*map(posting, index.postings))))
     facts = found.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(k).alias("template"), F.lit(t.label).alias("label"), F.lit(index.whole[k]).alias("whole"), F.lit(len(set(t.phrases))).alias("needed")) for k, t in enumerate(templates)))))
     # Bounded by the templates: both are broadcast.
-    votes = found.select("row", F.inline("f.marks")).join(F.broadcast(postings), ["key", "kind"])
+    votes = found.select("row", "f.live", F.inline("f.marks")).join(F.broadcast(postings), ["key", "kind"]).where(F.array_contains("live", F.col("template")))
     cell = F.floor((F.col("at") - F.col("offset")) / slack)
     votes = votes.select("row", "template", "key", "kind", "weight", F.explode(F.array(cell - 1, cell)).alias("window")).distinct()
     met = votes.groupBy("row", "template", "window").agg(F.sum("weight").alias("have"), F.sum("kind").alias("phrases")).join(F.broadcast(facts), "template")
