@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandlake.operators.intervals import merge_overlaps, overlap_join
+from strandlake.operators.intervals import chained, merge_overlaps, overlap_join
 from strandlake.operators.variants import reference_slice
 
 
@@ -60,9 +60,7 @@ def explained(failures: DataFrame, features: DataFrame, confident: DataFrame, re
     same span and then compared.
     """
     inside = overlap_join(failures, confident, how="left_semi", inside=True)
-    w = W.partitionBy("chrom").orderBy("start", "stop")
-    new = F.coalesce((F.col("start") >= F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(0))
-    rows = inside.withColumn("__new", new).withColumn("chain", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = chained(inside, out="chain")
     known = F.when(F.col("gt0").isNotNull(), F.struct("start", "ref", "alts", "gt0"))
     chains = rows.groupBy("chrom", "chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n"), F.count(known).alias("n_true"), F.min(known).alias("true"), F.min(F.struct("start", "ref", "alts", "gt0")).alias("any"))
     sites = features.groupBy("chrom", "start", "stop").agg(F.sort_array(F.collect_list(F.struct("p", "allele")), False).alias("ranked"))
@@ -73,7 +71,7 @@ def explained(failures: DataFrame, features: DataFrame, confident: DataFrame, re
     analysable = (F.col("n") == 1) | (F.col("n_true") == 1)
     rows = rows.withColumn("pos", F.coalesce("pick.start", "start")).withColumn("ref", F.coalesce("pick.ref", F.lit("")))
     rows = rows.withColumn("lo", F.least("start", "site.start")).withColumn("hi", F.greatest("stop", "site.stop"))
-    rows = reference_slice(rows, reference, "lo", "hi", "text")
+    rows = reference_slice(rows, reference, "lo", "hi", "text", any_length=True)
     between = lambda a, b: F.expr(f"substring(text, cast({a} - lo AS int) + 1, cast({b} - ({a}) AS int))")
     grown = lambda x, a, b: F.concat(between("lo", a), x, between(b, "hi"))
     true = F.transform(F.coalesce(F.col("pick.gt0"), F.array(F.lit(0))), lambda i: F.when(i == 0, F.col("pick.ref")).otherwise(F.get("pick.alts", i - 1)))

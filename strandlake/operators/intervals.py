@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlake.operators.scans import CELL, highest, latest, range_cell, scanned, total
+from strandlake.shared import written
+
 
 def bins(start: Column, stop: Column, width: int) -> Column:
     """Bins that [start, stop) touches."""
@@ -42,11 +45,17 @@ def points_in(points: DataFrame, intervals: DataFrame, width: int = 1024) -> Dat
     return left.join(right, on, "left_semi").drop("__bin")
 
 
-def islands(points: DataFrame, gap: int, keys: tuple[str, ...] = ("chrom",), pos: str = "pos") -> DataFrame:
+def islands(points: DataFrame, gap: int, keys: tuple[str, ...] = ("chrom",), pos: str = "pos", width: int = CELL) -> DataFrame:
     """Numbers groups of points whose neighbours are at most ``gap`` apart."""
-    w = W.partitionBy(*keys).orderBy(pos)
-    new = (F.col(pos) - F.lag(pos).over(w) > gap).cast("int")
-    return points.withColumn("__new", F.coalesce(new, F.lit(0))).withColumn("island", F.sum("__new").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("__new")
+    cell = range_cell(F.col(pos), width)
+    rows = scanned(points, [*keys], [pos], cell, __before=latest(F.col(pos), own=False))
+    rows = rows.withColumn("__new", F.coalesce((F.col(pos) - F.col("__before") > gap).cast("int"), F.lit(0)))
+    return scanned(rows, [*keys], [pos, -F.col("__new")], cell, island=total(F.col("__new"))).drop("__new", "__before")
+
+
+def ranked(points: DataFrame, width: int = CELL) -> DataFrame:
+    """Distinct positions with their rank on their chromosome, from 1."""
+    return scanned(points.select("chrom", "pos").distinct(), ["chrom"], ["pos"], range_cell(F.col("pos"), width), at=total())
 
 
 def consecutive_runs(points: DataFrame) -> DataFrame:
@@ -62,13 +71,18 @@ def gap_regions(points: DataFrame, gap: int = 30) -> DataFrame:
     return rows.groupBy("chrom", "island").agg((F.min("pos") - half).alias("start"), (F.max("pos") + half).alias("stop"), F.count("*").alias("n")).drop("island")
 
 
-def merge_overlaps(intervals: DataFrame, touching: bool = False) -> DataFrame:
+def chained(intervals: DataFrame, touching: bool = False, out: str = "island", width: int = CELL) -> DataFrame:
+    """Numbers chains of overlapping intervals; intervals that only touch are in one chain if asked for."""
+    cell, stop = range_cell(F.col("start"), width), F.col("__before")
+    rows = scanned(intervals, ["chrom"], ["start", "stop"], cell, __before=highest(F.col("stop"), own=False))
+    new = (F.col("start") > stop) if touching else (F.col("start") >= stop)
+    rows = rows.withColumn("__new", F.coalesce(new.cast("int"), F.lit(0)))
+    return scanned(rows, ["chrom"], ["start", "stop", -F.col("__new")], cell, **{out: total(F.col("__new"))}).drop("__new", "__before")
+
+
+def merge_overlaps(intervals: DataFrame, touching: bool = False, width: int = CELL) -> DataFrame:
     """Merged intervals of each chromosome; intervals that only touch stay apart unless asked for."""
-    w = W.partitionBy("chrom").orderBy("start", "stop")
-    before = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = (F.col("start") > before) if touching else (F.col("start") >= before)
-    rows = intervals.select("chrom", "start", "stop").withColumn("__new", F.coalesce(new.cast("int"), F.lit(0)))
-    rows = rows.withColumn("island", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = chained(intervals.select("chrom", "start", "stop"), touching, width=width)
     return rows.groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n")).drop("island")
 
 
@@ -77,57 +91,75 @@ def widened(intervals: DataFrame, guard: int = 3) -> DataFrame:
     return merge_overlaps(intervals.select("chrom", (F.col("start") - guard).alias("start"), (F.col("stop") + guard).alias("stop")))
 
 
-def capped_clusters(sites: DataFrame, gap: int = 30, cap: int = 8, longest: int = 80) -> DataFrame:
+def capped_clusters(sites: DataFrame, gap: int = 30, cap: int = 8, longest: int = 80, width: int = CELL) -> DataFrame:
     """Clusters of sites: linked when the gap is below ``gap``, at most ``cap`` in one.
 
     A site longer than ``longest`` ends the cluster before it and is dropped,
     but one that meets an empty cluster is kept; so in a run of long sites
     every second one stays, counted from the state before the run.
+
+    That is an automaton with two states (cluster empty or not): a short site
+    leads to "not empty" whatever the state, a long one changes it.  So the
+    state follows from the number of long sites since the last short one, which
+    two running values tell.
     """
-    w = W.partitionBy("chrom").orderBy("start", "stop")
-    rows = sites.withColumn("long", F.col("stop") - F.col("start") > longest)
-    # A long run after a short site begins with a dropped one; at the start of a chromosome with a kept one.
-    rows = rows.withColumn("run", F.sum((~F.col("long")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    in_run = W.partitionBy("chrom", "run").orderBy("start", "stop")
-    at = F.sum(F.col("long").cast("int")).over(in_run.rowsBetween(W.unboundedPreceding, 0))
-    keep = ~F.col("long") | (F.when(F.col("run") == 0, at % 2 == 1).otherwise(at % 2 == 0))
-    rows = rows.withColumn("kept", keep)
-    dropped = F.sum((~F.col("kept")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("__d", dropped).where("kept")
-    far = F.coalesce((F.col("start") - F.lag("stop").over(w) >= gap) | (F.col("__d") != F.lag("__d").over(w)), F.lit(False))
-    rows = rows.withColumn("__new", far.cast("int")).withColumn("island", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    at = F.row_number().over(W.partitionBy("chrom", "island").orderBy("start", "stop")) - 1
-    return rows.withColumn("part", F.floor(at / cap)).drop("__new", "__d", "run", "long", "kept")
+    order, cell = ["start", "stop", "__tie"], range_cell(F.col("start"), width)
+    scan = lambda rows, **scans: scanned(rows, ["chrom"], order, cell, **scans)
+    rows = sites.withColumns({"__long": F.col("stop") - F.col("start") > longest, "__tie": F.xxhash64(*(c for c, kind in sites.dtypes if not kind.startswith("map")))})
+    rows = scan(rows, __longs=total(F.col("__long").cast("int")))
+    rows = scan(rows, __reset=latest(F.when(~F.col("__long"), F.col("__longs"))))
+    since = F.col("__longs") - F.coalesce("__reset", F.lit(0))
+    # After a short site a run of long ones begins with a dropped one; at the start of a chromosome with a kept one.
+    rows = rows.withColumn("__kept", ~F.col("__long") | F.when(F.col("__reset").isNull(), since % 2 == 1).otherwise(since % 2 == 0))
+    rows = scan(rows, __dropped=total((~F.col("__kept")).cast("int"))).where("__kept")
+    rows = scan(rows, __stop=latest(F.col("stop"), own=False), __past=latest(F.col("__dropped"), own=False), __number=total())
+    new = F.coalesce((F.col("start") - F.col("__stop") >= gap) | (F.col("__dropped") != F.col("__past")), F.lit(False))
+    rows = rows.withColumn("__new", new)
+    rows = scan(rows, island=total(F.col("__new").cast("int")), __first=latest(F.when(F.col("__new"), F.col("__number"))))
+    rows = rows.withColumn("part", F.floor((F.col("__number") - F.coalesce("__first", F.lit(1))) / cap))
+    return rows.drop(*(c for c in rows.columns if c.startswith("__")))
 
 
 def segment_bounds(clusters: DataFrame, reach: int = 15) -> DataFrame:
     """Reference span of each part of a cluster, grown by ``reach`` but not into the parts beside it."""
     span = clusters.groupBy("chrom", "island", "part").agg(F.min("start").alias("first"), F.max("stop").alias("last"), F.count("*").alias("n"))
-    w = W.partitionBy("chrom", "island").orderBy("part")
-    left = F.greatest(F.col("first") - reach, F.lag("last").over(w))  # nulls don't count
-    right = F.least(F.col("last") + reach, F.lead("first").over(w))
-    return span.withColumn("seg_start", left).withColumn("seg_stop", right)
+    span = scanned(span, ["chrom", "island"], ["part"], F.floor(F.col("part") / 4096), __left=latest(F.col("last"), own=False))
+    span = scanned(span, ["chrom", "island"], [-F.col("part")], F.floor(-F.col("part") / 4096), __right=latest(F.col("first"), own=False))
+    left = F.greatest(F.col("first") - reach, F.col("__left"))  # nulls don't count
+    right = F.least(F.col("last") + reach, F.col("__right"))
+    return span.withColumn("seg_start", left).withColumn("seg_stop", right).drop("__left", "__right")
 
 
-def balanced_shards(runs: DataFrame, max_shards: int = 500, min_gap: int = 25, size: str = "n", least: int | None = None) -> DataFrame:
+def balanced_shards(runs: DataFrame, max_shards: int = 500, min_gap: int = 25, size: str = "n", least: int | None = None, width: int = CELL) -> DataFrame:
     """Greedy shards in order: a cut comes at the first gap of ``min_gap`` once a shard has enough.
 
     Enough is the chromosome's sum over ``max_shards``, or ``least`` if given.
-    Islands between possible cuts are summed first.  The greedy choice is a
-    fold over the sums of a chromosome (two numbers for each block) that keeps
-    nothing but the cuts, of which there are at most ``max_shards``.
+    Islands between possible cuts (a block) are summed first.  From running
+    sums every block knows where a shard that begins with it ends; the blocks
+    that do begin a shard are then reached from the first one by jumps of
+    doubled length, so no task follows a chromosome from end to end.
     """
-    w = W.partitionBy("chrom").orderBy("start")
-    cut = F.coalesce((F.col("start") - F.lag("stop").over(w) + 1 >= min_gap).cast("int"), F.lit(0))
-    rows = runs.withColumn("cut", cut).withColumn("block", F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    cell = range_cell(F.col("start"), width)
+    rows = scanned(runs, ["chrom"], ["start", "stop"], cell, __stop=latest(F.col("stop"), own=False))
+    rows = rows.withColumn("cut", F.coalesce((F.col("start") - F.col("__stop") + 1 >= min_gap).cast("int"), F.lit(0)))
+    rows = scanned(rows, ["chrom"], ["start", "stop"], cell, block=total(F.col("cut")))
     blocks = rows.groupBy("chrom", "block").agg(F.sum(size).alias("w"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("islands"))
-    need = F.ceil(F.sum("w") / max_shards) if least is None else F.lit(least)
-    lists = blocks.groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("block", "w"))).alias("b"), need.alias("need"))
-    folded = F.expr("""aggregate(b, named_struct('have', 0L, 'cuts', cast(array() AS array<bigint>)),
-        (a, x) -> if(a.have >= need, named_struct('have', x.w, 'cuts', concat(a.cuts, array(x.block))), named_struct('have', a.have + x.w, 'cuts', a.cuts)), a -> a.cuts)""")
-    cuts = lists.select("chrom", F.explode(folded).alias("block"), F.lit(1).alias("first"))
-    shard = F.sum(F.coalesce("first", F.lit(0))).over(W.partitionBy("chrom").orderBy("block").rowsBetween(W.unboundedPreceding, 0))
-    placed = blocks.join(cuts, ["chrom", "block"], "left").withColumn("shard", shard)
+    in_order = lambda df, **scans: scanned(df, ["chrom"], ["block"], F.floor(F.col("block") / 4096), **scans)
+    blocks = written(in_order(blocks, upto=total(F.col("w"), own=False)), "blocks")
+    need = blocks.groupBy("chrom").agg(F.greatest(F.lit(1), F.ceil(F.sum("w") / max_shards) if least is None else F.lit(least)).alias("need"))
+    # For each block the first one whose running sum is large enough: the last one seen from the right.
+    here = blocks.select("chrom", F.col("upto").alias("v"), F.lit(0).alias("asks"), F.col("block").alias("at"))
+    asked = blocks.join(need, "chrom").select("chrom", (F.col("upto") + F.col("need")).alias("v"), F.lit(1).alias("asks"), F.col("block").alias("at"))
+    seen = scanned(here.unionByName(asked), ["chrom"], [-F.col("v"), "asks", -F.col("at")], F.floor(-F.col("v") / width), to=latest(F.when(F.col("asks") == 0, F.col("at")), own=False))
+    jumps = written(seen.where("asks = 1 AND to IS NOT NULL").select("chrom", F.col("at").alias("block"), "to"), "jumps")
+    cuts = blocks.where("block = 0").select("chrom", "block")
+    known = 0
+    while (count := cuts.count()) > known:
+        known = count
+        cuts = written(cuts.unionByName(cuts.join(jumps, ["chrom", "block"]).select("chrom", F.col("to").alias("block"))).distinct(), "cuts")
+        jumps = written(jumps.join(jumps.select("chrom", F.col("block").alias("to"), F.col("to").alias("further")), ["chrom", "to"]).select("chrom", "block", F.col("further").alias("to")), "jumps")
+    first = cuts.where("block > 0").select("chrom", "block", F.lit(1).alias("first"))
+    placed = in_order(blocks.join(first, ["chrom", "block"], "left"), shard=total(F.col("first")))
     return placed.groupBy("chrom", "shard").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("w").alias("n"), F.sum("islands").alias("islands"))
 
 
@@ -193,11 +225,12 @@ def in_bounds(reads: DataFrame, lengths: DataFrame, width: int, reach: int = 10)
     return per.join(lengths, "chrom").where("lo >= 0 AND hi <= length").select("chrom", "tile", "n")
 
 
-def lone(items: DataFrame, gap: int = 3, longest: int = 60) -> DataFrame:
+def lone(items: DataFrame, gap: int = 3, longest: int = 60, width: int = CELL) -> DataFrame:
     """Items of at most ``longest`` that have no neighbour within ``gap`` on their chromosome."""
-    w = W.partitionBy("chrom").orderBy("start", "stop")
-    far = F.coalesce(F.lead("start").over(w) - F.col("stop") > gap, F.lit(True)) & F.coalesce(F.col("start") - F.lag("stop").over(w) > gap, F.lit(True))
-    return items.withColumn("__far", far).where((F.col("__far")) & (F.col("stop") - F.col("start") <= longest)).drop("__far")
+    rows = scanned(items, ["chrom"], ["start", "stop"], range_cell(F.col("start"), width), __stop=latest(F.col("stop"), own=False))
+    rows = scanned(rows, ["chrom"], [-F.col("start"), -F.col("stop")], F.floor(-F.col("start") / width), __start=latest(F.col("start"), own=False))
+    far = F.coalesce(F.col("__start") - F.col("stop") > gap, F.lit(True)) & F.coalesce(F.col("start") - F.col("__stop") > gap, F.lit(True))
+    return rows.where(far & (F.col("stop") - F.col("start") <= longest)).drop("__start", "__stop")
 
 
 def united(*points: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandlake.operators import reads as R
+from strandlake.operators.variants import reference_slice
 
 CHUNK = 10_000
 #: Evidence gates (fixed values): share 0.12 = 3/25, least count 2, indel alleles of at most 100.
@@ -86,12 +87,7 @@ def mismatch_count(reads: DataFrame, reference: DataFrame) -> DataFrame:
 
 def indels(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """Deletion and insertion evidence with reference text."""
-    rows = R.indel_alleles(R.cigar_ops(reads)).withColumn("chunk_id", F.floor(F.col("pos") / CHUNK))
-    chunks = reference.select("chrom", "chunk_id", F.col("seq").alias("a"))
-    after = reference.select("chrom", (F.col("chunk_id") - 1).alias("chunk_id"), F.col("seq").alias("b"))
-    rows = rows.join(chunks, ["chrom", "chunk_id"]).join(after, ["chrom", "chunk_id"], "left")
-    size = "if(op = 2, len + 1, 1)"
-    rows = rows.withColumn("ref", F.expr(f"substring(concat(a, coalesce(substring(b, 1, {LONGEST} * 10), '')), cast(pos - chunk_id * {CHUNK} AS int) + 1, {size})"))
+    rows = reference_slice(R.indel_alleles(R.cigar_ops(reads)), reference, "pos", "pos + if(op = 2, len + 1, 1)", "ref", any_length=True)
     alt = F.expr("if(op = 2 AND alt = '', substring(ref, 1, 1), alt)")
     return rows.select("chrom", "tech", "read_name", "is_reverse", "mapq", "pos", "ref", alt.alias("alt"), "q", "kind")
 

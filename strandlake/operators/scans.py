@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlake.shared import written
+
 #: Positions in a cell, where cells are ranges of a chromosome.
 CELL = 1 << 20
 _P = "__scan_"
@@ -44,19 +46,24 @@ def range_cell(pos: Column, width: int = CELL) -> Column:
     return F.floor(pos / width)
 
 
-def scanned(rows: DataFrame, by: list[str], order: list[str | Column], cell: Column, **scans: Scan) -> DataFrame:
+def scanned(rows: DataFrame, by: list[str], order: list[str | Column], cell: Column, stored: bool = False, **scans: Scan) -> DataFrame:
     """Adds a column for each scan.  ``cell`` must not fall in ``order`` inside a key.
 
     A sum of nothing is 0; a maximum or a last value of nothing is null.  Null
     keys are a key of their own.  Columns that begin with ``__scan_`` are used
     inside.
+
+    Rows are looked at twice, so they are written to the shared folder first,
+    and a chain of scans does its work once; ``stored`` says that they come
+    from a written table already.
     """
-    rows = rows.withColumns({_P + "cell": cell} | {f"{_P}{k}": s.value for k, s in scans.items()})
+    rows = rows.withColumns({_P + "cell": cell} | {f"{_P}v_{k}": s.value for k, s in scans.items()})
+    rows = rows if stored else written(rows, "scan")
     inner = W.partitionBy(*by, _P + "cell").orderBy(*order)
     step = F.struct(*(F.col(c) if isinstance(c, str) else c for c in order))
     whole, seen = {}, {}
     for k, s in scans.items():
-        c, over = F.col(_P + k), inner.rowsBetween(W.unboundedPreceding, 0 if s.own else -1)
+        c, over = F.col(f"{_P}v_{k}"), inner.rowsBetween(W.unboundedPreceding, 0 if s.own else -1)
         if s.kind == "sum":
             whole[k], seen[k] = F.sum(c), F.sum(c).over(over)
         elif s.kind == "max":

@@ -9,19 +9,36 @@ from pyspark.sql import Window as W
 from strandlake.shared import written
 
 CHUNK = 10_000
+#: Contigs without a number come after all that have one.
+UNNUMBERED = 10_000_000
 
 
-def reference_slice(rows: DataFrame, reference: DataFrame, start: str, stop: str, out: str = "slice") -> DataFrame:
-    """Adds the reference text of [start, stop), which may go over one chunk border (a longer span is an error); equi-joins on chunks."""
+def reference_slice(rows: DataFrame, reference: DataFrame, start: str, stop: str, out: str = "slice", any_length: bool = False) -> DataFrame:
+    """Adds the reference text of [start, stop); equi-joins on chunks.
+
+    A span may go over one chunk border.  With ``any_length`` it may go over
+    any number: longer spans are put together from all chunks that they touch.
+    Without, such a span is an error.
+    """
     a = reference.select("chrom", F.col("chunk_id").alias("__chunk"), F.col("seq").cast("binary").alias("__a"))  # bytes: a piece is found at once
     b = reference.select("chrom", (F.col("chunk_id") - 1).alias("__chunk"), F.col("seq").cast("binary").alias("__b"))
     keyed = rows.withColumn("__start", F.expr(f"greatest({start}, 0)")).withColumn("__chunk", F.floor(F.col("__start") / CHUNK))
-    joined = keyed.join(a, ["chrom", "__chunk"], "left").join(b, ["chrom", "__chunk"], "left")
+    far = F.coalesce(F.expr(f"({stop}) > (__chunk + 2) * {CHUNK}"), F.lit(False))
+    joined = (keyed.where(~far) if any_length else keyed).join(a, ["chrom", "__chunk"], "left").join(b, ["chrom", "__chunk"], "left")
     at, n = f"cast(__start - __chunk * {CHUNK} AS int)", f"cast(greatest(({stop}) - __start, 0) AS int)"
     text = F.expr(f"cast(concat(substring(__a, {at} + 1, {n}), substring(coalesce(__b, X''), 1, greatest({at} + {n} - {CHUNK}, 0))) AS string)")
-    long = F.expr(f"({stop}) > (__chunk + 2) * {CHUNK} AND length(__b) = {CHUNK}")
-    checked = F.when(long, F.raise_error(F.lit("a span goes over more than two reference chunks")).cast("string")).otherwise(text)
-    return joined.withColumn(out, checked).drop("__a", "__b", "__start", "__chunk")
+    if not any_length:
+        text = F.when(far & (F.length("__b") == CHUNK), F.raise_error(F.lit("a span goes over more than two reference chunks")).cast("string")).otherwise(text)
+    near = joined.withColumn(out, text).drop("__a", "__b", "__start", "__chunk")
+    if not any_length:
+        return near
+    row = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    pieces = keyed.where(far).select("chrom", "__start", F.expr(f"cast(({stop}) AS bigint)").alias("__stop"), row.alias("__row"), F.monotonically_increasing_id().alias("__id"), "__chunk")
+    pieces = pieces.withColumn("__from", F.col("__chunk")).withColumn("__chunk", F.explode(F.sequence(F.col("__from"), F.floor((F.col("__stop") - 1) / CHUNK))))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__chunk", F.col("__a").cast("string").alias("s")))), lambda x: x["s"]), "")
+    pieces = pieces.join(a, ["chrom", "__chunk"], "left").groupBy("__id").agg(F.first("__row").alias("__row"), F.first("__start").alias("__start"), F.first("__stop").alias("__stop"), F.first("__from").alias("__from"), whole.alias("__text"))
+    cut = F.expr(f"substring(__text, cast(__start - __from * {CHUNK} AS int) + 1, cast(__stop - __start AS int))")
+    return near.unionByName(pieces.select("__row.*", cut.alias(out)))
 
 
 def phred(p: Column) -> Column:
@@ -36,8 +53,9 @@ def parse_gt(gt: Column) -> Column:
 
 
 def chrom_order(chrom: Column) -> Column:
+    """Number of a chromosome: X is 23, Y is 24, a name that ends in a whole number is that number; any other name has none."""
     name = F.regexp_replace(chrom, "^chr", "")
-    return F.when(name == "X", 23).when(name == "Y", 24).otherwise(F.regexp_replace(name, r"^\D+", "").try_cast("int"))
+    return F.when(name == "X", 23).when(name == "Y", 24).otherwise(F.regexp_extract(name, r"^[A-Za-z]*(\d+)$", 1).try_cast("int"))
 
 
 def alleles_of_gt(ref: Column, alts: Column, gt: Column) -> Column:
@@ -125,15 +143,19 @@ def vcf_line(rows: DataFrame, sample: str = "SAMPLE1") -> DataFrame:
 
 def expand_alleles(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """Alleles grown to [span_start, span_stop) with reference text on both sides."""
-    out = reference_slice(rows, reference, "span_start", "pos", "__pre")
-    out = reference_slice(out, reference, "pos + length(ref)", "span_stop", "__post")
+    out = reference_slice(rows, reference, "span_start", "pos", "__pre", any_length=True)
+    out = reference_slice(out, reference, "pos + length(ref)", "span_stop", "__post", any_length=True)
     grow = lambda c: F.concat("__pre", c, "__post")
     return out.withColumn("alts", F.transform("alts", grow)).withColumn("ref", grow(F.col("ref"))).withColumn("pos", F.col("span_start")).drop("__pre", "__post")
 
 
 def sort_vcf(rows: DataFrame) -> DataFrame:
-    """A total order by chromosome and position: range partitions, each sorted."""
-    return rows.withColumn("chrom_ord", chrom_order(F.col("chrom"))).orderBy("chrom_ord", "pos")
+    """A total order by chromosome and position: range partitions, each sorted.
+
+    Chromosomes with a number come first, in their order, then the others by
+    name; none is interleaved with another.
+    """
+    return rows.withColumn("chrom_ord", chrom_order(F.col("chrom"))).orderBy(F.asc_nulls_last("chrom_ord"), "chrom", "pos")
 
 
 def pair_likelihood(scores: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
@@ -180,7 +202,7 @@ def call_sites(scores: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def header(chroms: DataFrame, sample: str = "SAMPLE1") -> DataFrame:
-    """VCF header lines: file format, contigs by length, columns; ``ord`` keeps them before all records."""
-    top = chroms.sparkSession.createDataFrame([(0, "##fileformat=VCFv4.2"), (1, '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">'), (100_000, f"#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t{sample}")], "ord long, line string")
-    contigs = chroms.select((10 + F.coalesce(chrom_order(F.col("chrom")), F.lit(99))).cast("long").alias("ord"), F.format_string("##contig=<ID=%s,length=%d>", "chrom", "length").alias("line"))
+    """VCF header lines: file format, contigs with their lengths, columns; ``ord``, then ``chrom``, keeps them in order and before all records."""
+    top = chroms.sparkSession.createDataFrame([(0, "##fileformat=VCFv4.2"), (1, '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">'), (20_000_000, f"#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t{sample}")], "ord long, line string").select("ord", F.lit("").alias("chrom"), "line")
+    contigs = chroms.select((10 + F.least(F.coalesce(chrom_order(F.col("chrom")), F.lit(UNNUMBERED)), F.lit(UNNUMBERED))).cast("long").alias("ord"), "chrom", F.format_string("##contig=<ID=%s,length=%d>", "chrom", "length").alias("line"))
     return top.unionByName(contigs)

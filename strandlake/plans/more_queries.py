@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from strandlake.operators import examples as E
 from strandlake.operators import intervals as I
@@ -56,8 +55,7 @@ def _(s, d):
 
 @query("sort_positions", q("SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS at FROM (SELECT DISTINCT chrom, pos FROM pts)", "pts"))
 def _(s, d):
-    rank = F.row_number().over(W.partitionBy("chrom").orderBy("pos"))
-    return S.events(s, d).dropDuplicates().select("chrom", "pos", rank.cast("long").alias("at"))
+    return I.ranked(S.events(s, d)).select("chrom", "pos", F.col("at").cast("long").alias("at"))
 
 
 @query("ambiguous_pairs", q("SELECT chrom, start, stop FROM (SELECT *, coalesce(lead(start) OVER w - stop > 3, true) AND coalesce(start - lag(stop) OVER w > 3, true) AS alone FROM (SELECT chrom, min(start) AS start, max(stop) AS stop FROM spans GROUP BY chrom, id // 50) WINDOW w AS (PARTITION BY chrom ORDER BY start, stop)) WHERE alone AND stop - start <= 60", "spans"))

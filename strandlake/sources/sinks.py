@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.variants import chrom_order, header, vcf_line
+from strandlake.operators.variants import UNNUMBERED, chrom_order, header, vcf_line
 
 
 def sam_lines(reads: DataFrame) -> DataFrame:
@@ -35,16 +35,17 @@ def write_bed(rows: DataFrame, path: str) -> None:
 
 
 def vcf_lines(records: DataFrame, chroms: DataFrame) -> DataFrame:
-    """Header and records with sort keys; ordered by (ord, pos)."""
-    body = vcf_line(records).select((1_000_000 + F.coalesce(chrom_order(F.col("chrom")), F.lit(99))).cast("long").alias("ord"), "pos", "line")
-    top = header(chroms).select("ord", F.lit(-1).cast("long").alias("pos"), "line")
+    """Header and records with sort keys; ordered by (ord, chrom, pos), so that no contig is interleaved with another."""
+    body = vcf_line(records).select((100_000_000 + F.least(F.coalesce(chrom_order(F.col("chrom")), F.lit(UNNUMBERED)), F.lit(UNNUMBERED))).cast("long").alias("ord"), "chrom", "pos", "line")
+    top = header(chroms).select("ord", "chrom", F.lit(-1).cast("long").alias("pos"), "line")
     return top.unionByName(body)
 
 
 def write_vcf(records: DataFrame, chroms: DataFrame, path: str) -> None:
     """Range partitions in order, each sorted: part files read one after another are one sorted file."""
     rows = vcf_lines(records, chroms)
-    rows.repartitionByRange("ord", "pos").sortWithinPartitions("ord", "pos").select(F.col("line").alias("value")).write.text(path)
+    keys = ["ord", "chrom", "pos"]
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.col("line").alias("value")).write.text(path)
 
 
 def write_examples(examples: DataFrame, path: str, toggle: bool = False) -> None:

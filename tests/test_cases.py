@@ -385,6 +385,13 @@ def test_files_there_and_back(spark, three, tmp_path):
     lines = [x for p in sorted((tmp_path / "vcf").glob("part-*")) for x in p.read_text().splitlines()]
     assert lines[0] == "##fileformat=VCFv4.2" and [x.split("\t")[:2] for x in lines if x[0] != "#"] == [["chr1", "8"], ["chr1", "91"], ["chr2", "10"]]
     assert sorted((r.chrom, r.pos, r.alts, r.gt) for r in text.read_vcf(spark, f"{tmp_path}/vcf").collect()) == [("chr1", 7, ["G"], [1, 1]), ("chr1", 90, ["C", "T"], [1, 2]), ("chr2", 9, ["G"], [0, 1])]
+    names = [("chrM", 1), ("chrEBV", 2), ("chrM", 4), ("chrUn_1", 3), ("chr1", 5), ("chrUn_1", 9), ("chr10", 1), ("chr2", 1), ("chrX", 1)]
+    odd = spark.createDataFrame([(c, p, "A", ["G"], [0, 1], 30.0) for c, p in names], records.drop("filter", "info").schema).withColumns({"filter": F.lit("PASS"), "info": F.lit(".")})
+    sinks.write_vcf(odd, spark.createDataFrame([(c, 100) for c in {c for c, _ in names}], "chrom string, length long"), f"{tmp_path}/vcf2")
+    lines = [x for p in sorted((tmp_path / "vcf2").glob("part-*")) for x in p.read_text().splitlines()]
+    order = ["chr1", "chr2", "chr10", "chrX", "chrEBV", "chrM", "chrUn_1"]
+    assert [x.split("\t")[0] for x in lines if x[0] != "#"] == sorted((c for c, _ in names), key=order.index)
+    assert [x.split("=")[2].split(",")[0] for x in lines if "contig" in x] == order
     sinks.write_reads(three, f"{tmp_path}/reads")
     assert text.read_region(spark, f"{tmp_path}/reads", "c", 17, 18).count() == 3 and text.read_region(spark, f"{tmp_path}/reads", "c", 0, 9).count() == 0
 
