@@ -177,7 +177,7 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return rows
     rows = rows.withColumns({"tie": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
     rows = written(rows.repartitionByRange("id", "tie", "at").withColumn("part", F.spark_partition_id()), "keyed-rows")
-    numbers = scanned(rows.where("id IS NOT NULL").select("part", "id", "tie", "at"), [], ["id", "tie", "at"], F.col("part"), number=total())
+    numbers = scanned(rows.where("id IS NOT NULL").select("part", "id", "tie", "at"), [], ["id", "tie", "at"], F.col("part"), stored=True, number=total())
     rows = rows.join(numbers.select("part", "at", "number"), ["part", "at"], "left")
     return written(rows.select(F.when(F.col("id").isNotNull(), F.col("number")).alias("id"), "text", "row"), "numbered-rows")
 

@@ -99,7 +99,7 @@ def _products(conversations: DataFrame, m: Monoid) -> DataFrame:
     rows = _stored(conversations).select("conv_id", "turn", "role", F.xxhash64("text").alias("tie"), a.alias("key_a"), b.alias("key_b"), F.length("text").cast("long").alias("chars"), F.monotonically_increasing_id().alias("row"))
     order = ["turn", "role", "tie", "row"]
     rows = written(rows.repartitionByRange("conv_id", *order).withColumn("part", F.spark_partition_id()), "trie-turns")
-    rows = scanned(rows, ["conv_id"], order, F.col("part"), place=total()).drop("role", "tie")
+    rows = scanned(rows, ["conv_id"], order, F.col("part"), stored=True, place=total()).drop("role", "tie")
     rows = rows.withColumns({f"t{k}": m.turn(k) * m.power(k, F.col("place")) % m.primes[k] for k in LANES})
     rows = scanned(rows, ["conv_id"], ["place"], F.floor(F.col("place") / CELL), **{f"p{k}": total(F.col(f"t{k}")) for k in LANES})
     p = {f"p{k}": F.col(f"p{k}") % m.primes[k] for k in LANES}
