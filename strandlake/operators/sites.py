@@ -44,6 +44,19 @@ def reads_by_region(reads: DataFrame, regions: DataFrame) -> DataFrame:
     return rows.withColumnsRenamed({f"b_{c}": f"region_{c}" for c in regions.columns if c != "chrom"}).drop("b_chrom", "stop")
 
 
+def at_sites(reads: DataFrame, sites: DataFrame) -> DataFrame:
+    """Every read with every site it overlaps, where each read is moved once, however many sites it covers.
+
+    Only keys and coordinates are spread over bins and joined; the sites of a
+    read, as one list, then meet the read itself.
+    """
+    key = ["chrom", "tech", "read_name", "is_reverse", "start"]
+    pairs = overlap_join(reads.select(*key, F.col("end").alias("stop")), sites.select("chrom", "start", "stop"))
+    lists = pairs.groupBy(*key).agg(F.collect_set(F.struct(F.col("b_start").alias("site_start"), F.col("b_stop").alias("site_stop"))).alias("__sites"))
+    rows = reads.join(lists, key).select(*reads.columns, F.inline("__sites"))
+    return rows.where("start < site_stop AND site_start < end")
+
+
 def site_slices(reads: DataFrame, sites: DataFrame) -> DataFrame:
     """Every read at every site [site_start, site_stop) it overlaps: its allele text, least quality and status.
 
@@ -52,7 +65,7 @@ def site_slices(reads: DataFrame, sites: DataFrame) -> DataFrame:
     The operations that touch the site are told by arithmetic, so a read is
     neither exploded nor regrouped, however long it is.
     """
-    rows = reads_by_site(R.with_ops(reads), sites)
+    rows = at_sites(R.with_ops(reads), sites)
     aligned = f"(x.op IN {R.BOTH} OR x.op = 2)"
     near = f"""filter(ops, x -> x.len > 0 AND if(x.op = 1, x.ref - 1 >= site_start - 1 AND x.ref - 1 <= site_stop, {aligned} AND x.ref <= site_stop AND x.ref + x.len >= site_start))"""
     lead = "coalesce(ops[0].op = 1 AND ops[0].len > 0 AND ops[0].ref - 1 >= site_start - 1 AND ops[0].ref - 1 <= site_stop, false)"

@@ -31,10 +31,20 @@ def clean_reads(reads: DataFrame, least_mapq: int = 10) -> DataFrame:
     return R.mapq_gate(R.first_per_name(R.usable(reads)), least_mapq)
 
 
+def stored_reads(reads: DataFrame, least_mapq: int = 10) -> DataFrame:
+    """Clean reads, written once: their evidence, depth and slices are all taken from this table."""
+    return written(clean_reads(reads, least_mapq), "clean-reads")
+
+
 def detect_hotspots(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """Differing positions, the union over technologies."""
-    rows = clean_reads(reads)
-    return P.hotspots(P.resolve_partials(P.allele_counts(rows, reference)), rows)
+    return hotspots_of(stored_reads(reads), reference)
+
+
+def hotspots_of(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """The same over stored clean reads."""
+    counts = written(P.allele_counts(rows, reference), "allele-counts")
+    return P.hotspots(P.resolve_partials(counts), rows)
 
 
 def capped_reads(reads: DataFrame, points: DataFrame, per_base: float, gap: int = 30, flank: int = 75) -> DataFrame:
@@ -56,8 +66,8 @@ def site_support(reads: DataFrame, reference: DataFrame, per_base: float | None
     Partial reads count for the one allele they fit.  With ``per_base`` the
     reads of each active region are capped first.
     """
-    points = written(detect_hotspots(reads, reference), "hotspots")
-    rows = clean_reads(reads)
+    rows = stored_reads(reads)
+    points = written(hotspots_of(rows, reference), "hotspots")
     if per_base is not None:
         rows = capped_reads(rows, points, per_base)
     slices = written(T.site_slices(rows, I.consecutive_runs(points)), "site-slices")

@@ -247,3 +247,24 @@ def test_many_sites_with_two_alternatives(spark):
     sites = [(103 + 20 * k, segment[3 + 20 * k], ["GG", "TTT"], [1, 2]) for k in range(10)]
     rows = H.label_sites(*[spark.createDataFrame([("big", 100, segment, sites)], SITES)] * 2).collect()
     assert len(rows) == 10 and {(r.status, r.picks0_allele, r.picks1_allele) for r in rows} == {("LABELLED", "GG", "TTT")}
+
+
+# ---- long reads
+
+def test_long_reads_are_moved_once(spark):
+    """What goes through the join by bins holds keys only, and a read of 15,000 bases gives the slices that a loop gives."""
+    from strandlake.operators import sites as T
+
+    rng = random.Random(8)
+    genome = "".join(rng.choice("ACGT") for _ in range(16_000))
+    schema = "chrom string, read_name string, start long, end long, seq string, qual array<smallint>, cigar array<struct<op:int,len:int>>, mapq int, is_reverse boolean, flag int, tags map<string,int>, tech string, sample string"
+    reads = spark.createDataFrame([("c", f"r{k}", 10 * k, 10 * k + 15_000, genome[10 * k : 10 * k + 15_000], [30] * 15_000, [(0, 15_000)], 60, False, 0, {}, "P", "s") for k in range(4)], schema)
+    spots = [(p, p + rng.randrange(1, 4)) for p in range(5, 15_900, 60)]
+    slices = T.site_slices(reads, spark.createDataFrame([("c", *s) for s in spots], "chrom string, start long, stop long"))
+    got = {(r.read_name, r.site_start): r.allele for r in slices.where("status = 'Success'").collect()}
+    expect = {(f"r{k}", a): genome[a:b] for k in range(4) for a, b in spots if a >= 10 * k and b <= 10 * k + 15_000}
+    assert got.items() >= {k: v for k, v in expect.items() if 10 * int(k[0][1:]) < k[1] < 10 * int(k[0][1:]) + 14_990}.items() and set(got) <= set(expect)
+    plan = slices._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "Join" in line and "__bin" in line)
+    below = "\n".join(plan[at : at + 4])
+    assert "seq#" not in below and "qual#" not in below
