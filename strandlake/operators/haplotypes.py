@@ -128,17 +128,23 @@ def label_tensors(records: DataFrame, support: DataFrame, longest: int = 80) ->
     return rows.withColumn("site_label", F.when(total <= 1, 0).otherwise(1))
 
 
-def reconcile(haplotypes: DataFrame, candidates: DataFrame, coverage: DataFrame, least_coverage: float = 14, most_sites: int = 10, intended: bool = False) -> DataFrame:
-    """Long reads whose haplotype over a region equals a combination of short-read alleles take that combination's alleles.
+def reconcile(haplotypes: DataFrame, regions: DataFrame, coverage: DataFrame, least_coverage: float = 14, most_sites: int = 10, intended: bool = False) -> DataFrame:
+    """Long reads whose haplotype over a region is a combination of its alleles take that combination's alleles (``picks``).
 
     Only where short reads cover the region by more than ``least_coverage`` on
     average and it has fewer than ``most_sites`` sites.  ``haplotypes`` has
     region, region_start, region_stop, tech, start, end and haplotype;
-    ``candidates`` has region, haplotype and picks; ``coverage`` has region and
-    mean.  A read must reach the region's end and begin at its start or after
-    it; with ``intended`` it must begin at the start or before it.
+    ``regions`` has region, seg_start, segment and sites (one row a region);
+    ``coverage`` has region and mean.  A read must reach the region's end and
+    begin at its start or after it; with ``intended`` it must begin at the
+    start or before it.  Combinations are not listed: every read walks through
+    the trie of its region's alleles.
     """
     spans = F.col("start") <= F.col("region_start") if intended else F.col("start") >= F.col("region_start")
-    open_regions = candidates.where(F.size("picks") < most_sites).join(coverage.where(F.col("mean") > least_coverage).select("region"), "region", "left_semi")
+    covered = coverage.where(F.col("mean") > least_coverage).select("region")
+    known = feasible(regions).where(~F.col("reject") & (F.size("sites") < most_sites)).join(covered, "region", "left_semi")
+    known = known.select("region", "sites", trie.candidate_edges().alias("__edges"))
     long = haplotypes.where((F.col("tech") == "P") & spans & (F.col("end") >= F.col("region_stop")))
-    return long.join(open_regions.select("region", "haplotype", "picks"), ["region", "haplotype"])
+    rows = long.join(known, "region").withColumn("__choice", trie.spelled("haplotype", "__edges")).where("__choice IS NOT NULL")
+    picks = F.transform("sites", lambda x, k: F.get(F.concat(F.array(x["ref"]), x["alts"]), F.get("__choice", k)))
+    return rows.withColumn("picks", picks).drop("__choice", "__edges", "sites")

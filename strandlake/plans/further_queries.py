@@ -22,6 +22,7 @@ from strandlake.plans.sqlbase import with_tables as q
 from strandlake.plans.variant_queries import NORMAL, TOP, calls, scored
 from strandlake.shared import fresh_path, written
 from strandlake.sources import sinks, text
+from strandlake.operators.left_align import left_align
 from strandlake.sources import synthetic as S
 
 # ---- events and reads
@@ -42,6 +43,14 @@ def _(s, d):
     return V.normalise(events, S.reference(s, d)).select("chrom", "pos", "ref", F.get("alts", F.lit(0)).alias("alt")).distinct()
 
 
+@query("left_align_cigars", q(f"""SELECT chrom, read_name, is_reverse, start + CASE WHEN s = m THEN 2 ELSE 0 END AS start, CASE WHEN m IS NULL OR s = m THEN '40M' ELSE (m - s) || 'M2D' || (40 - m + s) || 'M' END AS cigar FROM
+    (SELECT chrom, read_name, is_reverse, start, m, coalesce(min(m - i) FILTER (i < m AND NOT (bc = rc AND {code('pos')} = {code('pos + 2')})) - 1, m) AS s FROM (SELECT b.*, o.m FROM b JOIN (SELECT chrom AS c2, read_name AS n2, is_reverse AS s2, start AS st2, m FROM once) o ON chrom = c2 AND read_name = n2 AND is_reverse = s2 AND start = st2) GROUP BY chrom, read_name, is_reverse, start, m)""", "b", "once"))
+def _(s, d):
+    """Reads with their own CIGARs rewritten."""
+    text = F.expr("array_join(transform(cigar, x -> concat(x.len, substring('MIDNSHP=X', x.op + 1, 1))), '')")
+    return left_align(kept_reads(s, d), S.reference(s, d)).select("chrom", "read_name", "is_reverse", "start", text.alias("cigar"))
+
+
 @query("cigar_alignment", q("SELECT chrom, read_name, is_reverse, start, 40 + CASE WHEN m IS NULL THEN 0 ELSE 2 END AS columns, CASE WHEN m IS NULL THEN 0 ELSE 2 END AS gaps, m AS first_gap FROM once WHERE mapq >= 10", "once"))
 def _(s, d):
     gap = F.col("base") == "-"
@@ -83,7 +92,7 @@ def _(s, d):
     sites = V.candidate_record(sites.withColumn("pos", F.col("site_start")))
     lists = sites.groupBy("chrom", "region_start", "region_stop").agg(F.sort_array(F.collect_list(F.struct("pos", "ref", "alts", "gt"))).alias("sites"))
     lists = V.reference_slice(lists.withColumn("seg_start", F.greatest(F.col("region_start") - 6, F.lit(0))), S.reference(s, d), "seg_start", "region_stop + 6", "segment")
-    candidates = H.candidate_haplotypes(lists.select(named, "seg_start", "segment", "sites"))
+    candidates = lists.select(named, "seg_start", "segment", "sites")
     spans = regions.select(named, "chrom", F.col("region_start").alias("start"), F.col("region_stop").alias("stop")).distinct()
     coverage = T.region_coverage(jobs.clean_reads(S.reads(s, d)), spans)
     return H.reconcile(haplotypes, candidates, coverage, least_coverage=5, intended=True).select("region", "read_name", "is_reverse", "start", F.array_join("picks", ",").alias("picks"))

@@ -111,6 +111,30 @@ def _(s, d):
     return rows.select("region", "status", F.when(F.col("status") == "LABELLED", both).alias("picked"))
 
 
+def several_regions(s, d, wrong: bool, width: int):
+    """Truth of windows of ``width`` bases as regions of several sites."""
+    alts = F.when(F.col("pos") % 5 == 0, F.array(F.lit("NN"))).otherwise(F.col("alts")) if wrong else F.col("alts")
+    rows = S.truth(s, d).withColumn("k", F.floor(F.col("pos") / width)).groupBy("chrom", "k").agg(F.sort_array(F.collect_list(F.struct("pos", "ref", alts.alias("alts"), "gt"))).alias("sites"), F.greatest(F.min("pos") - 5, F.lit(0)).alias("seg_start"), (F.max("pos") + 6).alias("seg_stop"))
+    return V.reference_slice(rows.withColumn("region", F.concat_ws("_", "chrom", "k")), S.reference(s, d), "seg_start", "seg_stop", "segment").select("region", "seg_start", "segment", "sites")
+
+
+@query("label_regions", q("""SELECT chrom || '_' || (pos // 485) AS region, pos, CASE WHEN n = 1 AND pos % 5 = 0 THEN 'MISSED' ELSE 'LABELLED' END AS status, CASE WHEN pos % 5 = 0 THEN CASE WHEN n > 1 THEN ref || ',' || ref END WHEN g0 = 1 THEN alt || ',' || alt ELSE least(ref, alt) || ',' || greatest(ref, alt) END AS picked
+    FROM (SELECT *, count(*) OVER (PARTITION BY chrom, pos // 485) AS n FROM truth)""", "truth"))
+def _(s, d):
+    """Regions of up to five sites; some true alleles are not among the candidates."""
+    rows = H.label_sites(several_regions(s, d, False, 485), several_regions(s, d, True, 485))
+    both = F.array_join(F.sort_array(F.array("picks0_allele", "picks1_allele")), ",")
+    return rows.select("region", "pos", "status", F.when(F.col("status") == "LABELLED", both).alias("picked"))
+
+
+@query("region_haplotypes", q("SELECT chrom || '_' || (pos // 291) AS region, CAST((product(CASE WHEN g0 = 1 THEN 4 ELSE 3 END) + product(CASE WHEN g0 = 1 THEN 2 ELSE 1 END)) / 2 AS BIGINT) AS pairs, CAST(product(2) AS BIGINT) AS haplotypes FROM truth GROUP BY ALL", "truth"))
+def _(s, d):
+    """Truth pairs and candidate haplotypes of regions of up to three sites."""
+    rows = several_regions(s, d, False, 291)
+    pairs = H.truth_haplotypes(rows).groupBy("region").agg(F.count("*").alias("pairs"))
+    return pairs.join(H.candidate_haplotypes(rows).groupBy("region").agg(F.count("*").alias("haplotypes")), "region")
+
+
 @query("haplotype_match", q("SELECT chrom || '_' || pos AS region, CASE WHEN pos % 5 = 0 THEN 1 WHEN g0 = 1 THEN 3 ELSE 2 END AS matches FROM truth", "truth"))
 def _(s, d):
     pairs = H.matched(H.truth_haplotypes(single_regions(s, d, False)), H.candidate_haplotypes(single_regions(s, d, True)))

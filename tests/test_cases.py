@@ -331,9 +331,11 @@ def test_depth_and_counts_against_a_loop(spark):
 def test_reconciled_reads(spark):
     reads = [("r", 10, 20, "P", "a", 10, 25, "ACGT"), ("r", 10, 20, "P", "b", 12, 25, "ACGT"), ("r", 10, 20, "P", "c", 8, 25, "ACGT"), ("r", 10, 20, "P", "d", 10, 15, "ACGT"), ("r", 10, 20, "I", "e", 10, 25, "ACGT"), ("r", 10, 20, "P", "f", 10, 25, "TTTT"), ("s", 10, 20, "P", "g", 10, 25, "ACGT")]
     haplotypes = spark.createDataFrame(reads, "region string, region_start long, region_stop long, tech string, read_name string, start long, end long, haplotype string")
-    candidates = spark.createDataFrame([("r", "ACGT", ["A", "T"]), ("s", "ACGT", ["A", "T"])], "region string, haplotype string, picks array<string>")
+    sites = [(100, "A", ["C"], [0, 0]), (103, "T", ["G"], [0, 0])]
+    candidates = spark.createDataFrame([("r", 100, "ACGT", sites), ("s", 100, "ACGT", sites)], "region string, seg_start long, segment string, sites array<struct<pos:long,ref:string,alts:array<string>,gt:array<int>>>")
     coverage = spark.createDataFrame([("r", 14.5), ("s", 14.0)], "region string, mean double")
     names = lambda **k: sorted(r.read_name for r in H.reconcile(haplotypes, candidates, coverage, **k).collect())
+    assert {tuple(r.picks) for r in H.reconcile(haplotypes, candidates, coverage).collect()} == {("A", "T")}
     assert names() == ["a", "b"] and names(intended=True) == ["a", "c"] and names(most_sites=2) == []
 
 

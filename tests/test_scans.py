@@ -268,3 +268,105 @@ def test_long_reads_are_moved_once(spark):
     at = next(i for i, line in enumerate(plan) if "Join" in line and "__bin" in line)
     below = "\n".join(plan[at : at + 4])
     assert "seq#" not in below and "qual#" not in below
+
+
+# ---- left alignment
+
+def one_by_one(seq, start, cigar, genome):
+    """Indels moved base by base while the base before them matches and the mismatches stay the same."""
+    def mismatches(ops):
+        r, q, n = start, 0, 0
+        for op, k in ops:
+            if op in (0, 7, 8):
+                n += sum(seq[q + i] != genome[r + i] for i in range(k))
+            r, q = r + (k if op in (0, 2, 3, 7, 8) else 0), q + (k if op in (0, 1, 4, 7, 8) else 0)
+        return n, q
+
+    def put(ops, op, k):
+        if k and ops and ops[-1][0] == op:
+            ops[-1] = (op, ops[-1][1] + k)
+        elif k:
+            ops.append((op, k))
+
+    done, rest = [], list(cigar)
+    while rest:
+        op, k = rest.pop(0)
+        moved = 0
+        while op in (1, 2) and done and done[-1][0] in (0, 7):
+            r = start + sum(n for o, n in done if o in (0, 2, 3, 7, 8))
+            q = sum(n for o, n in done if o in (0, 1, 4, 7, 8))
+            kind, n = done[-1]
+            if kind == 0 and seq[q - 1] != genome[r - 1]:
+                break
+            tail = [(kind, moved + 1)] + rest
+            new = done[:-1] + ([(kind, n - 1)] if n > 1 else []) + [(op, k)] + tail
+            if mismatches(new) != mismatches(done + [(op, k)] + ([(kind, moved)] if moved else []) + rest):
+                break
+            done, moved = done[:-1] + ([(kind, n - 1)] if n > 1 else []), moved + 1
+            left = kind
+            if n == 1:
+                break
+        if moved:
+            done.append((op, k))
+            done.append((left, moved))
+        else:
+            put(done, op, k)
+        if rest and done and rest[0][0] == done[-1][0]:
+            rest[0] = (rest[0][0], rest[0][1] + done.pop()[1])
+    out, r, q = [], start, 0
+    for op, k in done:
+        n = out[-1][1] if out else 0
+        if out and op in (1, 2) and out[-1][0] == 3 - op and n == k and (seq[q - k : q] == genome[r : r + k] if op == 2 else seq[q : q + k] == genome[r - k : r]):
+            out.pop()
+            put(out, 0, k)
+        else:
+            put(out, op, k)
+        r, q = r + (k if op in (0, 2, 3, 7, 8) else 0), q + (k if op in (0, 1, 4, 7, 8) else 0)
+    while out and out[0][0] == 2:
+        start += out.pop(0)[1]
+    if out and out[0][0] == 1:
+        out[0] = (4, out[0][1])
+    return start, out
+
+
+def test_left_alignment(spark):
+    from strandlake.operators.left_align import left_align
+
+    told = "ACGATATATACCAGTATATATATATACATATATATATATAGGATACGATA"
+    cases = [(told, "CAGTATATATATATATATATATATATAGG", 11, [(0, 22), (2, 2), (0, 7)])]
+    rng = random.Random(9)
+    for k in range(220):
+        genome = "".join(rng.choice(["AT", "A", "CAC", "G", "TTT"]) for _ in range(90))
+        start, seq, cigar = rng.randrange(0, 5), "", []
+        at = start
+        if k % 5 == 0:
+            cigar.append((4, 3))
+            seq += "GGG"
+        for j in range(rng.randrange(1, 6)):
+            n = rng.choice([1, 2, 5, 12, 75 if k % 9 == 0 and j == 0 else 3])
+            if at + n + 8 > len(genome):
+                break
+            cigar.append((7 if k % 7 == 0 else 0, n))
+            seq += "".join(g if k % 7 == 0 or rng.random() > 0.05 else rng.choice("ACGT") for g in genome[at : at + n])
+            at += n
+            size = rng.choice([1, 2, 2, 3])
+            if rng.random() < 0.5:
+                cigar.append((2, size))
+                at += size
+            else:
+                cigar.append((1, size))
+                seq += rng.choice([genome[at : at + size], seq[-size:], "AT"[:size]]).ljust(size, "A")[:size]
+        if k % 3:
+            cigar.append((0, 4))
+            seq += genome[at : at + 4]
+        cases.append((genome, seq, start, cigar))
+    schema = "chrom string, read_name string, start long, end long, seq string, cigar array<struct<op:int,len:int>>, other string"
+    span = lambda cigar: sum(n for o, n in cigar if o in (0, 2, 3, 7, 8))
+    reads = spark.createDataFrame([(f"c{k}", f"r{k}", s, s + span(c), q, c, "x") for k, (_, q, s, c) in enumerate(cases)], schema)
+    chunks = spark.createDataFrame([(f"c{k}", 0, 0, g) for k, (g, *_) in enumerate(cases)], "chrom string, chunk_id long, chunk_start long, seq string")
+    found = {r.read_name: (r.start, [tuple(x) for x in r.cigar]) for r in left_align(reads, chunks).collect()}
+    assert found["r0"] == (11, [(0, 16), (2, 2), (0, 13)])
+    for k, (genome, seq, start, cigar) in enumerate(cases):
+        assert found[f"r{k}"] == one_by_one(seq, start, cigar, genome), cases[k]
+        assert sum(n for o, n in found[f"r{k}"][1] if o in (0, 1, 4, 7, 8)) == len(seq)
+    assert sum(found[f"r{k}"][1] != c for k, (*_, c) in enumerate(cases)) > 80
