@@ -138,6 +138,28 @@ def clipped(reads: DataFrame, regions: DataFrame, flank: int) -> DataFrame:
     return with_ops(cut).select(*key, "first", "last", "clip", F.expr(edge("x.off + x.len = __from")).alias("left_clip"), F.expr(edge("x.off = __to + 1")).alias("right_clip"))
 
 
+def cut_reads(reads: DataFrame, regions: DataFrame) -> DataFrame:
+    """Reads cut to the disjoint regions (chrom, start, stop) they overlap: one row a (read, region) with the columns of reads.
+
+    Bases, qualities and operations outside of the region go, as do clips and
+    insertions at its edges; all by arithmetic on the operations, so that only
+    what lies near a region goes on.
+    """
+    spans = regions.select("chrom", "start", "stop")
+    rows = overlap_join(with_ops(reads).withColumn("stop", F.col("end")), spans).withColumnsRenamed({"b_start": "__lo", "b_stop": "__hi"}).drop("b_chrom", "stop")
+    own = f"x.op IN {BOTH} OR x.op IN {REF_ONLY}"
+    kept = f"""transform(filter(ops, x -> x.len > 0 AND CASE WHEN {own} THEN x.ref < __hi AND x.ref + x.len > __lo WHEN x.op = 1 THEN x.ref > greatest(__lo, start) AND x.ref < __hi ELSE false END), x -> named_struct(
+        'op', x.op, 'len', if(x.op = 1, x.len, cast(least(__hi, x.ref + x.len) - greatest(__lo, x.ref) AS int)),
+        'off', x.off + if(x.op IN {BOTH}, cast(greatest(__lo - x.ref, 0) AS int), 0)))"""
+    rows = rows.withColumn("__kept", F.expr(kept))
+    rows = rows.withColumns({"__from": F.expr("coalesce(__kept[0].off, 0)"), "__n": F.expr(f"aggregate(filter(__kept, x -> x.op IN {BOTH} OR x.op = 1), 0, (a, x) -> a + x.len)")})
+    new = {
+        "seq": F.expr("substring(seq, __from + 1, __n)"), "qual": F.expr("slice(qual, __from + 1, __n)"), "cigar": F.expr("transform(__kept, x -> named_struct('op', x.op, 'len', x.len))"),
+        "start": F.greatest("start", "__lo"), "end": F.least("end", "__hi"),
+    }
+    return rows.select(*((new[c].cast(reads.schema[c].dataType).alias(c) if c in new else F.col(c)) for c in reads.columns))
+
+
 def in_subregion(reads: DataFrame, start: Column, stop: Column) -> DataFrame:
     """Reads whose span holds the first or the last base of [start, stop)."""
     first, last = F.col("start"), F.col("end") - 1

@@ -21,6 +21,7 @@ from strandlake.operators import reads as R
 from strandlake.operators import scoring as C
 from strandlake.operators import sites as T
 from strandlake.operators import variants as V
+from strandlake.operators.tensors import Model, site_tensors, tensor_scores
 from strandlake.shared import written
 
 #: A scorer adds ``p`` (three experts) and ``meta`` (their weights) to (chrom, site_start, site_stop, allele, illumina, pacbio, support).
@@ -70,11 +71,71 @@ def site_support(reads: DataFrame, reference: DataFrame, per_base: float | None
     points = written(hotspots_of(rows, reference), "hotspots")
     if per_base is not None:
         rows = capped_reads(rows, points, per_base)
-    slices = written(T.site_slices(rows, I.consecutive_runs(points)), "site-slices")
+    return support_of(written(T.site_slices(rows, I.consecutive_runs(points)), "site-slices"), reference)
+
+
+def reconciled(slices: DataFrame, rows: DataFrame, sites: DataFrame, reference: DataFrame, least_coverage: float = 14, cap: int = 1024) -> DataFrame:
+    """Slices in which long reads that spell a combination of the short reads' alleles over a cluster of sites take these alleles.
+
+    Sites (chrom, start, stop) are clustered (linked below a gap of 30, at most
+    ``cap`` in one); a read has to hold a cluster whole.
+    """
+    spans = ["chrom", "region_start", "region_stop"]
+    read = ["chrom", "tech", "read_name", "is_reverse", "start"]
+    parts = I.capped_clusters(sites.select("chrom", "start", "stop"), 30, cap)
+    whole = parts.groupBy("chrom", "island", "part").agg(F.min("start").alias("region_start"), F.max("stop").alias("region_stop"))
+    placed = parts.join(whole, ["chrom", "island", "part"]).select("chrom", F.col("start").alias("site_start"), F.col("stop").alias("site_stop"), "region_start", "region_stop")
+    placed = written(placed.withColumn("region", F.concat_ws("_", *spans)), "clusters")
+    found = V.reference_slice(T.allele_support(slices.where("tech = 'I'")), reference, "site_start", "site_stop", "ref")
+    found = found.groupBy("chrom", "site_start", "site_stop", "ref").agg(F.collect_set("allele").alias("alleles")).join(placed, ["chrom", "site_start", "site_stop"])
+    found = written(V.candidate_record(found.withColumn("pos", F.col("site_start"))).withColumn("alts", F.array_sort("alts")), "cluster-sites")
+    lists = found.groupBy("region", *spans).agg(F.sort_array(F.collect_list(F.struct("pos", "ref", "alts", "gt"))).alias("sites"))
+    lists = V.reference_slice(lists.withColumn("seg_start", F.greatest(F.col("region_start") - 6, F.lit(0))), reference, "seg_start", "region_stop + 6", "segment", any_length=True)
+    haplotypes = T.read_haplotypes(slices, placed.select("chrom", "site_start", "site_stop", "region_start", "region_stop"), reference)
+    haplotypes = haplotypes.withColumn("region", F.concat_ws("_", *spans))
+    coverage = T.region_coverage(rows, placed.select("region", "chrom", F.col("region_start").alias("start"), F.col("region_stop").alias("stop")).distinct())
+    picks = H.reconcile(haplotypes, lists.select("region", "seg_start", "segment", "sites"), coverage, least_coverage, intended=True)
+    at = lists.select("region", F.transform("sites", lambda x: x["pos"]).alias("at"))
+    picks = picks.join(at, "region").select(*read, F.explode(F.arrays_zip("at", "picks")).alias("x")).select(*read, F.col("x.at").alias("site_start"), F.col("x.picks").alias("__pick"))
+    out = slices.join(picks, [*read, "site_start"], "left")
+    taken = F.col("__pick").isNotNull()
+    return out.withColumn("allele", F.coalesce("__pick", "allele")).withColumn("status", F.when(taken, "Success").otherwise(F.col("status"))).select(*slices.columns)
+
+
+def active_slices(reads: DataFrame, reference: DataFrame, per_base: float | None = None, least_coverage: float = 14) -> tuple[DataFrame, DataFrame]:
+    """(reads, slices) of active regions: reads are capped by region, cut to it once, and long ones reconciled with short ones."""
+    rows = stored_reads(reads)
+    points = written(hotspots_of(rows, reference), "hotspots")
+    if per_base is not None:
+        rows = capped_reads(rows, points, per_base)
+    regions = I.gap_regions(points, 30).select("chrom", "start", "stop")  # disjoint, 15 bases or more around every site
+    rows = written(R.cut_reads(rows, regions), "cut-reads")
+    sites = written(I.consecutive_runs(points), "candidate-runs")
+    slices = written(T.site_slices(rows, sites), "site-slices")
+    return rows, written(reconciled(slices, rows, sites, reference, least_coverage), "reconciled-slices")
+
+
+def support_of(slices: DataFrame, reference: DataFrame) -> DataFrame:
+    """Alleles with support at every site, with the site's reference text; partial reads count for the one allele they fit."""
     support = T.partial_support(slices, T.allele_support(slices)).where("support > 0 AND length(allele) <= 80")
     return V.reference_slice(support, reference, "site_start", "site_stop", "ref")
 
 
+def call_active_regions(reads: DataFrame, reference: DataFrame, model: Model | None = None, width: int = 150, per_base: float | None = None, least_coverage: float = 14, scorer: Scorer = C.support_scores) -> DataFrame:
+    """Normalised calls by way of active regions.
+
+    With a ``model`` every site's read tensors of both technologies and the
+    reference around it are scored by it; else ``scorer`` scores the support.
+    """
+    rows, slices = active_slices(reads, reference, per_base, least_coverage)
+    support = support_of(slices, reference)
+    if model is None:
+        scored = scorer(support)
+    else:
+        scored = support.join(tensor_scores(site_tensors(rows, slices, reference, width), model, width), ["chrom", "site_start", "site_stop", "allele"])
+    return prepare_vcf(C.site_predictions(scored.withColumn("pos", F.col("site_start"))), reference)[0].where("kind = 'mean'").drop("kind")
+
+
 def predict_sites(reads: DataFrame, reference: DataFrame, scorer: Scorer = C.support_scores, per_base: float | None = None) -> DataFrame:
     """Site predictions of three experts at every candidate site with another allele than the reference."""
     scored = scorer(site_support(reads, reference, per_base)).withColumn("pos", F.col("site_start"))

@@ -195,6 +195,36 @@ def _(s, d):
     return rows.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"), F.array_join("gt", "/").alias("gt"), F.round("qual", 6).alias("qual"))
 
 
+@query("call_active_regions")
+def _(s, d):
+    """Calls by way of active regions: capped, cut and reconciled reads."""
+    rows = jobs.call_active_regions(S.reads(s, d), S.reference(s, d), per_base=10.0, least_coverage=5)
+    return rows.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"), F.array_join("gt", "/").alias("gt"), F.round("qual", 6).alias("qual"))
+
+
+def share_model():
+    """A model over whole read tensors: an allele's share of the reads by technology, weighed by their base quality colours."""
+    def run(sites):
+        import numpy as np
+
+        out = []
+        for x in sites:
+            weigh = lambda reads: np.array([r[:, 2].astype(float).sum() for r in reads])
+            i, p = weigh(x.illumina), weigh(x.pacbio)
+            share = lambda v: np.clip(v / max(v.sum(), 1.0), 0.001, 0.999)
+            out.append((np.stack([share(i), share(p), share(i + p)], axis=1), np.array([i.sum(), p.sum(), i.sum() + p.sum()]) / max(2 * (i.sum() + p.sum()), 1.0)))
+        return out
+
+    return run
+
+
+@query("call_by_tensors")
+def _(s, d):
+    """Calls by a model that gets the read tensors of both technologies and the reference around each site."""
+    rows = jobs.call_active_regions(S.reads(s, d), S.reference(s, d), model=share_model(), width=50, per_base=10.0, least_coverage=5)
+    return rows.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"), F.array_join("gt", "/").alias("gt"), F.round("qual", 6).alias("qual"))
+
+
 @query("dump_training")
 def _(s, d):
     return jobs.dump_training(S.reads(s, d), S.reference(s, d), S.truth(s, d), S.confident(s, d))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once, so that Python tasks can import it anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strandlake_shipped", False):
+        return
+    target = tempfile.mkdtemp(prefix="strandlake-package-")
+    sc.addPyFile(shutil.make_archive(f"{target}/strandlake", "zip", Path(__file__).resolve().parents[1], "strandlake"))
+    sc._strandlake_shipped = True
