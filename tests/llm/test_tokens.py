@@ -85,6 +85,19 @@ def test_ids_and_decoding_are_the_library_s(texts):
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_ids_of_every_code_point():
+    """Letters, numbers, lower case and white space are what the library takes for such: all code points of scripts and symbols."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = bpe.encoder(path), Tokenizer.from_file(path)
+    points = [*range(1, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x18000, 1), *range(0x1B000, 0x20000), *range(0x20000, 0x110000, 97)]
+    points = [c for c in points if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}?{chr(c)}1" for c in points]
+    found = library.encode_batch(texts, add_special_tokens=False)
+    assert [hex(c) for c, t, e in zip(points, texts, found, strict=True) if own.encode(t) != e.ids] == []
+
+
 def test_odd_tables(spark):
     rows = [(1, None, 5), (None, "a b", 6), (2, "", 7), (1, None, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long")
