@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-
+from strandlake.operators.scans import numbered
+from strandlake.shared import written
 def unit_hash(seed: int, *columns: str) -> Column:
     """A number in [0, 1) told by the columns: the same on every run and for any partitioning."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1_000_000)) / F.lit(1_000_000.0)
@@ -89,17 +90,12 @@ def split(rows: DataFrame, share: float = 0.9, seed: int = 13) -> DataFrame:
     return rows.withColumn("part", F.when(unit_hash(seed, "site") < share, "train").otherwise("validation"))
 
 
-def worker_shards(rows: DataFrame, workers: int, seed: int = 13, salts: int = 64) -> DataFrame:
-    """Equal shards of sites: ranks by hash range, then ceil(n / workers) to a worker, cut to the shortest."""
-    sites = rows.select("site").distinct().withColumn("u", unit_hash(seed, "site")).withColumn("salt", F.floor(F.col("u") * salts))
-    before = F.sum("count").over(W.orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
-    starts = sites.groupBy("salt").count().withColumn("start", F.coalesce(before, F.lit(0)))
-    total = starts.agg(F.sum("count").alias("total"))
-    rank = F.row_number().over(W.partitionBy("salt").orderBy("u", "site")) - 1
-    at = sites.withColumn("k", rank).join(F.broadcast(starts), "salt").withColumn("at", F.col("start") + F.col("k")).withColumn("one", F.lit(1))
-    at = at.join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
-    size = F.ceil(F.col("total") / workers)
-    shortest = F.col("total") - size * F.ceil(F.col("total") / size - 1)
+def worker_shards(rows: DataFrame, workers: int, seed: int = 13) -> DataFrame:
+    """Equal shards of sites: in the order of a hash, ceil(n / workers) to a worker, cut to the shortest."""
+    at = written(numbered(rows.select("site").distinct().withColumn("u", unit_hash(seed, "site")), "u", "site", out="at"), "ranked-sites")
+    total = at.count()
+    size = max(1, -(-total // workers))
+    shortest = total - size * max(0, -(-total // size) - 1)
     at = at.withColumn("worker", F.floor(F.col("at") / size)).withColumn("place", F.col("at") % size)
     return at.where(F.col("place") < shortest).select("site", "worker", "place")
 
@@ -115,8 +111,8 @@ def collate(rows: DataFrame, batch: int, workers: int = 8) -> DataFrame:
     """Batches of whole sites: alleles per site, reads per allele and per site, labels, in site order."""
     per = rows.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("allele", "support", "label"))).alias("a"))
     per = per.withColumn("worker", F.pmod(F.xxhash64("site"), F.lit(workers)))
-    at = F.row_number().over(W.partitionBy("worker").orderBy("site")) - 1
-    per = per.withColumn("batch", F.floor(at / batch))
+    per = numbered(per, "site", by=("worker",), out="at")
+    per = per.withColumn("batch", F.floor(F.col("at") / batch))
     lists = per.groupBy("worker", "batch").agg(F.sort_array(F.collect_list(F.struct("site", "a"))).alias("s"))
     return lists.select(
         "worker", "batch", F.transform("s", lambda x: F.size(x["a"])).alias("alleles_per_site"),

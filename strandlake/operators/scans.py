@@ -84,3 +84,14 @@ def scanned(rows: DataFrame, by: list[str], order: list[str | Column], cell: Col
         out[k] = {"sum": F.coalesce(own, F.lit(0)) + F.coalesce(carry, F.lit(0)), "max": F.greatest(own, carry), "last": F.coalesce(own, carry)}[s.kind]
     joined = rows.join(cells, on).withColumns(out)
     return joined.drop(*(c for c in joined.columns if c.startswith(_P)))
+
+
+def in_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows written in range partitions of ``order``; ``__part`` numbers these, and is a cell for scans in that order."""
+    return written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def numbered(rows: DataFrame, *order: str, by: tuple[str, ...] = (), out: str = "ordinal") -> DataFrame:
+    """Rows with their number (from 0) in the order of ``by`` and ``order``, counted anew for each value of ``by``; in ranges, at any size."""
+    ranged = in_ranges(rows, *by, *order)
+    return scanned(ranged, [*by], [*order], F.col("__part"), stored=True, **{out: total(own=False)}).drop("__part")

@@ -218,6 +218,22 @@ def _(s, d):
     return text.read_examples(s, path, keys=keys).select("site_key", "chrom", F.array_join(F.transform("alleles", lambda x: F.concat_ws(":", x["allele"], x["label"].cast("string"), x["support"].cast("string"))), ",").alias("alleles"))
 
 
+@query("examples_by_number", ex("SELECT ordinal, site_key, allele, support FROM (SELECT *, row_number() OVER (ORDER BY chrom, site_key, allele) - 1 AS ordinal FROM (SELECT site || '_' || (site + 1) AS site_key, 'c' || (site % 5) AS chrom, allele, support FROM ex)) WHERE ordinal BETWEEN 100 AND 899"))
+def _(s, d):
+    """A store read by the numbers of its rows."""
+    path = fresh_path(s, "examples")
+    sinks.write_examples(stored(s, d), path)
+    return text.read_by_number(s, path, 100, 899).select("ordinal", "site_key", "allele", "support")
+
+
+@query("shuffled_store")
+def _(s, d):
+    """A store written in the order of an epoch, read back in that order."""
+    path = fresh_path(s, "shuffled")
+    sinks.write_shuffled(alleles(s, d), path, epoch=1)
+    return s.read.parquet(path).orderBy("ordinal").select("ordinal", "site", "allele", "block", "block_order", "row_order")
+
+
 @query("compact_examples", ex("SELECT site || '_' || (site + 1) AS site_key, allele, label, support FROM ex"))
 def _(s, d):
     """Three stores put together into one with few files."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators.examples import block_shuffle
+from strandlake.operators.scans import numbered
 from strandlake.operators.variants import UNNUMBERED, chrom_order, header, vcf_line
 
 
@@ -48,16 +50,33 @@ def write_vcf(records: DataFrame, chroms: DataFrame, path: str) -> None:
     rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.col("line").alias("value")).write.text(path)
 
 
-def write_examples(examples: DataFrame, path: str, toggle: bool = False) -> None:
-    """Examples by chromosome.  With ``toggle`` a repeated site key deletes the stored one, so only odd counts stay."""
-    examples = stored_sites(examples) if toggle else examples.dropDuplicates(["site_key", "allele"])
-    examples.write.partitionBy("chrom").parquet(path)
+def write_examples(examples: DataFrame, path: str, repeats: str = "delete") -> None:
+    """A keyed store of examples, with all their columns, by chromosome.
 
+    A repeated (site, allele) deletes the stored one, so only odd counts stay;
+    with ``repeats="first"`` one row of each stays, the least of them.  Rows
+    are numbered from 0 in the order of chromosome, site and allele
+    (``ordinal``); files are ranges of these numbers, so that examples are
+    found by number as well as by key from the files' statistics.
+    """
+    kept = numbered(stored_sites(examples, repeats), "chrom", "site_key", "allele")
+    kept.repartitionByRange("ordinal").sortWithinPartitions("ordinal").write.partitionBy("chrom").parquet(path)
 
-def stored_sites(examples: DataFrame) -> DataFrame:
-    """What stays when a repeated (site, allele) deletes the stored one."""
-    odd = examples.groupBy("site_key", "allele").agg(F.count("*").alias("times")).where("times % 2 = 1")
-    return examples.join(odd.drop("times"), ["site_key", "allele"], "left_semi").dropDuplicates(["site_key", "allele"])
+
+def stored_sites(examples: DataFrame, repeats: str = "delete") -> DataFrame:
+    """What stays when a repeated (site, allele) deletes the stored one (or, for ``first``, one row of each): of several rows the least."""
+    if repeats not in ("delete", "first"):
+        raise ValueError("repeats is delete or first")
+    rest = [c for c in examples.columns if c not in ("site_key", "allele")]
+    rows = examples.groupBy("site_key", "allele").agg(F.count("*").alias("times"), F.min(F.struct(F.lit(0).alias("__none"), *rest)).alias("row"))
+    rows = rows.where("times % 2 = 1") if repeats == "delete" else rows
+    return rows.select(*(F.col(c) if c in ("site_key", "allele") else F.col(f"row.`{c}`").alias(c) for c in examples.columns))
+
+
+def write_shuffled(rows: DataFrame, path: str, epoch: int, blocks: int = 64, seed: int = 13) -> None:
+    """A store in the order of an epoch: blocks by hash, rows inside a block by hash; ``ordinal`` numbers the rows."""
+    ordered = numbered(block_shuffle(rows, epoch, blocks, seed), "block_order", "block", "row_order", "site", "allele")
+    ordered.repartitionByRange("ordinal").sortWithinPartitions("ordinal").write.parquet(path)
 
 
 def compact(paths: list[str], out: str, spark, files: int = 8) -> None:

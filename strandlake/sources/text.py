@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from strandlake.operators.intervals import widened
+from strandlake.operators.scans import in_ranges, latest, scanned, total
 from strandlake.operators.variants import canonical_truth, parse_gt
 
 OPS = "MIDNSHP=X"
@@ -32,13 +32,18 @@ def sam(lines: DataFrame) -> DataFrame:
 
 
 def fasta(lines: DataFrame, order: str = "at", chunk: int = 10_000) -> DataFrame:
-    """Chunks of a FASTA text; ``order`` numbers its lines (a file name and a line number, say)."""
-    heads = lines.where(F.col("value").startswith(">")).select(order, F.regexp_extract("value", r"^>(\S+)", 1)).orderBy(order).collect()  # one a contig
-    at = F.array(*(F.struct(F.lit(h[0]).alias("at"), F.lit(h[1]).alias("name")) for h in heads))
-    mine = F.element_at(F.filter(at, lambda h: h["at"] < F.col(order)), -1)["name"]
-    rows = lines.where(~F.col("value").startswith(">")).withColumn("chrom", mine)
-    before = F.sum(F.length("value")).over(W.partitionBy("chrom").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
+    """Chunks of a FASTA text; ``order`` numbers its lines (a file name and a line number, say).
+
+    Contig names and line offsets are running values over ranges of lines, so
+    neither the contigs nor the lines of one come to one place.  Lines before
+    the first head belong to no contig and are left out.
+    """
+    head = F.col("value").startswith(">")
+    rows = in_ranges(lines.select(F.col(order).alias("at"), "value"), "at")
+    name, size = F.when(head, F.regexp_extract("value", r"^>(\S+)", 1)), F.when(head, 0).otherwise(F.length("value")).cast("long")
+    rows = scanned(rows, [], ["at"], F.col("__part"), stored=True, chrom=latest(name), upto=total(size, own=False))
+    first = rows.where(head).select("chrom", F.col("upto").alias("first"))  # one a contig
+    rows = rows.where(~head & F.col("chrom").isNotNull()).join(first, "chrom").withColumn("start", F.col("upto") - F.col("first"))
     # A line may go over chunk borders: one piece for each chunk it touches.
     stop = "(start + length(value))"
     rows = rows.where("length(value) > 0").withColumn("chunk_id", F.explode(F.expr(f"sequence(start div {chunk}, ({stop} - 1) div {chunk})")))
@@ -146,3 +151,8 @@ def read_examples(spark: SparkSession, *paths: str, keys: DataFrame | None = Non
         rows = rows.join(keys.select("site_key").distinct(), "site_key", "left_semi")
     rest = [c for c in rows.columns if c not in ("site_key", "chrom")]
     return rows.groupBy("site_key", "chrom").agg(F.sort_array(F.collect_list(F.struct("allele", *(c for c in rest if c != "allele")))).alias("alleles"))
+
+
+def read_by_number(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """Rows ``first`` to ``last`` of a numbered store, in order: files and row groups without them are passed over by their statistics."""
+    return spark.read.parquet(path).where(F.col("ordinal").between(first, last)).orderBy("ordinal")

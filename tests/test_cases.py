@@ -417,6 +417,9 @@ def test_choices_by_hash(spark, sf):
     assert set(rates.index) <= {0.25, 0.5, 1.0} and rates.reads.sum() < rows.support.sum()
     order = run("block_shuffle")
     assert len(order) == len(rows) and order.groupby("block").block_order.nunique().max() == 1
+    stored = run("shuffled_store")
+    assert list(stored.ordinal) == list(range(len(rows))) and sorted(zip(stored.site, stored.allele, strict=True)) == sorted(zip(rows.site, rows.allele, strict=True))
+    assert stored[["block_order", "block", "row_order"]].apply(tuple, axis=1).is_monotonic_increasing and not stored.site.is_monotonic_increasing
     capped = run("cap_reads")
     assert capped.groupby(["chrom", "tile"]).size().max() == 10
     assert run("random_pairing").groupby(["dataset", "chrom"]).partner.nunique().max() == 1

@@ -370,3 +370,46 @@ def test_left_alignment(spark):
         assert found[f"r{k}"] == one_by_one(seq, start, cigar, genome), cases[k]
         assert sum(n for o, n in found[f"r{k}"][1] if o in (0, 1, 4, 7, 8)) == len(seq)
     assert sum(found[f"r{k}"][1] != c for k, (*_, c) in enumerate(cases)) > 80
+
+
+# ---- files and stores
+
+def test_fasta_of_many_contigs(spark, tmp_path):
+    """Thousands of contigs of uneven lines, over several files."""
+    from strandlake.sources import text
+
+    rng = random.Random(10)
+    expect = {}
+    for f in range(3):
+        lines = []
+        for k in range(1200):
+            seq = "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 3, 50, 130])))
+            expect[f"s{f}_{k}"] = seq
+            lines.append(f">s{f}_{k} more")
+            lines += [seq[i : i + 40] for i in range(0, len(seq), 40)]
+        (tmp_path / f"{f}.fa").write_text("\n".join(lines) + "\n")
+    got = {}
+    for r in text.read_fasta(spark, *(f"{tmp_path}/{f}.fa" for f in range(3))).orderBy("chrom", "chunk_id").collect():
+        got[r.chrom] = got.get(r.chrom, "") + r.seq
+    assert got == {c: s for c, s in expect.items() if s}
+
+
+def test_examples_by_key_and_number(spark, tmp_path):
+    from strandlake.sources import sinks, text
+
+    rng = random.Random(11)
+    rows = [(f"k{i:03d}", rng.choice("ACGT"), f"c{i % 3}", [i, i + 1], "ACGT", i % 2) for i in range(120)]
+    rows += rows[:30] + rows[:10] + [("k005", rows[5][1], "c2", [99], "T", 0)]
+    df = spark.createDataFrame(rows, "site_key string, allele string, chrom string, feature array<int>, segment string, site_label int").repartition(5)
+    sinks.write_examples(df, f"{tmp_path}/a")
+    counts = {}
+    for r in rows:
+        counts.setdefault(r[:2], []).append(r)
+    kept = sorted((min(v, key=lambda r: (r[2:],)) for v in counts.values() if len(v) % 2), key=lambda r: (r[2], r[0], r[1]))
+    got = text.read_by_number(spark, f"{tmp_path}/a", 0, 10**6).collect()
+    assert [(r.ordinal, r.site_key, r.allele, r.chrom, r.feature, r.segment, r.site_label) for r in got] == [(k, *r) for k, r in enumerate(kept)]
+    assert [r.ordinal for r in text.read_by_number(spark, f"{tmp_path}/a", 40, 49).collect()] == list(range(40, 50))
+    keys = spark.createDataFrame([("k050",), ("k000",)], "site_key string")
+    assert {r.site_key for r in text.read_examples(spark, f"{tmp_path}/a", keys=keys).collect()} <= {"k050", "k000"}
+    sinks.write_examples(df, f"{tmp_path}/b", repeats="first")
+    assert spark.read.parquet(f"{tmp_path}/b").count() == len(counts)
