@@ -39,7 +39,7 @@ def byte_alphabet() -> dict[int, str]:
 
 @lru_cache(maxsize=1)
 def odd_characters():
-    """A pattern of the characters that are letters or numbers here, but not to the patterns of the tokenizers library, which know an older Unicode; and letters that the library lowers in another way than Python."""
+    """The characters that are letters or numbers here, but not to the patterns of the tokenizers library, which know an older Unicode; letters that the library lowers in another way than Python; and the least character of both."""
     import regex
     from tokenizers import Regex, normalizers, pre_tokenizers
 
@@ -47,7 +47,7 @@ def odd_characters():
     left = "".join(x for x, _ in pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str(named))
     lower = normalizers.Lowercase().normalize_str
     table = {ord(c): lower(c) for c in regex.findall(r"[\p{Lu}\p{Lt}]", named) if lower(c) != c.lower()}
-    return (regex.compile(f"[{left}]") if left else None), table
+    return frozenset(left), table, min([*left, *map(chr, table)], default=chr(0x10FFFF))
 
 
 class Encoder:
@@ -65,7 +65,7 @@ class Encoder:
             raise ValueError("the split pattern is not the supported one")
         self.words = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}"))
         self.gap = regex.compile(r"\p{White_Space}+")
-        self.odd, self.lowered = odd_characters()
+        self.odd, self.lowered, self.least = odd_characters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         marked = lambda t: t[: -len(END)] + MARK if t.endswith(END) else t
@@ -148,11 +148,15 @@ class Encoder:
     def encode_chunk(self, chunk: str) -> list[int]:
         if chunk in self.special:
             return [self.special[chunk]]
+        odd = False
         if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).translate(self.lowered)
+            chunk = unicodedata.normalize("NFC", chunk)
+            if odd := max(chunk) >= self.least:
+                chunk = chunk.translate(self.lowered)
         ids: list[int] = []
         # Each character is lowered by itself: no final sigma.
-        for word in self.split(chunk.replace("Σ", "σ").lower()):
+        chunk = chunk.replace("Σ", "σ").lower()
+        for word in self.split(chunk) if odd else self.words.findall(chunk):
             known = self.known.get(word)
             if known is None:
                 known = self.encode_word(word)
@@ -164,10 +168,9 @@ class Encoder:
         return ids
 
     def split(self, chunk: str) -> list[str]:
-        """Pre-tokens of a chunk; odd characters count as neither letters nor numbers."""
-        if chunk.isascii() or self.odd is None or not self.odd.search(chunk):
-            return self.words.findall(chunk)
-        return [chunk[m.start() : m.end()] for m in self.words.finditer(self.odd.sub("\u2603", chunk))]
+        """Pre-tokens of a chunk with odd characters, which count as neither letters nor numbers."""
+        shown = "".join("\u2603" if c in self.odd else c for c in chunk)
+        return [chunk[m.start() : m.end()] for m in self.words.finditer(shown)]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encoded(text)[0].split()]
