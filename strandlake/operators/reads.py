@@ -34,6 +34,19 @@ def capped(reads: DataFrame, most: int, keys: tuple[str, ...], seed: int = 13) -
     return reads.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
 
 
+#: Tiles of a technology and the most reads that begin in one, in detection (fixed values).
+TILE_CAPS = {"I": (400, 10_000), "P": (10_000, 1_000)}
+
+
+def capped_tiles(reads: DataFrame, caps: dict[str, tuple[int, int]] = TILE_CAPS, seed: int = 13) -> DataFrame:
+    """By technology at most so many of the reads that begin in one tile; technologies that are not named take the largest cap, in the widest tiles."""
+    of = [F.coalesce(*(F.when(F.col("tech") == t, v[k]) for t, v in caps.items()), F.lit(max(v[k] for v in caps.values()))) for k in (0, 1)]
+    w = W.partitionBy("chrom", "tech", "__tile").orderBy(F.xxhash64(F.lit(seed), "read_name", "is_reverse", "start"), "read_name", "start")
+    rows = reads.withColumn("__tile", F.floor(F.col("start") / of[0])).withColumn("__n", F.row_number().over(w))
+    # With a constant bound Spark drops rows before they are shuffled.
+    return rows.where((F.col("__n") <= max(n for _, n in caps.values())) & (F.col("__n") <= of[1])).drop("__tile", "__n")
+
+
 def hp_tag() -> Column:
     return F.coalesce(F.try_element_at("tags", F.lit("HP")), F.lit(0))
 

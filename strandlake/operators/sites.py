@@ -86,9 +86,23 @@ def site_slices(reads: DataFrame, sites: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).select("chrom", "site_start", "site_stop", "tech", "read_name", "is_reverse", "start", "end", "mapq", "allele", "min_q", "status")
 
 
+def gated(slices: DataFrame, least_mapq: int = 10, least_q: int = 10) -> DataFrame:
+    """Successful slices with enough mapping and base quality and no unknown base."""
+    return slices.where((F.col("status") == "Success") & (F.col("mapq") >= least_mapq) & (F.col("min_q") >= least_q) & ~F.contains(F.col("allele"), F.lit("N")))
+
+
+def supporting(slices: DataFrame) -> DataFrame:
+    """The slices whose read supports an allele: those that pass the gates, and partial ones that fit one allele of their site only, with that allele."""
+    key, good = ["chrom", "site_start", "site_stop"], gated(slices)
+    known = good.groupBy(*key).agg(F.collect_set("allele").alias("__known"))
+    part = slices.where("status IN ('LeftPartial', 'RightPartial') AND allele <> ''").join(known, key)
+    part = part.withColumn("__fit", F.expr("filter(__known, x -> if(status = 'LeftPartial', endswith(x, allele), startswith(x, allele)))")).where("size(__fit) = 1")
+    return good.unionByName(part.withColumn("allele", F.col("__fit")[0]).select(*slices.columns))
+
+
 def allele_support(slices: DataFrame, least_mapq: int = 10, least_q: int = 10) -> DataFrame:
     """Reads for each (site, allele) by technology that pass the gates."""
-    good = slices.where((F.col("status") == "Success") & (F.col("mapq") >= least_mapq) & (F.col("min_q") >= least_q) & ~F.contains(F.col("allele"), F.lit("N")))
+    good = gated(slices, least_mapq, least_q)
     return good.groupBy("chrom", "site_start", "site_stop", "allele").agg(F.count_if(F.col("tech") == "I").alias("illumina"), F.count_if(F.col("tech") == "P").alias("pacbio"), F.count("*").alias("support"))
 
 
@@ -127,13 +141,13 @@ def read_haplotypes(slices: DataFrame, regions: DataFrame, reference: DataFrame,
 
 
 def read_tensors(reads: DataFrame, slices: DataFrame, reference: DataFrame, width: int = 150) -> DataFrame:
-    """Seven channels of ``width`` cells for every read that supports an allele, centred on the site.
+    """Seven channels of ``width`` cells for every read that supports an allele (``supporting``), centred on the site.
 
     Cells hold base, quality, mapping quality, strand, reference base, position
     and haplotype colours; at a deletion the gap keeps the read's other colours,
     an insertion's least quality goes to its anchor (the last writer wins).
     """
-    ok = slices.where("status = 'Success'").select("chrom", "site_start", "site_stop", "tech", "read_name", "is_reverse", "start", "allele").distinct()
+    ok = supporting(slices).select("chrom", "site_start", "site_stop", "tech", "read_name", "is_reverse", "start", "allele").distinct()
     rows = reads.withColumn("hp", R.hp_tag()).join(ok, ["chrom", "tech", "read_name", "is_reverse", "start"])
     rows = rows.withColumn("lo", F.floor((F.col("site_start") + F.col("site_stop")) / 2) - width // 2)
     rows = reference_slice(rows, reference, "lo", f"lo + {width}", "ref")

@@ -10,6 +10,7 @@ from strandlake.operators import variants as V
 from strandlake.plans.base import query
 from strandlake.plans.sqlbase import code, letter
 from strandlake.plans.sqlbase import with_tables as q
+from strandlake.shared import fresh_path
 from strandlake.sources import sinks, text
 from strandlake.sources import synthetic as S
 
@@ -18,11 +19,21 @@ from strandlake.sources import synthetic as S
 
 @query("src_reads", q("""SELECT chrom, read_name, start, "end", CAST(mapq AS BIGINT) AS mapq, flag, is_reverse, hp, q0 + 5 - 36 * 0 AS first_q0, CASE WHEN m IS NULL THEN '40M' ELSE m || 'M2D' || (40 - m) || 'M' END AS cigar FROM reads""".replace("q0 + 5 - 36 * 0 AS first_q0", "5 + q0 % 36 AS first_q"), "reads"))
 def _(s, d):
-    rows = text.sam(sinks.sam_lines(S.reads(s, d)))
+    path = fresh_path(s, "sam")
+    sinks.sam_lines(S.reads(s, d)).write.text(path)
+    rows = text.read_sam(s, path)
     cigar = F.expr("array_join(transform(cigar, x -> concat(x.len, substring('MIDNSHP=X', x.op + 1, 1))), '')")
     return rows.select("chrom", "read_name", "start", "end", F.col("mapq").cast("long").alias("mapq"), F.col("flag").cast("long").alias("flag"), "is_reverse", F.coalesce(F.try_element_at("tags", F.lit("HP")), F.lit(0)).cast("long").alias("hp"), F.get("qual", F.lit(0)).cast("long").alias("first_q"), cigar.alias("cigar"))
 
 
+@query("src_read_regions", q('SELECT r.chrom, c.start AS region_start, read_name, is_reverse, r.start, CAST(mapq AS BIGINT) AS mapq FROM reads r JOIN confident c ON r.chrom = c.chrom AND r.start < c.stop AND r."end" > c.start', "reads", "confident"))
+def _(s, d):
+    """Reads of all confident regions out of a store; no region reaches the cap of 10,000."""
+    path = fresh_path(s, "reads")
+    sinks.write_reads(S.reads(s, d), path)
+    return text.read_regions(s, path, S.confident(s, d)).select("chrom", "region_start", "read_name", "is_reverse", "start", F.col("mapq").cast("long").alias("mapq"))
+
+
 @query("src_reference", q(f"SELECT 'c' || cn AS chrom, k AS chunk_id, CAST(sum(({code('k * 10000 + i')}) * (i % 97 + 1)) AS BIGINT) AS digest FROM (SELECT cn, chunk_id AS k FROM chunks), range(10000) v(i) GROUP BY ALL", "chunks"))
 def _(s, d):
     chunks = S.reference(s, d)
@@ -71,10 +82,16 @@ def _(s, d):
     return text.contigs(S.truth(s, d).select(line.alias("value"))).select("chrom", "start", "allele", F.col("support").cast("long").alias("support"))
 
 
-@query("sink_vcf", q("SELECT count(*) + 3 + (SELECT count(*) FROM lengths) AS lines, count(*) AS records FROM truth", "truth", "lengths"))
+VCF_LINES = """SELECT CAST(row_number() OVER (ORDER BY o, cn, pos) - 1 AS BIGINT) AS ordinal, line FROM (SELECT 0 AS o, 0 AS cn, 0 AS pos, '##fileformat=VCFv4.2' AS line UNION ALL SELECT 1, 0, 0, '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">' UNION ALL SELECT 2, cn, 0, '##contig=<ID=c' || cn || ',length=' || length || '>' FROM lengths
+    UNION ALL SELECT 3, 0, 0, array_to_string(['#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 'SAMPLE1'], chr(9)) UNION ALL SELECT 4, cn, pos, array_to_string([chrom, CAST(pos + 1 AS VARCHAR), '.', ref, alt, '30.000000', 'PASS', '.', 'GT', g0 || '/' || g1], chr(9)) FROM truth)"""
+
+
+@query("sink_vcf", q(VCF_LINES, "truth", "lengths"))
 def _(s, d):
-    rows = sinks.vcf_lines(S.truth(s, d).withColumn("qual", F.lit(30.0)).withColumn("filter", F.lit("PASS")).withColumn("info", F.lit(".")), S.lengths(s, d))
-    return rows.agg(F.count("*").alias("lines"), F.count_if(~F.col("line").startswith("#")).alias("records"))
+    """A VCF file: every line with its place in it."""
+    path = fresh_path(s, "vcf")
+    sinks.write_vcf(S.truth(s, d).withColumn("qual", F.lit(30.0)).withColumn("filter", F.lit("PASS")).withColumn("info", F.lit(".")), S.lengths(s, d), path)
+    return text.read_lines(s, path).select("ordinal", F.col("value").alias("line"))
 
 
 @query("sink_bed", q("SELECT chrom || chr(9) || start || chr(9) || stop AS value FROM confident", "confident"))

@@ -21,8 +21,9 @@ from strandlake.operators import reads as R
 from strandlake.operators import scoring as C
 from strandlake.operators import sites as T
 from strandlake.operators import variants as V
-from strandlake.operators.tensors import Model, site_tensors, tensor_scores
+from strandlake.operators.tensors import TECHS, Model, site_tensors, tensor_scores
 from strandlake.shared import written
+from strandlake.sources import sinks
 
 #: A scorer adds ``p`` (three experts) and ``meta`` (their weights) to (chrom, site_start, site_stop, allele, illumina, pacbio, support).
 Scorer = Callable[[DataFrame], DataFrame]
@@ -37,9 +38,10 @@ def stored_reads(reads: DataFrame, least_mapq: int = 10) -> DataFrame:
     return written(clean_reads(reads, least_mapq), "clean-reads")
 
 
-def detect_hotspots(reads: DataFrame, reference: DataFrame) -> DataFrame:
-    """Differing positions, the union over technologies."""
-    return hotspots_of(stored_reads(reads), reference)
+def detect_hotspots(reads: DataFrame, reference: DataFrame, caps: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Differing positions, the union over technologies; ``caps`` bounds the reads of a tile (``reads.TILE_CAPS``)."""
+    rows = clean_reads(reads)
+    return hotspots_of(written(R.capped_tiles(rows, caps) if caps else rows, "clean-reads"), reference)
 
 
 def hotspots_of(rows: DataFrame, reference: DataFrame) -> DataFrame:
@@ -67,11 +69,16 @@ def site_support(reads: DataFrame, reference: DataFrame, per_base: float | None
     Partial reads count for the one allele they fit.  With ``per_base`` the
     reads of each active region are capped first.
     """
+    return support_of(candidate_slices(reads, reference, per_base)[1], reference)
+
+
+def candidate_slices(reads: DataFrame, reference: DataFrame, per_base: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(reads, slices) at every run of hotspot positions."""
     rows = stored_reads(reads)
     points = written(hotspots_of(rows, reference), "hotspots")
     if per_base is not None:
         rows = capped_reads(rows, points, per_base)
-    return support_of(written(T.site_slices(rows, I.consecutive_runs(points)), "site-slices"), reference)
+    return rows, written(T.site_slices(rows, I.consecutive_runs(points)), "site-slices")
 
 
 def reconciled(slices: DataFrame, rows: DataFrame, sites: DataFrame, reference: DataFrame, least_coverage: float = 14, cap: int = 1024) -> DataFrame:
@@ -190,16 +197,16 @@ def explain_failures(failures: DataFrame, features: DataFrame, confident: DataFr
     return X.explained(failures, features, confident, reference)
 
 
-def dump_training(reads: DataFrame, reference: DataFrame, truth: DataFrame, confident: DataFrame) -> DataFrame:
-    """Labelled alleles of candidate sites inside confident regions.
+def labelled_candidates(support: DataFrame, reference: DataFrame, truth: DataFrame, confident: DataFrame, only_contained: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(candidate sites, labelled sites) inside confident regions.
 
-    Candidate sites are clustered (linked below a gap of 30, eight at most);
-    a cluster with the reference text around it is a region, and all confident
+    Candidate sites that overlap a confident region (``only_contained``: that
+    lie inside one) are clustered (linked below a gap of 30, eight at most); a
+    cluster with the reference text around it is a region, and all confident
     truths inside it are matched against its candidates.
     """
-    support = site_support(reads, reference)
     sites = support.groupBy("chrom", F.col("site_start").alias("start"), F.col("site_stop").alias("stop"), "ref").agg(F.collect_set("allele").alias("alleles"))
-    sites = written(I.overlap_join(sites, confident, how="left_semi"), "candidate-sites")
+    sites = written(I.overlap_join(sites, confident, how="left_semi", inside=only_contained), "candidate-sites")
     parts = I.capped_clusters(sites, 30, 8)
     spans = I.segment_bounds(parts)
     spans = spans.select("chrom", "island", "part", F.greatest("seg_start", F.lit(0)).alias("seg_start"), "seg_stop").withColumn("region", F.concat_ws("_", "chrom", "seg_start"))
@@ -210,6 +217,40 @@ def dump_training(reads: DataFrame, reference: DataFrame, truth: DataFrame, conf
     known = I.points_in(truth, confident).withColumns({"start": F.col("pos"), "stop": F.col("pos") + F.length("ref")})
     known = I.overlap_join(known, text.select("chrom", F.col("seg_start").alias("start"), F.col("seg_stop").alias("stop"), "region", "segment"), inside=True)
     known = known.select(F.col("b_region").alias("region"), F.col("b_start").alias("seg_start"), F.col("b_segment").alias("segment"), "pos", "ref", "alts", "gt")
-    labelled = H.label_sites(listed(known), listed(found.select("region", "seg_start", "segment", "pos", "ref", "alts", "gt")))
+    return found, H.label_sites(listed(known), listed(found.select("region", "seg_start", "segment", "pos", "ref", "alts", "gt")))
+
+
+def dump_training(reads: DataFrame, reference: DataFrame, truth: DataFrame, confident: DataFrame) -> DataFrame:
+    """Labelled alleles of candidate sites inside confident regions."""
+    support = site_support(reads, reference)
+    found, labelled = labelled_candidates(support, reference, truth, confident)
     keyed = support.select("chrom", F.col("site_start").alias("start"), "allele", "support").join(found.select("chrom", "start", "region", "pos"), ["chrom", "start"])
     return H.label_alleles(labelled, keyed.select("region", "pos", "allele", "support"))
+
+
+def dump_examples(reads: DataFrame, reference: DataFrame, truth: DataFrame, confident: DataFrame, store: str, vcf: str | None = None, width: int = 150, per_base: float | None = None, only_contained: bool = False, labels_by: str | None = None) -> None:
+    """Writes labelled sites as a keyed store of examples, and (with ``vcf``) the labelled records as VCF lines.
+
+    A row of the store is a supported allele of a site: its label and the
+    site's, its support by technology, the reference segment around the site,
+    and the read tensors of both technologies (``tensors.site_tensors``).
+    With ``labels_by`` (a technology) only alleles that this one supports are
+    true, and sites that have no true allele left are not stored.
+    """
+    rows, slices = candidate_slices(reads, reference, per_base)
+    support = written(support_of(slices, reference), "site-support")
+    found, labelled = labelled_candidates(support, reference, truth, confident, only_contained)
+    labelled, found = written(labelled, "labelled-sites"), written(found.select("chrom", "start", "stop", "region", "pos", "ref", "alts"), "found-sites")
+    if vcf is not None:
+        lines = sinks.labelled_lines(H.label_attach(found, labelled).join(found.select("region", "pos", "chrom"), ["region", "pos"]))
+        V.sort_vcf(lines).select(F.col("line").alias("value")).write.text(vcf)
+    keyed = support.withColumnsRenamed({"site_start": "start", "site_stop": "stop"}).join(found.drop("ref", "alts"), ["chrom", "start", "stop"])
+    alleles = H.label_alleles(labelled, keyed.select("region", "pos", "allele", "support")).join(keyed.select("region", "pos", "chrom", "start", "stop", "allele", "illumina", "pacbio"), ["region", "pos", "allele"])
+    if labels_by is not None:
+        alleles = alleles.withColumn("label", F.when(F.col(TECHS[labels_by]) > 0, F.col("label")).otherwise(0))
+        alleles = alleles.join(alleles.where("label = 1").select("region", "pos").distinct(), ["region", "pos"], "left_semi")
+    seen = site_tensors(rows, slices, reference, width)
+    seen = seen.select("chrom", F.col("site_start").alias("start"), F.col("site_stop").alias("stop"), "segment", F.explode("alleles").alias("x"))
+    seen = seen.select("chrom", "start", "stop", "segment", F.col("x.allele").alias("allele"), *(F.col(f"x.{t}").alias(f"{t}_reads") for t in TECHS.values()))
+    alleles = alleles.withColumn("site_key", F.concat_ws("_", "chrom", "start", "stop")).drop("region", "pos").join(seen, ["chrom", "start", "stop", "allele"], "left")
+    sinks.write_examples(alleles, store)

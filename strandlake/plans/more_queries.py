@@ -17,12 +17,13 @@ from strandlake.sources import sinks
 from strandlake.sources import synthetic as S
 
 
-@query("region_bounds", q("SELECT chrom, id, greatest(start, 9200) AS start, least(stop, 9700) AS stop, start >= 9200 AND stop <= 9700 AS strict FROM spans WHERE greatest(start, 9200) < least(stop, 9700)", "spans"))
+@query("region_bounds", q("SELECT chrom, id, tile, greatest(start, tile * 3) AS start, least(stop, tile * 3 + 3) AS stop, start >= tile * 3 AND stop <= tile * 3 + 3 AS strict FROM (SELECT *, unnest(range(start // 3, (stop - 1) // 3 + 1)) AS tile FROM spans)", "spans"))
 def _(s, d):
-    rows = S.order_spans(s, d)
-    lo, hi = F.lit(9200).cast("long"), F.lit(9700).cast("long")
-    inside = I.bounded(rows, lo, hi, strict=True).select("chrom", "id", F.lit(True).alias("strict"))
-    return I.bounded(rows, lo, hi).join(inside, ["chrom", "id"], "left").select("chrom", "id", "start", "stop", F.coalesce("strict", F.lit(False)).alias("strict"))
+    """Every interval in each of the three-day tiles that it touches."""
+    rows = S.order_spans(s, d).withColumn("tile", F.explode(F.expr("sequence(start div 3, (stop - 1) div 3)")))
+    lo, hi = F.col("tile") * 3, F.col("tile") * 3 + 3
+    inside = I.bounded(rows, lo, hi, strict=True).select("chrom", "id", "tile", F.lit(True).alias("strict"))
+    return I.bounded(rows, lo, hi).join(inside, ["chrom", "id", "tile"], "left").select("chrom", "id", "tile", "start", "stop", F.coalesce("strict", F.lit(False)).alias("strict"))
 
 
 @query("out_of_bounds", q('SELECT chrom, tile, n FROM (SELECT chrom, start // 400 AS tile, count(*) AS n, min(start) - 10 AS lo, max("end") AS hi FROM usable GROUP BY ALL) JOIN lengths USING (chrom) WHERE lo >= 0 AND hi <= length - 30', "usable", "lengths"))

@@ -8,6 +8,7 @@ from strandlake.operators import examples as E
 from strandlake.operators import failures as X
 from strandlake.operators import haplotypes as H
 from strandlake.operators import intervals as I
+from strandlake.operators import reads as R
 from strandlake.operators import sites as T
 from strandlake.operators import variants as V
 from strandlake.plans import jobs
@@ -15,8 +16,9 @@ from strandlake.plans.base import query
 from strandlake.plans.example_queries import alleles, ex
 from strandlake.plans.sqlbase import letter
 from strandlake.plans.sqlbase import with_tables as q
-from strandlake.shared import written
+from strandlake.shared import fresh_path, written
 from strandlake.sources import synthetic as S
+from strandlake.sources import text
 
 SLICES = f"""ov AS (SELECT r.chrom, r.start AS site_start, r.stop AS site_stop, u.tech, u.read_name, u.is_reverse, u.start, u."end", u.m, u.mapq FROM runs r JOIN once u ON r.chrom = u.chrom AND u.start < r.stop AND u."end" > r.start WHERE u.mapq >= 10),
     cell AS (SELECT ov.*, b.pos, b.bc, b.q FROM ov LEFT JOIN b ON b.chrom = ov.chrom AND b.read_name = ov.read_name AND b.is_reverse = ov.is_reverse AND b.start = ov.start AND b.pos >= site_start AND b.pos < site_stop),
@@ -228,3 +230,26 @@ def _(s, d):
 @query("dump_training")
 def _(s, d):
     return jobs.dump_training(S.reads(s, d), S.reference(s, d), S.truth(s, d), S.confident(s, d))
+
+
+@query("dump_examples")
+def _(s, d):
+    """The store of a training dump, read back: labels, support and the number of read tensors of every allele."""
+    store = fresh_path(s, "training")
+    jobs.dump_examples(S.reads(s, d), S.reference(s, d), S.truth(s, d), S.confident(s, d), store, fresh_path(s, "training-vcf"), width=50, per_base=10.0, only_contained=True)
+    rows = s.read.parquet(store)
+    return rows.select("ordinal", "site_key", "allele", "label", "site_label", "support", "segment", F.size("illumina_reads").alias("n_illumina"), F.size("pacbio_reads").alias("n_pacbio"))
+
+
+@query("labelled_vcf_of_dump")
+def _(s, d):
+    """The labelled VCF file of a training dump, every line with its place in it."""
+    vcf = fresh_path(s, "training-vcf")
+    jobs.dump_examples(S.reads(s, d), S.reference(s, d), S.truth(s, d), S.confident(s, d), fresh_path(s, "training"), vcf, width=50, labels_by="I")
+    return text.read_lines(s, vcf).select("ordinal", F.col("value").alias("line"))
+
+
+@query("detect_hotspots_capped")
+def _(s, d):
+    """Hotspots of reads that are capped by tile before."""
+    return jobs.detect_hotspots(S.reads(s, d), S.reference(s, d), R.TILE_CAPS)

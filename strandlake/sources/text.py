@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators.intervals import widened
-from strandlake.operators.scans import in_ranges, latest, scanned, total
+from strandlake.operators.reads import capped
+from strandlake.operators.scans import in_ranges, latest, numbered, scanned, total
+from strandlake.operators.sites import reads_by_region
 from strandlake.operators.variants import canonical_truth, parse_gt
 
 OPS = "MIDNSHP=X"
@@ -135,11 +137,23 @@ def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
     return fasta(rows.select("value", F.concat_ws("|", "file_path", number("file_block_start"), number("row")).alias("at")))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, value): the lines of a folder's part files, read one file after another and numbered from 0."""
+    rows = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return numbered(rows, "file_path", "file_block_start", "row").select("ordinal", "value")
+
+
 def read_region(spark: SparkSession, path: str, chrom: str, start: int, stop: int) -> DataFrame:
     """Stored reads that overlap [start, stop): the chromosome is a folder, positions are filtered in the scan."""
     return spark.read.parquet(path).where((F.col("chrom") == chrom) & (F.col("start") < stop) & (F.col("end") > start))
 
 
+def read_regions(spark: SparkSession, path: str, regions: DataFrame, most: int = 10_000, seed: int = 13) -> DataFrame:
+    """Stored reads with every region (chrom, start, stop) they overlap, at most ``most`` of each region, chosen by hash; region columns get a ``region_`` prefix."""
+    found = reads_by_region(spark.read.parquet(path), regions)
+    return capped(found, most, ("chrom", "region_start", "region_stop"), seed)
+
+
 def read_predictions(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 

@@ -13,8 +13,8 @@ from strandlake.plans.registry import ORACLE_SQL, QUERIES
 LEFT = {
     "allele_support", "bed_intersect", "bundle_jobs", "capped_clusters", "channel_colours", "cigar_explode", "clip_reads", "confident_sites",
     "consecutive_runs", "expert_mix", "haplotype_match", "hotspot_islands", "in_confident", "indel_evidence", "label_attach", "mixture_mean", "op_alleles",
-    "pair_likelihood", "partial_alleles", "reads_by_site", "resolve_partials", "sink_predictions", "sink_vcf", "site_alleles", "snv_evidence",
-    "src_predictions", "src_reads", "top_genotype", "truth_haplotypes", "union_hotspots",
+    "pair_likelihood", "partial_alleles", "reads_by_site", "resolve_partials", "sink_predictions", "site_alleles", "snv_evidence",
+    "src_predictions", "top_genotype", "truth_haplotypes", "union_hotspots",
 }
 
 
