@@ -26,7 +26,8 @@ from pyspark.sql import Window as W
 
 from strandlake.llm.common import ship, written
 
-ROW_BLOCK, QUERY_BLOCK = 16_384, 2_048
+#: Rows of a block at most, and bytes of a block's vectors (so long vectors make smaller blocks): one of rows is copied for each of queries.
+ROW_BLOCK, ROW_BYTES, QUERY_BYTES = 16_384, 1 << 27, 1 << 25
 #: Rows (chosen by hash) on which the centre is fitted.
 CENTRE_ROWS = 100_000
 #: Candidates that are always scored first, and queries that are estimated at once.
@@ -77,6 +78,12 @@ def search_block(queries: np.ndarray, rows: np.ndarray, bits: np.ndarray, length
     return out
 
 
+def blocks(n_rows: int, n_queries: int, dim: int) -> tuple[int, int]:
+    """The numbers of row and query blocks."""
+    held = lambda size: max(1, size // (8 * dim))
+    return max(1, math.ceil(n_rows / min(ROW_BLOCK, held(ROW_BYTES)))), max(1, math.ceil(n_queries / held(QUERY_BYTES)))
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(row, id, vector) of the rows that take part, written; ``row`` tells rows apart that repeat an id.
 
@@ -131,7 +138,7 @@ def _nearest(found: DataFrame, every: int, k: int, eps: float) -> DataFrame:
     asked = found.where(F.col("id") % every == 0).select(F.col("row").alias("query_row"), F.col("id").alias("query_id"), "vector")
     asked = written(asked.join(index.select("vector", "vid"), "vector").select("query_row", "query_id", "vid"), "queries")
     n_rows, n_queries = index.count(), asked.select("vid").distinct().count()
-    row_blocks, query_blocks = max(1, math.ceil(n_rows / ROW_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
+    row_blocks, query_blocks = blocks(n_rows, n_queries, len(model["centre"]))
     block = lambda c, n, salt: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = index.select("vid", F.col("ids")[0]["id"].alias("least"), "vector", "code", "length", "f", block(F.col("vid"), row_blocks, 1).alias("rb"), copies(query_blocks).alias("qb"))

@@ -129,6 +129,20 @@ def test_neighbours_of_odd_vectors(spark):
     assert rabitq.nearest(df.limit(0)).count() == 0
 
 
+def test_many_blocks_give_the_rows_of_one(spark, monkeypatch):
+    assert rabitq.blocks(1_000_000, 50_000, 64) == (62, 1) and rabitq.blocks(1_000_000, 50_000, 16_384) == (977, 196)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, 12)))], "vec_id long, embedding array<double>")
+    ask = lambda: sorted(map(tuple, rabitq.nearest(df, every=5).collect()))
+    one = ask()
+    monkeypatch.setattr(rabitq, "ROW_BYTES", 150 * 8 * 12)
+    monkeypatch.setattr(rabitq, "QUERY_BYTES", 30 * 8 * 12)
+    assert rabitq.blocks(400, 80, 12) == (3, 3)
+    many = ask()
+    assert [r[:3] for r in many] == [r[:3] for r in one] and len(one) == 80 * 20
+    assert np.allclose([r[3] for r in many], [r[3] for r in one], rtol=1e-12)
+
+
 def test_resampling(docs, labels, odd):
     rows = importance.resample(docs, labels).join(labels, "doc_id").toPandas()
     good, bad = rows[(rows.quality == 1) & (rows.toxic == 0)], rows[rows.quality == 0]
