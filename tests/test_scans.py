@@ -112,6 +112,15 @@ def test_lone_items_over_borders(spark):
     assert sorted(map(tuple, got)) == sorted(expect)
 
 
+def test_equal_items_are_not_lone(spark):
+    """Far from all others, but two or three times the same: none of them is alone, in whatever order ties come."""
+    rows = [("a", 100 * k, 100 * k + 5, f"{k}-{n}") for k in range(40) for n in range(1 + k % 3)]
+    random.Random(4).shuffle(rows)
+    got = I.lone(spark.createDataFrame(rows, "chrom string, start long, stop long, name string"), width=250)
+    assert got.columns == ["chrom", "start", "stop", "name"]
+    assert sorted(r.name for r in got.collect()) == sorted(f"{k}-0" for k in range(0, 40, 3))
+
+
 @pytest.mark.parametrize("options", [{"max_shards": 7}, {"max_shards": 500}, {"least": 40}, {"least": 1}])
 def test_greedy_shards(spark, options):
     rng = random.Random(6)
