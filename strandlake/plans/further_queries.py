@@ -15,7 +15,7 @@ from strandlake.operators import variants as V
 from strandlake.plans import jobs
 from strandlake.plans.base import query
 from strandlake.plans.example_queries import alleles, ex, site_reads
-from strandlake.plans.queries import kept_reads
+from strandlake.plans.queries import kept_reads, stored_reads
 from strandlake.plans.site_queries import runs, single_regions, sliced, slices, supported
 from strandlake.plans.sqlbase import code, letter
 from strandlake.plans.sqlbase import with_tables as q
@@ -33,7 +33,7 @@ DEL = f"""SELECT b.chrom, b.read_name, b.is_reverse, b.pos, {letter('rc')} || {l
 
 @query("op_alleles", q(f"SELECT chrom, read_name, is_reverse, pos, {letter('rc')} AS ref, {letter('bc')} AS alt, q, 'snv' AS kind FROM b WHERE rc <> bc UNION ALL SELECT chrom, read_name, is_reverse, pos, ref, alt, q, kind FROM ({DEL})", "b", "once"))
 def _(s, d):
-    return P.op_alleles(kept_reads(s, d), S.reference(s, d)).select("chrom", "read_name", "is_reverse", "pos", "ref", "alt", F.col("q").cast("long").alias("q"), "kind")
+    return P.op_alleles(stored_reads(s, d), S.reference(s, d)).select("chrom", "read_name", "is_reverse", "pos", "ref", "alt", F.col("q").cast("long").alias("q"), "kind")
 
 
 @query("left_align_reads", q("", "b", "once").rstrip() + f", ev0 AS (SELECT DISTINCT chrom, pos, ref, alt AS x1, CAST(NULL AS VARCHAR) AS x2 FROM ({DEL})), " + NORMAL.format(src="ev0") + " SELECT DISTINCT chrom, pos2 AS pos, ref2 AS ref, alt1 AS alt FROM normal")
@@ -59,8 +59,7 @@ def _(s, d):
 
 @query("read_bases_reference", q(f"SELECT chrom, pos // 100 AS tile, {letter('bc')} AS base, {letter('rc')} AS ref_base, count(*) AS n FROM b GROUP BY ALL", "b"))
 def _(s, d):
-    rows = P.with_reference_base(R.bases(kept_reads(s, d)), S.reference(s, d))
-    return rows.groupBy("chrom", F.floor(F.col("pos") / 100).alias("tile"), "base", "ref_base").agg(F.count("*").alias("n"))
+    return P.base_pairs(kept_reads(s, d), S.reference(s, d), 100)
 
 
 REGIONS = "rg0 AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) > 30 THEN 1 ELSE 0 END AS new FROM hot), rg1 AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY pos) AS k FROM rg0), rg AS (SELECT chrom, min(pos) - 90 AS start, max(pos) + 90 AS stop FROM rg1 GROUP BY chrom, k)"
