@@ -105,3 +105,24 @@ def test_made_reads_of_odd_numbers(spark, tmp_path):
     at = "(chunk_id * 10000 + i)"
     chunks = S.reference(spark, path)
     same(chunks.select("chrom", "chunk_id", "seq"), chunks.selectExpr("chrom", "chunk_id", f"array_join(transform(sequence(0, 9999), i -> {S.base(S.reference_code(at, 'cast(substring(chrom, 2) AS bigint)'))}), '') AS seq"))
+
+
+def test_reads_of_one_operation_are_cut_as_others(spark):
+    """A read with an empty operation more is cut by the list of its operations."""
+    rows, _ = random_reads(120, seed=11, ops_most=1)
+    reads = spark.createDataFrame(rows, SCHEMA).cache()
+    regions = spark.createDataFrame([("c1", a, b) for a, b in [(100, 160), (300, 310), (500, 900), (9_950, 9_990), (9_995, 10_060)]], "chrom string, start long, stop long")
+    padded = reads.withColumn("cigar", F.expr(f"concat(cigar, cast(array(named_struct('op', 5, 'len', 0)) AS {CIGAR}))"))
+    assert R.cut_reads(reads, regions).count() > 30
+    same(R.cut_reads(reads, regions), R.cut_reads(padded, regions))
+
+
+def test_one_kind_of_records(spark):
+    from strandlake.operators import scoring as C
+
+    rows = spark.createDataFrame([("c1", p, "A", e, a, b, x / (p + e), [0.5, 0.25, 0.25]) for p in (30, 60) for e in range(3) for a, b, x in (("A", "A", 0.2), ("A", "C", 9.0), ("C", "C", 0.3))], "chrom string, pos long, ref string, expert int, a1 string, a2 string, p double, meta array<double>")
+    chunk = spark.createDataFrame([("c1", 0, "GTTCA" * 2_000)], "chrom string, chunk_id long, seq string")
+    exact = lambda df: df.withColumns({"p": F.round("p", 9), "qual": F.round("qual", 9)})  # sums of doubles follow the order of rows
+    every = exact(C.prepared(rows, chunk)[0])
+    for kind in ("mean", "best", "expert1"):
+        same(exact(C.prepared(rows, chunk, kind)[0]), every.where(F.col("kind") == kind))
